@@ -142,7 +142,7 @@ def fillings(room: int, counts: dict[int, int], sizes: list[int], width: int, de
     return best
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 6, single: int = 64) -> list[tuple[int, Filling]]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, width: int = 6, single: int = 64) -> list[tuple[int, Filling]]:
     """Runs (how many bins, the lengths in each) that pack `counts` (length -> how many) into few bins.
 
     Stops with a proven optimum when the incumbent meets the lower bound or the search is exhausted, else after `nodes`

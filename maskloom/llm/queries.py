@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .license_scan import license_scan
 from .minhash import fingerprint_report
 from .packing import packed
+from .pieces import encode
 from .simhash import simhash_groups
 
 
@@ -30,12 +32,20 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_simhash_near_dedup, op4_document_fingerprints, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_simhash_near_dedup, op4_document_fingerprints, op6_html_extraction, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
