@@ -73,3 +73,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return probes.join(index, ["_key", "text_sha256"]).select(
         id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes", "bucket", "local_depth"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text one stays."""
+    verdicts = exact_dedup(docs, id_col, text_col).filter("kept")
+    stay = stored(verdicts.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_n")), "stay")
+    own = docs.withColumn("_own", F.sha2(ascii_lower(text_of(text_col)), 256))
+    left = own.join(stay, own[id_col].eqNullSafe(stay["_id"]) & (own["_own"] == stay["_sha"]), "left_semi")
+    if not stay.filter("_n > 1").isEmpty():
+        left = left.dropDuplicates([id_col, "_own"])
+    return left.drop("_own")

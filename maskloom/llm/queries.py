@@ -13,6 +13,8 @@ from .license_scan import license_scan
 from .minhash import fingerprint_report
 from .packing import packed
 from .pieces import encode
+from .pii import pii_report
+from .quality import classify
 from .simhash import simhash_groups
 
 
@@ -32,10 +34,18 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -45,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_simhash_near_dedup, op4_document_fingerprints, op6_html_extraction, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_simhash_near_dedup, op4_document_fingerprints, op5_pii, op6_html_extraction, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -86,3 +86,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = roots.join(ids, "root").select("fp", "component_id")
     return found.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component, those with its smallest id."""
+    groups = simhash_groups(docs, id_col, text_col, n)
+    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
