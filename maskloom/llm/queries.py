@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract
+from .katz import katz_scores
 from .license_scan import license_scan
 from .minhash import fingerprint_report
 from .packing import packed
@@ -42,6 +43,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +60,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_simhash_near_dedup, op4_document_fingerprints, op5_pii, op6_html_extraction, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_simhash_near_dedup, op4_document_fingerprints, op5_pii, op6_html_extraction, op7_katz_backoff, op8_quality_classifier, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
