@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import sliced, stored, text_of
 
 EOS = 2
 Filling = tuple[int, ...]
@@ -60,7 +61,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, out = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array(token_ids(text, path), "<u4")
@@ -79,59 +80,105 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
     """A lower bound: lengths above half fill a bin each, and what fits beside none of them needs bins of its own."""
-    total = sum(s * n for s, n in counts.items())
-    best = -(-total // capacity)
-    large = sum(n for s, n in counts.items() if 2 * s > capacity)
-    for a in {s for s in counts if 2 * s <= capacity} | {0}:
-        alone = sum(n for s, n in counts.items() if s > capacity - a)
-        held = sum(s * n for s, n in counts.items() if capacity - a >= s > capacity / 2)
-        small = sum(s * n for s, n in counts.items() if capacity / 2 >= s >= a)
-        best = max(best, large, large + -(-(small - ((large - alone) * capacity - held)) // capacity))
-    return best
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    half = capacity // 2
+    mass = np.cumsum(n * np.arange(capacity + 1))  # mass[s]: all pieces of up to s
+    above = np.cumsum(n[::-1])[::-1]  # above[s]: how many pieces of s or more
+    a = np.arange(half + 1)
+    large = int(above[half + 1])
+    beside = above[half + 1] - np.append(above, 0)[capacity - a + 1]  # of the large ones, those that something of a fits beside
+    held = mass[capacity - a] - mass[half]
+    small = mass[half] - np.append(0, mass)[a]
+    over = small - (beside * capacity - held)
+    return max(-(-int(mass[-1]) // capacity), large + max(0, int((-(-over // capacity)).max())))
 
 
 def _covers(big: Filling, small: Filling) -> bool:
-    """Can the items of `small` be put into the items of `big`, several into one? Then `big` dominates."""
+    """Can the items of `small` be put into the items of `big`, several into one? Then `big` dominates. Told for up to 5 items; beyond, neither is held to."""
     if not small:
         return True
+    if len(big) > 5 or len(small) > 5:
+        return False
     return any(x >= small[0] and _covers(tuple(sorted((*big[:i], x - small[0], *big[i + 1 :]), reverse=True)), small[1:]) for i, x in enumerate(big))
 
 
-def fillings(room: int, counts: dict[int, int], sizes: list[int], width: int, depth: int = 3) -> list[Filling]:
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
+    """Runs by best fit in falling order of length: each piece goes to the fullest bin that it fits in, alike bins at a time."""
+    bins: dict[int, list[tuple[int, Filling]]] = {}
+    rooms: list[int] = []
+
+    def keep(times: int, held: Filling) -> None:
+        room = capacity - sum(held)
+        if room not in bins:
+            insort(rooms, room)
+        bins.setdefault(room, []).append((times, held))
+
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        while left:
+            i = bisect_left(rooms, s)
+            if i < len(rooms):
+                times, held = bins[rooms[i]].pop()
+                each = rooms[i] // s
+                if not bins[rooms[i]]:
+                    del bins[rooms.pop(i)]
+            else:
+                times, held, each = -(-left // (capacity // s)), (), capacity // s
+            full = min(times, left // each)
+            over = left - full * each if full < times else 0
+            if full:
+                keep(full, held + (s,) * each)
+            if over:
+                keep(1, held + (s,) * over)
+            if times - full - (over > 0) > 0:
+                keep(times - full - (over > 0), held)
+            left -= full * each + over
+    return [run for runs in bins.values() for run in runs if run[1]]
+
+
+def fillings(room: int, counts: dict[int, int], sizes: list[int], width: int, depth: int = 3, tries: int = 400) -> list[Filling]:
     """The best undominated fillings of the room, least waste first, then larger items first.
 
     Sets of up to `depth` lengths, the last of them always the largest that fits; sets of more items come from filling
-    up greedily. Longer sets are looked for only where shorter ones leave waste.
+    up greedily. Longer sets are looked for only where shorter ones leave waste, `tries` of them at most.
     """
     found: set[Filling] = set()
+    exact = seen = 0
 
     def largest(most: int, used: Filling) -> int:
+        """Where the largest length up to `most` is that `used` leaves any of; -1 if there is none."""
         i = bisect_right(sizes, most) - 1
-        while i >= 0 and counts[sizes[i]] <= used.count(sizes[i]):
+        while i >= 0 and used and counts[sizes[i]] <= used.count(sizes[i]) or i >= 0 and not counts[sizes[i]]:
             i -= 1
-        return sizes[i] if i >= 0 else 0
+        return i
+
+    def fill(used: Filling, left: int, most: int) -> None:
+        """Fills up with the largest that fits, alike items at a time."""
+        nonlocal exact, seen
+        while (i := largest(min(left, most), used)) >= 0:
+            most = sizes[i]
+            k = min(left // most, counts[most] - used.count(most))
+            used, left = used + (most,) * k, left - k * most
+        seen += 1
+        if used not in found:
+            found.add(used)
+            exact += not left
 
     def grow(used: Filling, left: int, most: int, levels: int) -> None:
-        x = largest(min(left, most), used)
-        if not x:
-            found.add(used)
-            return
-        if levels == 1:
-            grow((*used, x), left - x, x, 1)
+        i = largest(min(left, most), used)
+        if levels == 1 or i < 0:
+            fill(used, left, most)
             return
-        i, tried = bisect_right(sizes, x) - 1, 0
-        while i >= 0 and tried < 64:
+        while i >= 0 and exact < width and seen < tries:
             x = sizes[i]
             if counts[x] > used.count(x):
                 grow((*used, x), left - x, x, levels - 1)
-                tried += 1
-                if sum(1 for f in found if sum(f) == room) >= width:
-                    return
             i -= 1
 
     for levels in range(1, depth + 1):
         grow((), room, room, levels)
-        if any(sum(f) == room for f in found):
+        if exact and tries < 1 << 30 or seen >= tries:
             break
     best: list[Filling] = []
     for f in sorted(found, key=lambda f: (room - sum(f), tuple(-x for x in f)))[: 4 * width]:
@@ -142,66 +189,66 @@ def fillings(room: int, counts: dict[int, int], sizes: list[int], width: int, de
     return best
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, width: int = 6, single: int = 64) -> list[tuple[int, Filling]]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 1500, width: int = 6, single: int = 64) -> list[tuple[int, Filling]]:
     """Runs (how many bins, the lengths in each) that pack `counts` (length -> how many) into few bins.
 
-    Stops with a proven optimum when the incumbent meets the lower bound or the search is exhausted, else after `nodes`
-    nodes with the best found. Up to `single` items, each node makes one bin, which makes the search exact.
+    Starts from best fit as the incumbent. Stops with a proven optimum when the incumbent meets the lower bound or the
+    search is exhausted, else after `nodes` nodes with the best found. Up to `single` items, each node makes one bin and
+    all fillings are listed, which makes the search exact.
     """
     counts = {s: n for s, n in counts.items() if n}
+    if not counts:
+        return []
     total, items = sum(s * n for s, n in counts.items()), sum(counts.values())
-    bound = least_bins(counts, capacity) if counts else 0
-    best: list[tuple[int, Filling]] = []
-    fewest = items + 1
-    wide, deep = (width, 3) if items > single else (10_000, 10)
+    bound = least_bins(counts, capacity)
+    best = best_fit(counts, capacity)
+    fewest = sum(n for n, _ in best)
+    wide, deep, tries = (width, 3, 400) if items > single else (1 << 30, 12, 1 << 30)
 
     def children(left: dict[int, int], spare: int) -> Iterator[tuple[int, Filling]]:
         sizes = sorted(left)
         top = sizes[-1]
         rest = left | {top: left[top] - 1}
-        for f in fillings(capacity - top, rest, sizes, wide, deep):
+        for f in fillings(capacity - top, rest, sizes, wide, deep, tries):
             bin_ = (top, *f)
-            times = min(left[s] // bin_.count(s) for s in set(bin_)) if items > single else 1
+            times = min(left[s] // k for s, k in Counter(bin_).items()) if items > single else 1
             waste = capacity - sum(bin_)
-            while times > 1 and times * waste > spare:
-                times = max(1, spare // waste)
-            yield times, bin_
+            if times * waste > spare:
+                times = spare // waste  # so that what it wastes can still be afforded
+            if times:
+                yield times, bin_
 
     # Depth first, with one iterator of untried fillings for each level.
     path: list[tuple[int, Filling]] = []
-    spent = lambda: sum(n for n, _ in path)
-    spare = lambda: (fewest - 1) * capacity - total - sum(n * (capacity - sum(b)) for n, b in path)
+    used = wasted = seen = 0
     left = dict(counts)
-    stack = [children(left, spare())] if left else []
-    seen = 0
-    if not left:
-        return []
-    while stack and fewest > bound and (seen < nodes or not best):
+    spare = lambda: (fewest - 1) * capacity - total - wasted
+    stack = [children(dict(left), spare())]
+    while stack and fewest > bound and seen < nodes:
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
-            if path:
-                n, b = path.pop()
-                for s in b:
-                    left[s] = left.get(s, 0) + n
-            continue
-        n, b = step
-        seen += 1
-        path.append(step)
-        if best and spare() < 0:  # its waste alone rules out fewer bins
-            path.pop()
-            continue
-        for s in b:
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        if not left:
-            if spent() < fewest:
-                fewest, best = spent(), list(path)
-        elif not best or spent() + -(-sum(s * k for s, k in left.items()) // capacity) < fewest:
-            stack.append(children(dict(left), spare() if best else 1 << 60))
-            continue
-        path.pop()
+            if not path:
+                break
+            n, b = path.pop()
+        else:
+            n, b = step
+            seen += 1
+            waste = n * (capacity - sum(b))
+            if waste > spare():
+                continue  # the incumbent has improved since this filling was listed
+            used, wasted = used + n, wasted + waste
+            for s in b:
+                left[s] -= n
+                if not left[s]:
+                    del left[s]
+            if left and used + least_bins(left, capacity) < fewest:
+                path.append(step)
+                stack.append(children(dict(left), spare()))
+                continue
+            if not left and used < fewest:
+                fewest, best = used, [*path, step]
+        used, wasted = used - n, wasted - n * (capacity - sum(b))
         for s in b:
             left[s] = left.get(s, 0) + n
     return best
