@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored, text_of
+from .common import LOWER, UPPER, sliced, stored, text_of
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Ids of the class of further words and of the end; the other words of the vocabulary follow.
@@ -52,7 +52,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             n.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 n.update(_words(text))
                 n[b""] += 1
@@ -87,7 +87,7 @@ def tokenised(rows: DataFrame, words: list[bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = number.get
-        for batch in batches:
+        for batch in sliced(batches):
             ids, further = [], []
             for text in batch.column(2).to_pylist():
                 own = _words(text)
@@ -225,7 +225,7 @@ def fit(table: DataFrame, unigram: np.ndarray) -> Backoff:
             for n, k, c in zip(*(batch.column(x).to_pylist() for x in ("n", "keys", "counts")), strict=True):
                 keys, counts = _unpress_keys(k, n), _unpress(c, n)
                 context, at = np.unique(keys >> WIDTH, return_inverse=True)
-                by = lambda w: np.bincount(at, w, len(context))  # noqa: E731, B023
+                by = lambda w: np.bincount(at, w, len(context)).astype(float)  # noqa: E731, B023
                 columns = [by(counts == r).astype(np.int64) for r in range(1, K + 2)] + [by(counts * (counts > K)).astype(np.int64), by(unigram[keys & ((1 << WIDTH) - 1)])]
                 yield pa.RecordBatch.from_arrays([pa.array(context), *map(pa.array, columns)], names)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, text_of
+from .common import LOWER, UPPER, sliced, text_of
 
 SHINGLE, BINS, BITS = 5, 512, 4
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed_hex(sketch(t, k, bits), bits) for t in batch.column(1).to_pylist()], pa.string())], ["_id", "fingerprint"])
 
     return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("_id", id_col)
@@ -140,7 +140,7 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             e = sketch(edited)
             return i, null, len(text), hashlib.sha256(edited.encode()).hexdigest(), packed_hex(own), packed_hex(e), likeness(own, e), likeness(own, following[4])
 
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for i, null, text, r, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if after and (held is None or held[0] != r):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import sliced, text_of
 
 MARK = "▁"
 # The piece types of the model format, and how far below the lowest score an unknown character is.
@@ -145,16 +145,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
-                texts = part.column(1).to_pylist()
-                ids = [m.encode(t) for t in texts]
-                back = [m.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                     pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
-                    ["_id", "n_chars", "n_tokens", "ids", "decoded_sha256", "round_trip"],
-                )
+        for batch in sliced(batches):
+            texts = batch.column(1).to_pylist()
+            ids = [m.encode(t) for t in texts]
+            back = [m.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
+                ["_id", "n_chars", "n_tokens", "ids", "decoded_sha256", "round_trip"],
+            )
 
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, n_chars long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean").withColumnRenamed("_id", id_col)
@@ -167,7 +166,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else m.decode(x) for x in batch.column(1).to_pylist()], pa.string())], ["_id", "text"])
 
     return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, text string").withColumnRenamed("_id", id_col)

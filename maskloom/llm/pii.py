@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import sliced, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -405,7 +405,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, row) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = dict(weights)
-        for batch in batches:
+        for batch in sliced(batches):
             out = [row(t, w) for t in batch.column(1).to_pylist()]
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["_id", *names])
@@ -432,13 +432,12 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span in its text replaced by [EMAIL], [IP], [CARD] or [PHONE]; null texts stay null, all else as it was."""
     weights = trained()
 
-    @F.udf("string", useArrow=True)
-    def mask(text: str) -> str:
-        return None if text is None else masked(text, all_spans(text, _as_dict(weights))[1])
-
-    return docs.withColumn(text_col, mask(F.col(text_col)))
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = dict(weights)
+        for batch in sliced(batches):
+            texts = [None if t is None else masked(t, all_spans(t, w)[1]) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-@lru_cache(maxsize=2)
-def _as_dict(weights) -> Weights:
-    return dict(weights)
+    return docs.mapInArrow(run, docs.schema)

@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import sliced, text_of
 
 #: Passages are lines, long ones in runs of so many words.
 PASSAGE_WORDS = 60
@@ -139,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str =
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_t")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             bags = [bag(t).ravel().tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(bags, pa.binary())], ["_id", "_y", "bag"])
 
@@ -160,7 +159,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(2).to_pylist()
             scores = np.concatenate([model.scores([bag(t) for t in texts[i : i + 64]]) for i in range(0, len(texts), 64)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["_id", "held_out", "score", "predicted"])
@@ -172,12 +171,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs that reach the threshold, with all their columns."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        all_ = texts.tolist()
-        return pd.Series(np.concatenate([model.scores([bag(t) for t in all_[i : i + 64]]) for i in range(0, len(all_), 64)] or [np.zeros(0)]))
+    at = docs.columns.index(text_col)
 
-    return docs.filter(scored(text_of(text_col)) >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            scores = model.scores([bag(t or "") for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:

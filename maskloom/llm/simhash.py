@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored, text_of
+from .common import LOWER, UPPER, sliced, stored, text_of
 from .components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t, n) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["_id", "fp"])
 
@@ -92,4 +92,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay, with all their columns: of each component, those with its smallest id."""
     groups = simhash_groups(docs, id_col, text_col, n)
     stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    # The narrow side is hashed; whole rows stream by and are not sorted.
+    return docs.join(stay.hint("shuffle_hash"), docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
