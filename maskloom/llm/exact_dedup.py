@@ -80,7 +80,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verdicts = exact_dedup(docs, id_col, text_col).filter("kept")
     stay = stored(verdicts.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_n")), "stay")
     own = docs.withColumn("_own", F.sha2(ascii_lower(text_of(text_col)), 256))
-    left = own.join(stay, own[id_col].eqNullSafe(stay["_id"]) & (own["_own"] == stay["_sha"]), "left_semi")
+    # The narrow side is hashed; whole rows stream by and are not sorted.
+    left = own.join(stay.hint("shuffle_hash"), own[id_col].eqNullSafe(stay["_id"]) & (own["_own"] == stay["_sha"]), "left_semi")
     if not stay.filter("_n > 1").isEmpty():
         left = left.dropDuplicates([id_col, "_own"])
     return left.drop("_own")
