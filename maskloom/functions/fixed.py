@@ -47,6 +47,8 @@ NORMAL_FROM, NORMAL_TO = "\u00a0\u2007\u202f\u00ad\u2010\u2011\u200b\u200c\u200d
 LATIN, CYRILLIC = "AaCcEeOoPpHhKkMmTtXxYyBb", "АаСсЕеОоРрНнКкМмТтХхУуВв"
 
 TOKEN = r"[A-Z]+_\d{4}"
+#: Numbers run on past 9999; those of more digits have no zero ahead, so PHONE_00015 is PHONE_0001 and a 5.
+LONG_TOKEN = r"[A-Z]+_(?:[1-9]\d{4,}|\d{4})"
 CANDIDATE_START = "^[А-ЯЁA-Z0-9]"
 
 # Contexts of review candidates: (reason, pattern, number of value groups, type guessed).

@@ -109,9 +109,12 @@ def reverse_mapping(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("pseudonym").agg(F.min_by("original", F.struct(F.when(rank == 0, 99).otherwise(rank), "type", "original")).alias("original"))
 
 
-def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
-    """texts with the original values back, and columns tokens (how many) and unknown (distinct ones that the mapping lacks)."""
-    told = stored(texts.withColumn("_unit", F.monotonically_increasing_id()).withColumn("_spans", find(F.coalesce(F.col(text_col), F.lit("")), TOKEN, "", 0)), "tokens")
+def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text", token: str = TOKEN) -> DataFrame:
+    """texts with the original values back, and columns tokens (how many) and unknown (distinct ones that the mapping lacks).
+
+    token: the pattern of pseudonyms; with more than 9,999 values of a type it has to be LONG_TOKEN.
+    """
+    told = stored(texts.withColumn("_unit", F.monotonically_increasing_id()).withColumn("_spans", find(F.coalesce(F.col(text_col), F.lit("")), token, "", 0)), "tokens")
     tokens = told.select("_unit", F.explode("_spans").alias("s")).select("_unit", "s.start", "s.end", F.col("s.value").alias("pseudonym"))
     joined = tokens.join(reverse_mapping(mapping), "pseudonym", "left")
     parts = joined.groupBy("_unit").agg(
@@ -124,22 +127,19 @@ def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text") -> Da
     ).drop("_unit", "_spans", "_parts")
 
 
-_TOKEN = re.compile(TOKEN)
-
-
-def restored_json(files: DataFrame, mapping: DataFrame, json_col: str = "text") -> DataFrame:
+def restored_json(files: DataFrame, mapping: DataFrame, json_col: str = "text", token: str = TOKEN) -> DataFrame:
     """JSON files with originals back in their string values; keys stay. Columns tokens and unknown as in restored().
 
     Each file is joined with the part of the mapping that its own tokens name, so no file needs the whole mapping.
     """
     told = files.withColumn("_unit", F.monotonically_increasing_id())
     told = stored(told, "json")
-    tokens = told.select("_unit", F.explode(F.array_distinct(F.regexp_extract_all(json_col, F.lit(TOKEN), F.lit(0)))).alias("pseudonym"))
+    tokens = told.select("_unit", F.explode(F.array_distinct(F.regexp_extract_all(json_col, F.lit(token), F.lit(0)))).alias("pseudonym"))
     known = tokens.join(reverse_mapping(mapping), "pseudonym").groupBy("_unit").agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_known"))
 
     @F.udf("struct<text:string,tokens:int,unknown:array<string>>", useArrow=True)
     def walk(text: str, known: dict):
-        known, unknown, count = dict(known or {}), set(), 0
+        known, unknown, count, pattern = dict(known or {}), set(), 0, re.compile(token)
 
         def value(x):
             nonlocal count
@@ -148,10 +148,10 @@ def restored_json(files: DataFrame, mapping: DataFrame, json_col: str = "text")
             if isinstance(x, list):
                 return [value(v) for v in x]
             if isinstance(x, str):
-                found = _TOKEN.findall(x)
+                found = pattern.findall(x)
                 count += len(found)
                 unknown.update(t for t in found if t not in known)
-                return _TOKEN.sub(lambda m: known.get(m[0], m[0]), x)
+                return pattern.sub(lambda m: known.get(m[0], m[0]), x)
             return x
 
         out = json.dumps(value(json.loads(text)), ensure_ascii=False, indent=2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed import LONG_TOKEN
 from ..functions.text import clean, file_name, parent, suffix
 from ..operators import render, review, spec
 from ..operators.pseudonyms import anonymise, empty_mapping, replaced, restore_stats, restored, restored_json, token_counts
@@ -121,7 +122,7 @@ def restore_folder(spark: SparkSession, target: str, mapping_path: str, out: str
         raise FileNotFoundError(f"no mapping at {mapping_path}")
     mapping = read_mapping(spark, mapping_path)
     found = scan_artifacts(spark, target)
-    done = restored(found.filter(suffix(F.col("path")) == ".md"), mapping).unionByName(restored_json(found.filter(suffix(F.col("path")) == ".json"), mapping))
+    done = restored(found.filter(suffix(F.col("path")) == ".md"), mapping, token=LONG_TOKEN).unionByName(restored_json(found.filter(suffix(F.col("path")) == ".json"), mapping, token=LONG_TOKEN))
     done = stored(done, "restored")
     n = write_files(done.select(restored_path(F.col("path"), out).alias("path"), F.col("text").alias("data")))
     stats = restore_stats(done.withColumn("all", F.lit(1)), ["all"]).first()

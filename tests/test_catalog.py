@@ -24,3 +24,11 @@ def test_entry(spark):
 
 def test_sql_has_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_orders_of_more_customers_than_four_digits_number(spark, tmp_path):
+    customers = [(k, f"Customer#{k}") for k in (7, 1000, 9999, 10000, 100001)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(list(enumerate(k for k, _ in customers)), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.text for r in catalog.queries()["restore_orders"](spark, str(tmp_path)).collect()}
+    assert got == {i: f"order of {name}, again {name}" for i, (_, name) in enumerate(customers)}

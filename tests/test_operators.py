@@ -1,13 +1,14 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as T
-from maskloom.functions.fixed import PATTERNS
+from maskloom.functions.fixed import LONG_TOKEN, PATTERNS
 from maskloom.operators import review, spec
 from maskloom.operators.detect import detectors, dictionary_spans, with_spans
-from maskloom.operators.pseudonyms import anonymise, check_types, ranked, restored
+from maskloom.operators.pseudonyms import anonymise, check_types, ranked, restored, restored_json
 from maskloom.plans import fixtures as X
 from maskloom.plans.runs import anonymise_known, preview
 
@@ -110,3 +111,12 @@ def test_empty_tables(spark):
     assert after.count() == 0 and mapping.count() == 0
     assert review.candidates(empty, ["i"]).count() == 0
     assert spec.summary(spark.createDataFrame([], X.CELLS[0])).count() == 0
+
+
+def test_numbers_past_four_digits_are_restored(spark):
+    mapping = spark.createDataFrame([("PERSON", "Anna", "PERSON_1000"), ("PERSON", "Boris", "PERSON_10000"), ("PHONE", "555", "PHONE_0001")], "type string, original string, pseudonym string")
+    texts = spark.createDataFrame([(1, "PERSON_10000, PERSON_1000 and PHONE_00015, PERSON_10001")], "i long, text string")
+    r = restored(texts, mapping, token=LONG_TOKEN).first()
+    assert (r.text, r.tokens, r.unknown) == ("Boris, Anna and 5555, PERSON_10001", 4, ["PERSON_10001"])
+    files = spark.createDataFrame([(1, '["PERSON_10000", "PERSON_1000"]')], "i long, text string")
+    assert json.loads(restored_json(files, mapping, token=LONG_TOKEN).first().text) == ["Boris", "Anna"]
