@@ -2,9 +2,9 @@
 
 Tokens are words and one end for each document, which also is the context of its first word. Bigram counts with
 Good-Turing discounts back off to unigrams with weights that make each context's probabilities sum to one exactly.
-Words beyond the `vocabulary` most frequent ones share a class in contexts and in bigrams, and within the class go by
-their own counts, so no word is dropped. What is bounded by the vocabulary (unigrams, contexts' weights) is sent to all
-tasks; what grows with the corpus (counts of all words, bigram counts) stays in tables partitioned by key.
+Every word of the training rows has an id and is a context and part of bigrams of its own. The `common` most frequent
+ones are sent to all tasks, with their counts and, as contexts, their weights; ids and counts of all others are joined
+by word, and the sums that give their weights come with the counts of bigrams. Which words are common changes no score.
 
 Documents are dealt to chunks. A chunk sums its bigrams first and asks the owner of each range of bigrams for the totals
 of those it holds, as sorted and compressed arrays; the owner adds up all requests, keeps its part of the table and
@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, sliced, stored, text_of
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Ids of the class of further words and of the end; the other words of the vocabulary follow.
+#: Ids of words that training rows lack (or of the class of further words) and of the end; the other words follow.
 FURTHER, END = 0, 1
-WIDTH = 18
+WIDTH = 31
+#: Words that are sent to all tasks.
+COMMON = (1 << 18) - 2
 #: Counts up to K are discounted. Contexts up to SPREAD are so frequent that their bigrams are spread over all owners.
 K, SPREAD = 5, 1024
 
@@ -81,24 +84,52 @@ def frequent(counts: DataFrame, vocabulary: int) -> tuple[list[bytes], np.ndarra
     return [words[i] for i in order], n[order]
 
 
+def numbered(counts: DataFrame, words: list[bytes], n: np.ndarray) -> DataFrame:
+    """(word, id, n) of the words that are not common, numbered on from those: by part, and by place within it."""
+    rest = F.col("word") != F.lit(b"")
+    if words:
+        rest &= F.col("n") < int(n[-1])  # frequent() takes all words of a count or none
+    told = stored(counts.filter(rest).withColumn("_at", F.monotonically_increasing_id()), "further")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["p"]: r["k"] for r in told.groupBy(part.alias("p")).agg(F.count("*").alias("k")).collect()}  # a row for each part
+    at, starts = END + 1 + len(words), []
+    for k in sorted(sizes):
+        starts.append((k, at))
+        at += sizes[k]
+    if at > 1 << WIDTH:
+        raise ValueError(f"more than {1 << WIDTH} distinct words")
+    before = told.sparkSession.createDataFrame(starts, "_p long, _before long")
+    return told.withColumn("_p", part).join(F.broadcast(before), "_p").select("word", (F.col("_before") + place).alias("id"), "n")
+
+
 def tokenised(rows: DataFrame, words: list[bytes]) -> DataFrame:
-    """(row, _id, held_out, n_tokens, ids, further): ids as 32-bit numbers, the end last; further: the words without an id."""
+    """(row, _id, held_out, n_tokens, ids, further): ids as 32-bit numbers, the end last; further: the distinct words without
+    an id. Where one stands, ids has FURTHER, and the words' places among further are in places, in turn."""
     number = {w: i for i, w in enumerate(words, END + 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = number.get
         for batch in sliced(batches):
-            ids, further = [], []
+            ids, further, places = [], [], []
             for text in batch.column(2).to_pylist():
                 own = _words(text)
                 found = np.array([*map(get, own, [FURTHER] * len(own)), END], np.uint32)
                 ids.append(found.tobytes())
-                further.append([own[i] for i in np.flatnonzero(found == FURTHER)])
+                place: dict[bytes, int] = {}
+                places.append(np.array([place.setdefault(own[i], len(place)) for i in np.flatnonzero(found == FURTHER)], np.uint32).tobytes())
+                further.append(list(place))
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(ids, pa.binary()), pa.array(further, pa.list_(pa.binary()))], ["_id", "held_out", "n_tokens", "ids", "further"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(ids, pa.binary()), pa.array(places, pa.binary()), pa.array(further, pa.list_(pa.binary()))], names)
 
+    names = ["_id", "held_out", "n_tokens", "ids", "places", "further"]
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "held_out", "_t").mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens long, ids binary, further array<binary>").withColumn("row", F.monotonically_increasing_id())
+    return rows.select("_id", "held_out", "_t").mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens long, ids binary, places binary, further array<binary>").withColumn("row", F.monotonically_increasing_id())
+
+
+def looked_up(chunked: DataFrame, table: DataFrame) -> DataFrame:
+    """(chunk, row, place, id, n): for each row's further words their ids and training counts; FURTHER and 0 where there are none."""
+    asked = chunked.select("chunk", "row", F.posexplode("further").alias("place", "word"))
+    return asked.join(table, "word", "left").select("chunk", "row", F.col("place").cast("long").alias("place"), F.coalesce("id", F.lit(FURTHER)).cast("long").alias("id"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _press(x: np.ndarray) -> bytes:
@@ -107,6 +138,8 @@ def _press(x: np.ndarray) -> bytes:
 
 
 def _unpress(blob: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
     planes = np.frombuffer(pa.decompress(blob, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
     return np.ascontiguousarray(planes.T).view("<u8").reshape(n).astype(np.int64)
 
@@ -119,77 +152,119 @@ def _unpress_keys(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unpress(blob, n))
 
 
-def _owners(keys: np.ndarray, owners: int) -> np.ndarray:
+def _owners(keys: np.ndarray, owners: int, common: int) -> np.ndarray:
     """Each bigram's owner: its context's, but for the most frequent contexts, whose bigrams are spread."""
     context = keys >> WIDTH
-    own = np.where(context <= SPREAD, keys, context).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = np.where(context < min(SPREAD, common), keys, context).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((own >> np.uint64(33)) % np.uint64(owners)).astype(np.int64)
 
 
-def _bigrams(ids: list[bytes], owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk's documents: distinct bigrams by owner and key, each token's place among them, tokens, and each document's first token."""
-    each = [np.frombuffer(x, np.uint32) for x in ids]
-    tokens = np.concatenate(each).astype(np.int64)
-    first = np.cumsum([0, *(len(x) for x in each[:-1])])
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first] = END
-    keys, at = np.unique(before << WIDTH | tokens, return_inverse=True)
-    own = _owners(keys, owners)
-    order = np.lexsort((keys, own))
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    return keys[order], own[order], place[at], tokens, first
+class _Chunk:
+    """A chunk's documents: tokens, each one's training count where it isn't common, distinct bigrams by owner and key, and each token's place among them."""
+
+    def __init__(self, docs: pa.Table, found: pa.Table, owners: int, common: int):
+        docs = docs.sort_by("row")
+        found = found.sort_by([("row", "ascending"), ("place", "ascending")])
+        self.docs, self.row = docs, docs.column("row")
+        each = [np.frombuffer(x, np.uint32) for x in docs.column("ids").to_pylist()]
+        self.tokens = np.concatenate(each).astype(np.int64)
+        self.first = np.cumsum([0, *(len(x) for x in each[:-1])])
+        self.further = np.flatnonzero(self.tokens == FURTHER)
+        self.n = np.zeros(len(self.tokens), np.int64)
+        places = [np.frombuffer(x, np.uint32) for x in docs.column("places").to_pylist()]
+        start = np.searchsorted(found.column("row").to_numpy(), self.row.to_numpy())
+        at = np.concatenate([p + a for p, a in zip(places, start, strict=True)]).astype(np.int64)
+        self.tokens[self.further] = found.column("id").to_numpy()[at]
+        self.n[self.further] = found.column("n").to_numpy()[at]
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.first] = END
+        keys, one, at = np.unique(before << WIDTH | self.tokens, return_index=True, return_inverse=True)
+        own = _owners(keys, owners, common)
+        order = np.lexsort((keys, own))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.keys, self.own, self.at, self.word_n = keys[order], own[order], place[at], self.n[one][order]
+
+    def cuts(self) -> list[tuple[int, int]]:
+        """Each owner's stretch of keys."""
+        cut = np.flatnonzero(np.diff(self.own, prepend=-1)).tolist()
+        return list(zip(cut, [*cut[1:], len(self.own)], strict=True))
+
+
+def _contexts(keys: np.ndarray, common: int) -> np.ndarray:
+    """The contexts that are not common, sorted."""
+    context = keys >> WIDTH
+    return np.unique(context[context >= common])
+
 
+def _sums(keys: np.ndarray, counts: np.ndarray, masses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, and for each how many bigrams were seen 1 to K + 1 times, the sum of counts over K, and the sum of its bigrams' words' masses."""
+    context, at = np.unique(keys >> WIDTH, return_inverse=True)
+    by = lambda w: np.bincount(at, w, len(context)).astype(np.int64)
+    return context, np.array([*(by(counts == r) for r in range(1, K + 2)), by(counts * (counts > K)), by(masses)], np.int64).reshape(K + 3, len(context))
 
-def requests(tokens: DataFrame, owners: int) -> DataFrame:
-    """(owner, chunk, n, keys, counts): each chunk's distinct bigrams by owner, with their counts in training documents."""
 
-    def ask(key, t):
-        docs = t.column("ids").to_pylist()
-        train = ~np.array(t.column("held_out").to_pylist(), bool)
-        keys, own, at, tokens, first = _bigrams(docs, owners)
-        weight = np.repeat(train, np.diff(np.append(first, len(tokens)))).astype(float)
-        counts = np.bincount(at, weight, len(keys)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(own, prepend=-1))
-        parts = [(int(own[a]), key[0].as_py(), b - a, _press_keys(keys[a:b]), _press(counts[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True)]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["owner", "chunk", "n", "keys", "counts"])
+def requests(chunked: DataFrame, found: DataFrame, owners: int, common: int) -> DataFrame:
+    """(owner, chunk, n, keys, counts, masses): each chunk's distinct bigrams by owner, with their counts in training documents
+    and the masses of their words where those aren't common, which are twice the counts and one."""
 
-    return tokens.select("chunk", "held_out", "ids").groupBy("chunk").applyInArrow(ask, "owner long, chunk long, n long, keys binary, counts binary")
+    def ask(key, docs, found):
+        if not docs.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        c = _Chunk(docs, found, owners, common)
+        train = ~np.array(c.docs.column("held_out").to_pylist(), bool)
+        weight = np.repeat(train, np.diff(np.append(c.first, len(c.tokens)))).astype(float)
+        counts = np.bincount(c.at, weight, len(c.keys)).astype(np.int64)
+        parts = [(int(c.own[a]), key[0].as_py(), b - a, _press_keys(c.keys[a:b]), _press(counts[a:b]), _press(2 * c.word_n[a:b] + 1)) for a, b in c.cuts()]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], names)
 
+    names, kinds = ["owner", "chunk", "n", "keys", "counts", "masses"], [pa.int64()] * 3 + [pa.binary()] * 3
+    left = chunked.select("chunk", "row", "held_out", "ids", "places").groupBy("chunk")
+    return left.cogroup(found.groupBy("chunk")).applyInArrow(ask, "owner long, chunk long, n long, keys binary, counts binary, masses binary")
 
-def answered(asked: DataFrame) -> DataFrame:
-    """(owner, chunk, n, keys, counts): for each request the totals of its bigrams, and with a null chunk the owner's part of the table."""
+
+def answered(asked: DataFrame, mass: np.ndarray) -> DataFrame:
+    """(owner, chunk, n, counts, m, sums): for each request the totals of its bigrams and the sums of its contexts that aren't
+    common. With a null chunk: the sums of the common contexts, whose ids are counts; and with owner -1, of all others together.
+    mass: those of the common words."""
 
     def answer(key, t):
         n = t.column("n").to_pylist()
-        keys, at = np.unique(np.concatenate([_unpress_keys(k, m) for k, m in zip(t.column("keys").to_pylist(), n, strict=True)]), return_inverse=True)
+        asked = [_unpress_keys(k, m) for k, m in zip(t.column("keys").to_pylist(), n, strict=True)]
+        keys, one, at = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
         counts = np.concatenate([_unpress(c, m) for c, m in zip(t.column("counts").to_pylist(), n, strict=True)])
         totals = np.bincount(at, counts, len(keys)).astype(np.int64)
-        ends = np.cumsum([0, *n])
-        replies = [_press(totals[at[a:b]]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        word = keys & ((1 << WIDTH) - 1)
+        masses = np.where(word < len(mass), mass[np.minimum(word, len(mass) - 1)], np.concatenate([_unpress(c, m) for c, m in zip(t.column("masses").to_pylist(), n, strict=True)])[one])
         seen = totals > 0
-        return pa.table(
-            [pa.array([key[0].as_py()] * (len(n) + 1), pa.int64()), pa.array([None, *t.column("chunk").to_pylist()], pa.int64()), pa.array([int(seen.sum()), *n], pa.int64()),
-             pa.array([_press_keys(keys[seen]), *[None] * len(n)], pa.binary()), pa.array([_press(totals[seen]), *replies], pa.binary())],
-            ["owner", "chunk", "n", "keys", "counts"],
-        )
+        context, sums = _sums(keys[seen], totals[seen], masses[seen])
+        common = int(np.searchsorted(context, len(mass)))
+        own, chunk = key[0].as_py(), [None, None, *t.column("chunk").to_pylist()]
+        ends = np.cumsum([0, *n])
+        far, far_sums = context[common:], np.append(sums[:, common:], np.zeros((K + 3, 1), np.int64), 1)
+        replies = [(common, _press(context[:common]), common, _press(sums[:, :common].ravel())), (0, b"", 1, _press(sums[:, common:].sum(1)))]
+        for a, b, k in zip(ends.tolist(), ends[1:].tolist(), asked, strict=False):
+            wanted = _contexts(k, len(mass))
+            place = np.searchsorted(far, wanted)
+            there = (place < len(far)) & (np.append(far, -1)[place] == wanted)
+            replies.append((b - a, _press(totals[at[a:b]]), len(wanted), _press(far_sums[:, np.where(there, place, len(far))].ravel())))
+        size, blobs, m, sum_blobs = zip(*replies, strict=True)
+        return pa.table([pa.array([own, -1, *[own] * len(n)], pa.int64()), pa.array(chunk, pa.int64()), pa.array(size, pa.int64()), pa.array(blobs, pa.binary()), pa.array(m, pa.int64()), pa.array(sum_blobs, pa.binary())], ["owner", "chunk", "n", "counts", "m", "sums"])
 
-    return asked.groupBy("owner").applyInArrow(answer, "owner long, chunk long, n long, keys binary, counts binary")
+    return asked.groupBy("owner").applyInArrow(answer, "owner long, chunk long, n long, counts binary, m long, sums binary")
 
 
 class Backoff:
-    """Discounts, contexts' weights and unigrams; arrays by id."""
-
-    def __init__(self, unigram: np.ndarray, n: np.ndarray, large: np.ndarray, seen: np.ndarray):
-        """unigram: probabilities. For each context: n[r - 1], how many bigrams were seen r times, up to K + 1; the sum of
-        counts over K; the sum of the unigram probabilities of what was seen after it."""
-        self.unigram = unigram
-        of = n.sum(1).astype(float)
-        self.discount = good_turing(of)
+    """Weights of contexts, from discounts and sums of their bigrams; arrays with a place for each context."""
+
+    def __init__(self, discount: np.ndarray, n: np.ndarray, large: np.ndarray, seen: np.ndarray):
+        """For each context: n[r - 1], how many bigrams were seen r times, up to K; the sum of counts over K; the sum of the
+        unigram probabilities of what was seen after it."""
+        self.discount = discount
         r = np.arange(1, K + 1)
         self.context = (r[:, None] * n[:K]).sum(0) + large
-        kept = (self.discount[:, None] * r[:, None] * n[:K]).sum(0) + large
+        kept = (discount[:, None] * r[:, None] * n[:K]).sum(0) + large
         # Where nothing of a context's counts is discounted, one more count is left over for what it hasn't seen.
         self.plain = (self.context > 0) & (self.context - kept <= 1e-9 * self.context)
         total = np.maximum(self.context, 1).astype(float)
@@ -200,11 +275,12 @@ class Backoff:
         self.weight = np.where(self.context > 0, np.where(self.full, 0.0, left / np.maximum(unseen, 1e-300)), 1.0)
         self.spread = np.where(self.full, 1 / np.maximum(1 - left, 1e-300), 1.0)
 
-    def probability(self, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """P(word | context), the bigram's training count given: discounted where it was seen, else by backing off to the unigram."""
+    def probability(self, context: np.ndarray, unigram: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """P(word | context) by the context's place, the word's unigram probability and the bigram's training count: discounted
+        where it was seen, else by backing off to the unigram."""
         d = np.where((count <= K) & ~self.plain[context], self.discount[np.clip(count, 1, K) - 1], 1.0)
         seen = d * count / np.maximum(self.context[context] + self.plain[context], 1) * self.spread[context]
-        return np.where(count > 0, seen, self.weight[context] * self.unigram[word])
+        return np.where(count > 0, seen, self.weight[context] * unigram)
 
 
 def good_turing(n: np.ndarray) -> np.ndarray:
@@ -217,81 +293,93 @@ def good_turing(n: np.ndarray) -> np.ndarray:
     return np.where((d > 0) & (d < 1), d, (r - 0.5) / r)
 
 
-def fit(table: DataFrame, unigram: np.ndarray) -> Backoff:
-    """The model, from the stored table of bigrams (owner, n, keys, counts)."""
+def fit(table: DataFrame, size: int, whole: float) -> Backoff:
+    """The common contexts' weights, and the discounts, from the owners' sums (the rows of answered() without a chunk)."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, k, c in zip(*(batch.column(x).to_pylist() for x in ("n", "keys", "counts")), strict=True):
-                keys, counts = _unpress_keys(k, n), _unpress(c, n)
-                context, at = np.unique(keys >> WIDTH, return_inverse=True)
-                by = lambda w: np.bincount(at, w, len(context)).astype(float)  # noqa: E731, B023
-                columns = [by(counts == r).astype(np.int64) for r in range(1, K + 2)] + [by(counts * (counts > K)).astype(np.int64), by(unigram[keys & ((1 << WIDTH) - 1)])]
-                yield pa.RecordBatch.from_arrays([pa.array(context), *map(pa.array, columns)], names)
-
-    names = ["context", *(f"n{r}" for r in range(1, K + 2)), "large", "seen"]
-    sums = table.select("n", "keys", "counts").mapInArrow(summed, ", ".join(f"{x} {'double' if x == 'seen' else 'long'}" for x in names))
-    found = sums.groupBy("context").agg(*(F.sum(x).alias(x) for x in names[1:])).toArrow()  # a row for each word of the vocabulary at most
+            for own, n, c, m, x in zip(*(batch.column(x).to_pylist() for x in ("owner", "n", "counts", "m", "sums")), strict=True):
+                context = _unpress(c, n) if own >= 0 else np.array([-1], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(context), *map(pa.array, _unpress(x, (K + 3) * m).reshape(K + 3, m))], names)
+
+    names = ["context", *(f"n{r}" for r in range(1, K + 2)), "large", "masses"]
+    sums = table.select("owner", "n", "counts", "m", "sums").mapInArrow(summed, ", ".join(f"{x} long" for x in names))
+    found = sums.groupBy("context").agg(*(F.sum(x).alias(x) for x in names[1:])).toArrow()  # a row for each common word at most, and one
     at = found.column("context").to_numpy()
-    full = {}
-    for x in names[1:]:
-        full[x] = np.zeros(len(unigram), float if x == "seen" else np.int64)
-        full[x][at] = found.column(x).to_numpy()
-    return Backoff(unigram, np.array([full[x] for x in names[1:-2]]), full["large"], full["seen"])
+    x = np.zeros((K + 3, size + 1), np.int64)
+    x[:, at] = np.array([found.column(c).to_numpy() for c in names[1:]])  # -1: all contexts that aren't common
+    discount = good_turing(x[: K + 1].sum(1).astype(float))
+    x = x[:, :size]
+    return Backoff(discount, x[:K], x[K + 1], x[K + 2] / whole)
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = (1 << WIDTH) - 2, tokens_in_part: int = 1_500_000) -> DataFrame:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, tokens_in_part: int = 1_500_000) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     base_score is that of unigrams with half a count added to each and to one unseen word. Null and empty texts are an
     end alone. A null id is not held out; repeated rows count as often as they come and get equal rows. With nothing to
     learn from, every token has probability 1 by either score. Columns other than the two named are not read.
+    Where a vocabulary is asked for, words beyond that many share a class in contexts and bigrams, and go by their own
+    counts within it; by default there is no such class.
     """
-    if vocabulary > (1 << WIDTH) - 2:
-        raise ValueError(f"a vocabulary has at most {(1 << WIDTH) - 2} words")
+    if vocabulary is not None and vocabulary > COMMON:
+        raise ValueError(f"a vocabulary has at most {COMMON} words")
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"), held_out(id_col).alias("held_out"))
     counts = stored(word_counts(rows), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col("n"))), F.lit(0)).alias("ends")).first()
-    words, n = frequent(counts, vocabulary)
+    words, n = frequent(counts, COMMON if vocabulary is None else vocabulary)
     n_all, v_all = total["n"], total["v"]
-    known = np.concatenate([[0, total["ends"]], n]).astype(float)
+    known = np.concatenate([[0, total["ends"]], n]).astype(np.int64)
     whole = n_all + 0.5 * (v_all + 1)
-    n_further, v_further = n_all - known.sum(), v_all - (total["ends"] > 0) - len(words)
-    further_mass = n_further + 0.5 * (v_further + 1)
-    unigram = (known + 0.5) / whole
-    unigram[FURTHER] = further_mass / whole
+    # One unseen word; with a vocabulary all further words and that one. Masses are doubled, so that they are whole.
+    shared_n, shared_v = (0, 0) if vocabulary is None else (n_all - int(known.sum()), v_all - (total["ends"] > 0) - len(words))
+    mass = 2 * known + 1
+    mass[FURTHER] = 2 * shared_n + shared_v + 1
+    unigram = mass / (2 * whole)
     if not total["ends"]:
         unigram[END] = 0.0 if len(words) else unigram[END]
 
     tokens = stored(tokenised(rows, words), "tokens")
     parts = 1 + (tokens.agg(F.sum("n_tokens")).first()[0] or 0) // tokens_in_part
     chunked = tokens.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    replies = stored(answered(requests(chunked, parts)), "bigrams")
-    model = fit(replies.filter("chunk is null"), unigram)
+    far = numbered(counts, words, n) if vocabulary is None else counts.select("word", F.lit(FURTHER).cast("long").alias("id"), "n")
+    found = stored(looked_up(chunked, far), "found")
+    common, any_known = len(mass), int(total["ends"] > 0)
+    replies = stored(answered(requests(chunked, found, parts, common), mass), "bigrams")
+    model = fit(replies.filter("chunk is null"), common, 2 * whole)
     log_known = np.log10(known + 0.5)
-    log_known[FURTHER] = 0.0
 
     def scored(key, left, right):
         if not left.num_rows:
             return left.select([]).slice(0, 0)
-        keys, _, at, token, first = _bigrams(left.column("ids").to_pylist(), parts)
-        right = right.sort_by("owner")
-        count = np.concatenate([_unpress(c, m) for c, m in zip(right.column("counts").to_pylist(), right.column("n").to_pylist(), strict=True)])
-        log_p = np.log10(np.maximum(model.probability(keys >> WIDTH, keys & ((1 << WIDTH) - 1), count), 1e-300))
-        sums = [np.add.reduceat(x, first) for x in ((token != FURTHER).astype(np.int64), log_known[token], log_p[at])]
-        return pa.table([left.column("row"), *map(pa.array, sums)], ["row", "known", "base", "score"])
-
-    by_chunk = chunked.select("chunk", "row", "ids").groupBy("chunk").cogroup(replies.filter("chunk is not null").select("chunk", "owner", "n", "counts").groupBy("chunk"))
-    common = by_chunk.applyInArrow(scored, "row long, known long, base double, score double")
-    rare = tokens.select("row", F.explode("further").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k")).join(counts, "word", "left")
-    c = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum("k").alias("f"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("f_known"), F.sum(F.col("k") * F.log10(c + 0.5)).alias("f_log"))
-    out = tokens.select("row", "_id", "held_out", "n_tokens").join(common, "row").join(rare, "row", "left")
-    f, f_known, f_log = (F.coalesce(x, F.lit(0)) for x in ("f", "f_known", "f_log"))
-    return out.select(
+        replied = pc.is_valid(right.column("owner"))
+        c = _Chunk(left, right.filter(pc.invert(replied)), parts, common)
+        right = right.filter(replied).sort_by("owner")
+        column = lambda x: right.column(x).to_pylist()
+        count = np.concatenate([_unpress(x, m) for x, m in zip(column("counts"), column("n"), strict=True)])
+        asked = np.concatenate([_contexts(c.keys[a:b], common) for a, b in c.cuts()])
+        order = np.argsort(asked)
+        sums = np.concatenate([_unpress(x, (K + 3) * m).reshape(K + 3, m) for x, m in zip(column("sums"), column("m"), strict=True)], 1)[:, order]
+        own = Backoff(model.discount, sums[:K], sums[K + 1], sums[K + 2] / (2 * whole))
+        context, word = c.keys >> WIDTH, c.keys & ((1 << WIDTH) - 1)
+        p = np.where(word < common, unigram[np.minimum(word, common - 1)], (c.word_n + 0.5) / whole)
+        near = context < common
+        p[near] = model.probability(context[near], p[near], count[near])
+        p[~near] = own.probability(np.searchsorted(asked[order], context[~near]), p[~near], count[~near])
+        score = np.log10(np.maximum(p, 1e-300))[c.at]
+        # Words of a class go by their own counts within it.
+        score += np.where(c.tokens == FURTHER, np.log10(c.n + 0.5) - math.log10(mass[FURTHER] / 2), 0.0)
+        is_known, base = np.full(len(c.tokens), any_known), log_known[np.minimum(c.tokens, common - 1)]
+        is_known[c.further], base[c.further] = c.n[c.further] > 0, np.log10(c.n[c.further] + 0.5)
+        return pa.table([c.row, *(pa.array(np.add.reduceat(x, c.first)) for x in (is_known, base, score))], ["row", "known", "base", "score"])
+
+    told = replies.filter("chunk is not null").unionByName(found, allowMissingColumns=True)
+    by_chunk = chunked.select("chunk", "row", "ids", "places").groupBy("chunk").cogroup(told.groupBy("chunk"))
+    sums = by_chunk.applyInArrow(scored, "row long, known long, base double, score double")
+    return tokens.select("row", "_id", "held_out", "n_tokens").join(sums, "row").select(
         F.col("_id").alias(id_col), "held_out", "n_tokens",
-        (F.when(F.lit(total["ends"] > 0), F.col("known")).otherwise(0) + f_known).cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + f_log - F.col("n_tokens") * math.log10(whole)).alias("base_score"),
-        (F.col("score") + f_log - f * math.log10(further_mass)).alias("score"),
+        (F.col("base") - F.col("n_tokens") * math.log10(whole)).alias("base_score"),
+        "score",
     )

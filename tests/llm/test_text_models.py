@@ -336,3 +336,26 @@ def test_pieces_odd_rows(odd, nothing):
     back = SP.decode(SP.encode(odd).filter("doc_id = 9")).first()
     assert back.text == odd.filter("doc_id = 9").first().text
     assert SP.encode(nothing).count() == 0 and SP.decode(SP.encode(nothing)).count() == 0
+
+
+@pytest.mark.parametrize("common", [None, 300, 0])
+def test_no_word_loses_its_own_bigrams(spark, monkeypatch, common):
+    """Every trained word is a context and has bigrams of its own, whichever words are sent to all tasks."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    train = {w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in (t or "").translate(LOW).encode().split()}
+    expected, _, _ = slow_katz(rows, None, sorted(train))
+    if common is not None:
+        monkeypatch.setattr(K, "COMMON", common)
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in K.katz_scores(docs, tokens_in_part=2000).collect())
+    for a, b in zip(got, expected, strict=True):
+        assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-6, abs_tol=1e-3) and math.isclose(a[5], b[5], rel_tol=1e-6, abs_tol=1e-3)
+
+
+def test_rare_words_of_a_large_vocabulary_keep_their_bigrams(spark):
+    spread = " ".join(f"w{i} w{i + 1}" for i in range(0, 300_000, 2))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    free = [i for i in range(100) if i not in ids]
+    docs = spark.createDataFrame([(free[0], spread), (ids[0], "w4 w5"), (ids[1], "w4 w7")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in K.katz_scores(docs).collect()}
+    assert score[ids[0]] > score[ids[1]] + 1
