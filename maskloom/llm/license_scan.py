@@ -85,16 +85,25 @@ def word_order(docs: DataFrame, words: list[str], text_col: str = "text") -> lis
     return sorted(words, key=lambda w: (n.get(w, 0), w))
 
 
+def _lines(text: Column) -> Column:
+    """The whole text where it has several lines, else nothing; then the lines."""
+    lines = F.split(text, "\n")
+    return F.concat(F.array(F.when(F.size(lines) > 1, text).otherwise("")), lines)
+
+
 def blocks(docs: DataFrame, keep: list[str], needles: list[str], text_col: str = "text") -> DataFrame:
-    """keep, block (number), words (array) of documents that hold one of the needles: lines, long ones in windows."""
-    lines = docs.filter(spaced(text_of(text_col)).rlike(" (?:" + "|".join(needles) + ") ")).select(*keep, F.posexplode(F.split(text_of(text_col), "\n")).alias("line", "_line"))
+    """keep, block (number), words (array) of documents that hold one of the needles: lines, long ones in windows, and windows
+    over the whole text (line -1), as notices are wrapped over lines."""
+    lines = docs.filter(spaced(text_of(text_col)).rlike(" (?:" + "|".join(needles) + ") ")).select(*keep, F.posexplode(_lines(text_of(text_col))).alias("line", "_line"))
+    lines = lines.withColumn("line", F.col("line") - 1)
     words = lines.select(*keep, "line", F.array_compact(F.transform(F.split(F.trim(spaced(F.col("_line"))), " "), lambda w: F.when(w != "", w))).alias("_w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - 1 - STEP, F.lit(0)), F.lit(STEP))
     return words.select(*keep, "line", "_w", F.explode(starts).alias("start")).select(*keep, F.struct("line", "start").alias("block"), F.slice("_w", F.col("start") + 1, WINDOW).alias("words"))
 
 
 def template_join(docs: DataFrame, keep: list[str], text_col: str = "text", threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
-    """keep, block, label, containment, matched: every pair of a block and a template that reaches the threshold."""
+    """keep, block, template, label, containment, matched, held, exact: every pair of a block and a template that reaches the
+    threshold. held: the words matched; exact: whether the block has the template word for word."""
     sets = [(i, label, sorted(set(t.split()))) for i, (label, t) in enumerate(templates)]
     order = word_order(docs, sorted({w for _, _, t in sets for w in t}), text_col)
     rank = {w: i for i, w in enumerate(order)}
@@ -103,32 +112,42 @@ def template_join(docs: DataFrame, keep: list[str], text_col: str = "text", thre
     prefix = [(w, p, i) for i, t in ordered.items() for p, w in enumerate(t[: len(t) - need[i] + 1])]
     spark = docs.sparkSession
     probe = spark.createDataFrame(prefix, "word string, t_pos int, template int")
-    whole = spark.createDataFrame([(i, label, ordered[i], len(t), need[i]) for i, label, t in sets], "template int, label string, t_words array<string>, t_n int, need int")
+    whole = spark.createDataFrame([(i, label, ordered[i], len(t), need[i], f" {templates[i][1]} ") for i, label, t in sets], "template int, label string, t_words array<string>, t_n int, need int, t_text string")
     # array_intersect keeps the order of its first argument: the block's template words, rarest first.
-    held = blocks(docs, keep, sorted({w for w, _, _ in prefix}), text_col).select(*keep, "block", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("_b"))
+    held = blocks(docs, keep, sorted({w for w, _, _ in prefix}), text_col).select(*keep, "block", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("_b"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("_text"))
     least = min(need.values())
     first = F.slice("_b", 1, F.greatest(F.size("_b") - least + 1, F.lit(0)))
-    found = held.filter(F.size("_b") >= least).select(*keep, "block", "_b", F.posexplode(first).alias("b_pos", "word"))
+    found = held.filter(F.size("_b") >= least).select(*keep, "block", "_b", "_text", F.posexplode(first).alias("b_pos", "word"))
     # Both sides are fixed by TEMPLATES, not by the data: some hundred rows.
     found = found.join(F.broadcast(probe), "word").join(F.broadcast(whole), "template")
     found = found.filter((F.size("_b") >= F.col("need")) & (F.least(F.col("t_n") - F.col("t_pos"), F.size("_b") - F.col("b_pos")) >= F.col("need")))
-    matched = F.size(F.array_intersect("_b", "t_words"))
-    found = found.withColumn("matched", matched).filter(F.col("matched") >= F.col("need"))
-    return found.groupBy(*keep, "block", "template", "label").agg(F.max(F.col("matched") / F.col("t_n")).alias("containment"), F.max("matched").alias("matched"))
+    found = found.withColumn("held", F.array_intersect("_b", "t_words")).withColumn("matched", F.size("held")).filter(F.col("matched") >= F.col("need"))
+    return found.groupBy(*keep, "block", "template", "label").agg(F.max(F.col("matched") / F.col("t_n")).alias("containment"), F.max("matched").alias("matched"), F.first("held").alias("held"), F.max(F.contains("_text", "t_text")).alias("exact"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
-    A block that reaches the threshold for several templates gets the label it holds the most of, by share, then by
-    words. score: the largest share any template reached; 1 where a phrase stands; else 0. Null and empty texts have no
+    A block gets the label of each template that reaches the threshold, but for those whose matched words another one's
+    contain, unless they stand there word for word. n_blocks: blocks with a label, those over several lines only for labels
+    that no line has. score: the largest share any template reached; 1 where a phrase stands; else 0. Null and empty texts have no
     words, no labels and score 0. A null id is kept; rows that repeat both id and text get equal rows. Columns other than
     the two named are not read.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_h", F.xxhash64("_t"))
     pairs = template_join(rows, ["_id", "_h"], "_t", threshold)
-    best = pairs.groupBy("_id", "_h", "block").agg(F.max_by("label", F.struct("containment", "matched", "label")).alias("label"), F.max("containment").alias("containment"))
-    by_doc = best.groupBy("_id", "_h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks"))
+    of = F.struct("containment", "matched", "label", "template", "held", "exact")
+    best = pairs.groupBy("_id", "_h", "block").agg(F.collect_list(of).alias("all"), F.max("containment").alias("containment"))
+    rank = lambda x: F.struct(x["matched"], x["containment"], x["label"], x["template"])
+    within = lambda x, y: (F.size(F.array_except(x["held"], y["held"])) == 0) & (rank(y) > rank(x))
+    kept = F.filter("all", lambda x: x["exact"] | ~F.exists("all", lambda y: within(x, y)))
+    best = best.select("_id", "_h", "block", "containment", (F.col("block.line") < 0).alias("_over"), F.transform(kept, lambda x: x["label"]).alias("labels"))
+    by_doc = best.groupBy("_id", "_h").agg(
+        F.array_distinct(F.flatten(F.collect_set("labels"))).alias("more"), F.max("containment").alias("best"), F.count_if(~F.col("_over")).alias("n_lines"),
+        F.flatten(F.collect_set(F.when(~F.col("_over"), F.col("labels")))).alias("by_line"), F.collect_list(F.when(F.col("_over"), F.col("labels"))).alias("over"),
+    )
+    more_blocks = F.size(F.filter("over", lambda x: F.size(F.array_except(x, "by_line")) > 0))
+    by_doc = by_doc.select("_id", "_h", "more", "best", (F.col("n_lines") + more_blocks).alias("n_blocks"))
     base = phrase_places(rows, ["_id", "_h"], "_t")
     by_doc = by_doc.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     out = base.join(by_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")

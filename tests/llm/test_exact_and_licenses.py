@@ -99,3 +99,15 @@ def test_templates_and_blocks(spark):
     got = {r.doc_id: r for r in L.license_scan(docs).collect()}
     assert got[0].n_base == 2 and got[0].first_word == 0 and got[0].last_word == 3
     assert got[2].labels == "cc-by" and got[3].labels == "cc-by-nc" and got[4].labels == "agpl-3" and got[5].labels == "unlicense"
+
+
+def test_wrapped_and_several_notices(spark):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software\nand associated documentation files",
+        "This program is free software: you can redistribute\nit and/or modify it under the terms of\nthe GNU General Public License",
+        "This work is licensed under the GNU General Public License version 2, or licensed under the GNU Lesser General Public License",
+        "Licensed under CC BY 4.0, parts licensed under CC BY-NC 4.0",
+        "Licensed under CC BY-NC 4.0.",
+    ]
+    got = {r.doc_id: (r.labels, r.n_blocks) for r in L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1), 1: ("gpl", 1), 2: ("gpl-2,lgpl", 1), 3: ("cc-by,cc-by-nc", 1), 4: ("cc-by-nc", 1)}
