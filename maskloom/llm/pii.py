@@ -183,10 +183,22 @@ def features(s: str, before: str, after: str) -> list[str]:
     return f
 
 
-def candidates(text: str, start: int, end: int) -> tuple[int, list[tuple[int, int, int, int, list[int], list[str]]]]:
+Candidate = tuple[int, int, int, int, list[int], list[str]]
+
+
+def candidates(text: str, start: int, end: int) -> tuple[int, list[Candidate]]:
     """The number of tokens of a zone and its candidates: (from token, to token, start, end, kinds, features)."""
-    bounds = [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
-    n, out = len(bounds) - 1, []
+    bounds = _bounds(text, start, end)
+    return len(bounds) - 1, list(_candidates(text, bounds))
+
+
+def _bounds(text: str, start: int, end: int) -> list[int]:
+    return [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
+
+
+def _candidates(text: str, bounds: list[int]) -> Iterator[Candidate]:
+    """By start, so that a zone without end can be read as it goes."""
+    n = len(bounds) - 1
     digit = [0]
     for a, b in zip(bounds, bounds[1:], strict=False):
         digit.append(digit[-1] + (b - a) * ("0" <= text[a] <= "9"))
@@ -202,29 +214,40 @@ def candidates(text: str, start: int, end: int) -> tuple[int, list[tuple[int, in
                 continue
             s = text[a:b]
             if (count >= 7 or "@" in s or "]" in s or ")" in s or ":" in s or s.count(".") >= 3) and (kinds := allowed(s, count)):
-                out.append((i, j, a, b, kinds, features(s, text[max(0, a - 32) : a], text[b : b + 2])))
-    return n, out
+                yield i, j, a, b, kinds, features(s, text[max(0, a - 32) : a], text[b : b + 2])
 
 
 Weights = dict[tuple[str, int], float]
 
 
-def _scores(cands, w: Weights) -> list[tuple[int, int, int, int, float, list[str]]]:
+def _scored(cands, w: Weights) -> Iterator[tuple[int, int, int, int, float, list[str]]]:
     get = w.get
-    return [(i, j, c, k, get(("", k), 0.0) + sum(get((x, k), 0.0) for x in f), f) for c, (i, j, _, _, kinds, f) in enumerate(cands) for k in kinds]
+    return ((i, j, c, k, get(("", k), 0.0) + sum(get((x, k), 0.0) for x in f), f) for c, (i, j, _, _, kinds, f) in enumerate(cands) for k in kinds)
+
+
+def _scores(cands, w: Weights) -> list[tuple[int, int, int, int, float, list[str]]]:
+    return list(_scored(cands, w))
 
 
 def decode(n: int, cands, w: Weights) -> list[tuple[int, int]]:
     """The best segmentation: (candidate, kind) of its entities. Tokens outside score nothing; a touching pair scores w['touch']."""
+    return [(c, k) for _, _, c, k in _decode(n, cands, w)]
+
+
+def _decode(n: int, cands, w: Weights) -> list[tuple[int, int, int, int]]:
+    """(from token, to token, candidate, kind) of the best segmentation. Candidates come by start and aren't kept."""
     touch = w.get(("touch", -1), 0.0)
     by_end: dict[int, list] = {}
-    for x in _scores(cands, w):
-        by_end.setdefault(x[1], []).append(x)
+    coming = _scored(cands, w)
+    x = next(coming, None)
     out_of, within = [0.0] * (n + 1), [-math.inf] * (n + 1)
     back_o, back_e = [0] * (n + 1), [None] * (n + 1)
     for j in range(1, n + 1):
+        while x is not None and x[0] < j:
+            by_end.setdefault(x[1], []).append(x[:5])
+            x = next(coming, None)
         out_of[j], back_o[j] = max((out_of[j - 1], 0), (within[j - 1], 1))
-        for i, _, c, k, s, _ in by_end.get(j, ()):
+        for i, _, c, k, s in by_end.pop(j, ()):
             v, state = max((out_of[i], 0), (within[i] + touch, 1))
             if v + s > within[j]:
                 within[j], back_e[j] = v + s, (i, c, k, state)
@@ -232,7 +255,7 @@ def decode(n: int, cands, w: Weights) -> list[tuple[int, int]]:
     while j > 0:
         if state:
             i, c, k, state = back_e[j]
-            found.append((c, k))
+            found.append((i, j, c, k))
             j = i
         else:
             j, state = j - 1, back_o[j]
@@ -367,10 +390,8 @@ def field_spans(text: str, w: Weights) -> list[Span]:
     """What the field finds in the whole text."""
     out = []
     for a, b in zones(text):
-        for low in range(a, b, 4096):  # a zone without end is read in stretches
-            n, cands = candidates(text, low, min(b, low + 4096))
-            if cands:
-                out += [(KINDS[k], cands[c][2], cands[c][3]) for c, k in decode(n, cands, w)]
+        bounds = _bounds(text, a, b)
+        out += [(KINDS[k], bounds[i], bounds[j]) for i, j, _, k in _decode(len(bounds) - 1, _candidates(text, bounds), w)]
     return out
 
 

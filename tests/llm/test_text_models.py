@@ -359,3 +359,13 @@ def test_rare_words_of_a_large_vocabulary_keep_their_bigrams(spark):
     docs = spark.createDataFrame([(free[0], spread), (ids[0], "w4 w5"), (ids[1], "w4 w7")], "doc_id long, text string")
     score = {r.doc_id: r.score for r in K.katz_scores(docs).collect()}
     assert score[ids[0]] > score[ids[1]] + 1
+
+
+def test_long_zones_are_read_as_a_whole():
+    """Numbers that go on without a newline: each value is found, wherever in the zone it stands."""
+    w = dict(pii.trained())
+    for pad in range(0, 16, 5):
+        text = "1" * pad + " " + "(555) 123-4567 " * 600
+        phones = [s for s in pii.field_spans(text, w) if s[0] == "phone" and "4567" in text[s[1] : s[2]]]
+        ends = [s[2] for s in phones]
+        assert all(any(abs(e - m.end()) <= 1 for e in ends) for m in re.finditer("4567", text)), pad
