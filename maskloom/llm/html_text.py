@@ -34,38 +34,74 @@ SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation navigationbar breadcrumb breadcrumbs masthead footer complementary contentinfo comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations subscribe newsletter widget toolbar pagination pager login signup search skip".split()
 )
+#: Of these, reader comments: often long, and in article elements of their own.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
 
 _TAG = re.compile(r"""<(?:!--(?:.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^>]*(?:>|\Z))""", re.S)
 _MARKED = re.compile(r"""(?i)(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
+_QUOTED = re.compile(r"""(?<==)"[^"]*"|(?<==)'[^']*'""")
+_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:[\s=/]|$)")
+_UNSEEN = re.compile(r"""(?i)aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
+#: has-sidebar, noSidebar: what a wrapper has or lacks isn't what it is.
+_ABOUT = re.compile(r"(?<![A-Za-z])(?:has|no|with|without)(?:[-_]\S+|[A-Z]\S*)")
 _WORD = re.compile("[a-z]+")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "dropped", "unsure", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, unsure: bool = False):
+        self.tag, self.parent, self.dropped, self.unsure = tag, parent, dropped, unsure
         self.parts: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _not_article(tag: str, attrs: str, within: Node) -> bool:
-    if tag in DROPPED:
-        return True
+def _not_article(tag: str, attrs: str, within: Node) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether that is unsure: it may yet hold the article."""
+    if tag in DROPPED and tag != "form":
+        return True, False
     in_article, n = False, within
     while n is not None and not in_article:
         in_article, n = n.tag in ("article", "main"), n.parent
     if tag == "header" and not in_article:
-        return True
+        return True, False
     if not attrs or tag in ("article", "main", "body", "html"):
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    words = {w for m in _MARKED.finditer(attrs) for w in _WORD.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & MARKS) or ("header" in words and not in_article)
+        return tag == "form", tag == "form"
+    if _UNSEEN.search(attrs) or "hidden" in attrs.lower() and _HIDDEN.search(_QUOTED.sub("", attrs)):
+        return True, False
+    words = {w for m in _MARKED.finditer(attrs) for w in _WORD.findall(_CAMEL.sub(" ", _ABOUT.sub(" ", m[1] or m[2] or m[3] or "")).lower())}
+    marked = tag == "form" or bool(words & MARKS) or ("header" in words and not in_article)
+    return marked, marked and not words & COMMENTS
+
+
+def _settle(root: Node) -> None:
+    """Elements that are dropped but unsure stay if they hold most of the page's paragraph text, or an article or main
+    element where none stands elsewhere; then what is within dropped elements is dropped too."""
+    order, at = [root], 0
+    while at < len(order):
+        order += [x for x in order[at].parts if isinstance(x, Node)]
+        at += 1
+    if any(n.unsure for n in order):
+        # By node: surely dropped, at all dropped, within a paragraph; and from below: characters in paragraphs, articles.
+        state = {id(root): (False, False, False)}
+        chars, articles, free = dict.fromkeys(map(id, order), 0), dict.fromkeys(map(id, order), 0), False
+        for n in order[1:]:
+            sure, dropped, p = state[id(n.parent)]
+            state[id(n)] = sure, dropped, p = sure or n.dropped and not n.unsure, dropped or n.dropped, p or n.tag == "p"
+            if not sure:
+                chars[id(n)] = sum(len(x.strip()) for x in n.parts if isinstance(x, str)) if p else 0
+                articles[id(n)] = n.tag in ("article", "main")
+                free = free or not dropped and n.tag in ("article", "main")
+        for n in reversed(order[1:]):
+            chars[id(n.parent)] += chars[id(n)]
+            articles[id(n.parent)] += articles[id(n)]
+        for n in order:
+            if n.unsure and (2 * chars[id(n)] > chars[id(root)] or articles[id(n)] and not free):
+                n.dropped = False
+    for n in order[1:]:
+        n.dropped = n.dropped or n.parent.dropped
 
 
 def parse(page: str) -> Node:
@@ -120,10 +156,11 @@ def parse(page: str) -> Node:
             close(p)
         if tag in ENDS_OWN and (p := opened(ENDS_OWN[tag], SCOPE[tag])) is not None:
             close(p)
-        node = Node(tag, here, here.dropped or _not_article(tag, m["attrs"], here))
+        node = Node(tag, here, *_not_article(tag, m["attrs"], here))
         here.parts.append(node)
         if tag not in VOID and not m["attrs"].endswith("/") and depth < 2000:
             here, depth = node, depth + 1
+    _settle(root)
     return root
 
 

@@ -369,3 +369,15 @@ def test_long_zones_are_read_as_a_whole():
         phones = [s for s in pii.field_spans(text, w) if s[0] == "phone" and "4567" in text[s[1] : s[2]]]
         ends = [s[2] for s in phones]
         assert all(any(abs(e - m.end()) <= 1 for e in ends) for m in re.finditer("4567", text)), pad
+
+
+def test_marked_wrappers_keep_the_article():
+    para = "<p>One, two, three and a good many more words of a real paragraph, as articles have.</p>"
+    text = para[3:-4]
+    for name in ["layout has-sidebar", "no-sidebar", "content related-work", "page social", "search-result", "block hidden md:block", "hasSidebar"]:
+        assert H.main_text(f"<body><nav>menu</nav><div class='{name}'><article>{para}</article></div></body>") == text, name
+        assert H.main_text(f'<body><div class="{name}">{para}{para}</div><div class="sidebar"><p>other</p></div></body>') == f"{text}\n{text}", name
+    assert H.main_text(f"<body><form id='aspnetForm'><div class='menu'>a</div><div>{para}</div></form></body>") == text
+    assert H.main_text(f"<body><article>{para}</article><section class='related'><article>more</article></section></body>") == text
+    assert H.main_text(f"<body><div>{para}</div><div class='comments'><article>{para}{para}</article></div></body>") == text
+    assert H.main_text(f"<body><div>{para}</div><div hidden><p>x</p></div></body>") == text
