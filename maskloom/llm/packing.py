@@ -194,7 +194,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 1500, wid
 
     Starts from best fit as the incumbent. Stops with a proven optimum when the incumbent meets the lower bound or the
     search is exhausted, else after `nodes` nodes with the best found. Up to `single` items, each node makes one bin and
-    all fillings are listed, which makes the search exact.
+    all fillings are listed, so the search is exact if it ends before `nodes`.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
