@@ -1,63 +1,88 @@
 """Exact deduplication through an extendible-hash index on shared files. DataFrame functions only.
 
-The index has a directory (slot of the hash's leading bits -> bucket, local depth) and entries (one per distinct text:
-hash, digest, size of the group, the row that stays). Buckets whose entries exceed `bucket_rows` are split by one more
-bit until they fit, which doubles the directory; entries are written by owner tasks, each with a range of buckets.
-Grouping by (hash, bytes) is where texts whose hashes collide are chained apart: the group key holds the bytes
-themselves, so two texts fall together only if every byte is equal. Copies are summed on the map side first, so that a
-text which a third of all rows share reaches its owner as one row per map task.
+The directory says for each slot, the leading bits of a text's hash, which bucket owns it. It is built from the distinct
+hashes: a bucket that more than `bucket_rows` of them fall into is split by one more bit, which doubles the directory,
+until all fit or hold one hash only. Every text goes through the directory to its bucket, and texts meet within buckets
+only: there they are grouped by hash and bytes, which chains apart texts whose hashes collide. Copies are summed on the
+map side first, so a text that a third of all rows share reaches its owner as one row per map task. Entries are written
+by owner tasks with a range of buckets and keys each; rows are looked up by slot, bucket, hash and digest.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, text_of
+from .common import ascii_lower, own_name, stored, text_of
 
-#: The directory never exceeds 2^20 slots; buckets beyond that depth grow instead.
-MAX_DEPTH = 20
+#: A directory is sent to all tasks up to so many slots (some 24 MB), beyond that it is joined by slot.
+SENT_SLOTS = 1 << 20
 
 
-def _slot(depth: int):
+def _slot(depth: int) -> Column:
     """The leading bits of the hash, as an unsigned number."""
     return F.shiftrightunsigned("_key", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(entries: DataFrame, n: int, bucket_rows: int) -> tuple[DataFrame, int]:
-    """(slot, bucket, local_depth) for each slot in use and the directory's global depth.
+def bucket_size(n: int) -> int:
+    """How many entries a bucket holds at most: about the root of all, so buckets and directory grow alike."""
+    return max(256, 1 << math.ceil(math.log2(max(1, n)) / 2))
 
-    `bucket` is the first slot that shares the bucket. Splitting stops at `bucket_rows` entries or at the global depth,
-    which leaves three doublings beyond an even spread.
-    """
-    deep = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n / bucket_rows)))) + 3)
-    used = entries.groupBy(_slot(deep).alias("slot")).agg(F.count("*").alias("n"))
-    levels = used.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(deep))).alias("depth")).withColumn(
-        "prefix", F.expr(f"shiftright(slot, {deep} - depth)")
-    )
-    sizes = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    fits = levels.join(sizes, ["depth", "prefix"]).filter((F.col("held") <= bucket_rows) | (F.col("depth") == deep))
-    return (
-        fits.groupBy("slot")
-        .agg(F.min("depth").alias("local_depth"))
-        .select("slot", F.expr(f"shiftleft(shiftright(slot, {deep} - local_depth), {deep} - local_depth)").alias("bucket"), "local_depth"),
-        deep,
-    )
 
+def directory(keys: DataFrame, n: int, bucket_rows: int) -> tuple[DataFrame, int]:
+    """(slot, bucket, local_depth) for each slot in use, and the directory's global depth. keys: the n distinct hashes (_key).
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1_000_000) -> DataFrame:
-    """The index of docs, written to the shared folder: _key, text_sha256, n_bytes, keep_id, group_size, bucket, local_depth."""
+    `bucket` is the first slot that shares the bucket.
+    """
+    deep = max(0, math.ceil(math.log2(max(1, n / bucket_rows))))
+    left, levels = keys, []
+    while True:
+        held = left.groupBy(_slot(deep).alias("slot")).agg(F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
+        fits = (F.col("n") <= bucket_rows) | (F.col("low") == F.col("high"))
+        level = stored(held.select("slot", fits.alias("fits")), "level")
+        levels.append((deep, level.filter("fits").select("slot")))
+        over = level.filter("not fits").select(F.col("slot").alias("_over"))
+        if over.isEmpty():
+            break
+        left = left.withColumn("_over", _slot(deep)).join(over, "_over", "left_semi").select("_key")
+        deep += 1
+    used = keys.select(_slot(deep).alias("slot")).distinct()
+    up = lambda d: F.shiftrightunsigned("slot", deep - d)
+    parts = [used.join(level.select(F.col("slot").alias("_own")), up(d) == F.col("_own")).select("slot", F.shiftleft("_own", deep - d).alias("bucket"), F.lit(d).alias("local_depth")) for d, level in levels]
+    return stored(reduce(DataFrame.unionByName, parts), "directory"), deep
+
+
+def routed(rows: DataFrame, slots: DataFrame, deep: int, sent: bool) -> DataFrame:
+    """rows (_key, ...) with the bucket that the directory names."""
+    return rows.withColumn("slot", _slot(deep)).join(F.broadcast(slots) if sent else slots, "slot").drop("slot")
+
+
+def _probes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _key, _sha) of each row, written once."""
+    rows = docs.select(F.col(id_col).alias("_id"), ascii_lower(text_of(text_col)).alias("_norm"))
+    return stored(rows.select("_id", F.xxhash64("_norm").alias("_key"), F.unhex(F.sha2("_norm", 256)).alias("_sha")), "probes")
+
+
+def build_index(docs: DataFrame, probes: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int | None = None) -> tuple[DataFrame, DataFrame, int, bool]:
+    """The index, written to the shared folder, and its directory, global depth, and whether that is small enough to send.
+
+    Entries, one for each distinct text: bucket, local_depth, _key, _sha, n_bytes, keep_id, group_size.
+    """
+    keys = stored(probes.select("_key").distinct(), "keys")
+    n = keys.count()
+    slots, deep = directory(keys, n, bucket_rows or bucket_size(n))
+    sent = slots.count() <= SENT_SLOTS
     texts = docs.select(F.col(id_col).alias("_id"), ascii_lower(text_of(text_col)).alias("_norm")).withColumn("_key", F.xxhash64("_norm"))
-    chained = texts.groupBy("_key", "_norm").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = stored(chained.select("_key", F.sha2("_norm", 256).alias("text_sha256"), F.octet_length("_norm").alias("n_bytes"), "keep_id", "group_size"), "entries")
-    slots, deep = directory(entries, entries.count(), bucket_rows)
-    placed = entries.withColumn("slot", _slot(deep)).join(slots, "slot")
-    return stored(placed.repartitionByRange("bucket", "_key").sortWithinPartitions("bucket", "_key").drop("slot"), "index")
+    chained = routed(texts, slots, deep, sent).groupBy("bucket", "local_depth", "_key", "_norm").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    entries = chained.select("bucket", "local_depth", "_key", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.octet_length("_norm").alias("n_bytes"), "keep_id", "group_size")
+    owned = stored(entries, "entries").repartitionByRange("bucket", "_key").sortWithinPartitions("bucket", "_key")
+    return stored(owned, "index"), slots, deep, sent
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1_000_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int | None = None) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, n_bytes, bucket, local_depth.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest id stays. A null text
@@ -65,23 +90,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only keeps them all, and rows that repeat both id and text share the verdict, since nothing tells them apart.
     An empty table gives an empty result; columns other than the two named are not read.
     """
-    index = build_index(docs, id_col, text_col, bucket_rows)
+    probes = _probes(docs, id_col, text_col)
+    index, slots, deep, sent = build_index(docs, probes, id_col, text_col, bucket_rows)
     # Only ids and hashes are probed. A hot text makes this join skewed, on narrow rows; Spark splits such partitions.
-    probes = docs.select(F.col(id_col).alias(id_col), ascii_lower(text_of(text_col)).alias("_norm")).select(
-        id_col, F.xxhash64("_norm").alias("_key"), F.sha2("_norm", 256).alias("text_sha256")
-    )
-    return probes.join(index, ["_key", "text_sha256"]).select(
-        id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes", "bucket", "local_depth"
+    found = routed(probes, slots, deep, sent).drop("local_depth").join(index, ["bucket", "_key", "_sha"])
+    return found.select(
+        F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), "n_bytes", "bucket", "local_depth"
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text one stays."""
-    verdicts = exact_dedup(docs, id_col, text_col).filter("kept")
-    stay = stored(verdicts.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_n")), "stay")
-    own = docs.withColumn("_own", F.sha2(ascii_lower(text_of(text_col)), 256))
+    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text one stays, of groups of null
+    ids as well."""
+    probes = _probes(docs, id_col, text_col)
+    index, _, _, _ = build_index(docs, probes, id_col, text_col)
+    stay = index.select("keep_id", F.col("_sha").alias("_kept"))
+    mine = own_name(docs, "_own")
+    own = docs.withColumn(mine, F.unhex(F.sha2(ascii_lower(text_of(text_col)), 256)))
     # The narrow side is hashed; whole rows stream by and are not sorted.
-    left = own.join(stay.hint("shuffle_hash"), own[id_col].eqNullSafe(stay["_id"]) & (own["_own"] == stay["_sha"]), "left_semi")
-    if not stay.filter("_n > 1").isEmpty():
-        left = left.dropDuplicates([id_col, "_own"])
-    return left.drop("_own")
+    left = own.join(stay.hint("shuffle_hash"), own[id_col].eqNullSafe(stay["keep_id"]) & (own[mine] == stay["_kept"]), "left_semi")
+    if not probes.groupBy("_id", "_sha").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        left = left.dropDuplicates([id_col, mine])
+    return left.drop(mine)

@@ -2,8 +2,9 @@ import hashlib
 import re
 from collections import defaultdict
 
+from maskloom.llm import exact_dedup as E
 from maskloom.llm import license_scan as L
-from maskloom.llm.exact_dedup import build_index, directory, exact_dedup, one_of_each
+from maskloom.llm.exact_dedup import build_index, exact_dedup, one_of_each
 from maskloom.llm.queries import oracle_sql, queries
 from pyspark.sql import functions as F
 
@@ -34,16 +35,36 @@ def test_exact_dedup_odd_rows(odd, nothing):
 
 def test_directory_doubles_until_buckets_fit(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
-    index = build_index(docs, bucket_rows=100)
+    index, slots, deep, _ = build_index(docs, E._probes(docs, "doc_id", "text"), bucket_rows=100)
     sizes = index.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("local_depth").alias("d")).collect()
     assert max(s.n for s in sizes) <= 100 and all(s.d == 1 for s in sizes) and len(sizes) > 30
-    slots, deep = directory(index.select("_key"), 3000, 100)
-    assert slots.count() <= 2**deep
+    depth = {r.slot: (r.bucket, r.local_depth) for r in slots.collect()}
+    assert len(depth) <= 2**deep and max(d for _, d in depth.values()) == deep
+    for slot, (bucket, d) in depth.items():
+        assert slot >> (deep - d) == bucket >> (deep - d)
 
 
-def test_colliding_hashes_are_told_apart(spark, monkeypatch):
-    from maskloom.llm import exact_dedup as E
+def test_buckets_split_on_the_given_tables(spark):
+    rows = exact_dedup(spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")).select("bucket").distinct().count()
+    assert rows > 16 and E.bucket_size(5 * 10**10) == 1 << 18
+
+
+def test_rows_are_looked_up_by_the_directory(spark, monkeypatch):
+    """Copies in different letter case are found by way of their bucket alone: a directory that sends one astray loses it."""
+    docs = spark.createDataFrame([(i, f"text {i % 700}" if i < 700 else f"TEXT {i % 700}") for i in range(1400)], "doc_id long, text string")
+    right = exact_dedup(docs, bucket_rows=50)
+    assert right.filter("group_size = 2").count() == 1400
+    true = E.directory
+
+    def wrong(keys, n, bucket_rows):
+        slots, deep = true(keys, n, bucket_rows)
+        return slots.filter("slot % 2 = 0"), deep
 
+    monkeypatch.setattr(E, "directory", wrong)
+    assert 0 < exact_dedup(docs, bucket_rows=50).count() < 1400
+
+
+def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(E.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (4, "c")], "doc_id long, text string")
     got = {(r.doc_id, r.keep_id, r.group_size) for r in E.exact_dedup(docs).collect()}
