@@ -9,17 +9,17 @@ that those agree for unequal values is taken out of the estimate.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, sliced, text_of
+from .common import LOWER, UPPER, sliced, stored, text_of
 
 SHINGLE, BINS, BITS = 5, 512, 4
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -103,56 +103,70 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_in_range: int = 4096) -> DataFrame:
+NAMES = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+REPORT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _finished(text: str, own: np.ndarray, following: str, theirs: np.ndarray) -> tuple:
+    edited = _edited(text, following)
+    e = sketch(edited)
+    return len(text), hashlib.sha256(edited.encode()).hexdigest(), packed_hex(own), packed_hex(e), likeness(own, e), likeness(own, theirs)
+
+
+def _report_columns(out: list[tuple]) -> list[pa.Array]:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    return [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)]
+
+
+def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_in_range: int = 65_536) -> DataFrame:
     """One row per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
-    document by ascending id; the first follows the last. Rows of one id come by text; a null id comes first, and an id
-    must be a whole number. Null texts count as empty; an only row follows itself; an empty table gives an empty result.
-    Columns other than the two named are not read.
+    document by ascending id; the first follows the last. Rows of one id come by a hash of the text, then by text; a null
+    id comes first. Null texts count as empty; an only row follows itself; an empty table gives an empty result. Columns
+    other than the two named are not read.
 
-    Texts are shuffled once, by ranges of ids whose bounds are ids that exist. A row whose id is a bound goes to its own
-    range and, as what follows it, to the range before, so each range is worked through in order with one row held.
+    Texts are shuffled once, into ranges of (id, hash of the text, place in the input), so no id is one task. A task goes
+    through its range in order with one row held; only its last row waits for the first of the next range, and these two
+    texts of each range are what is joined afterwards.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col(id_col).isNull().alias("_null"), text_of(text_col).alias("_t"))
-    n, low = rows.select(F.count("*"), F.min("_id")).first()
-    ranges = min(20_000, max(1, -(-n // rows_in_range)))  # so many bounds at most reach the driver
-    shares = [i / ranges for i in range(1, ranges)]
-    found = rows.select(F.percentile_approx("_id", shares, 10 * ranges)).first()[0] if n and shares else []
-    bounds = sorted({low, *(found or [])}) if n else []
-
-    @F.udf("array<struct<range:int,after:boolean>>", useArrow=True)
-    def targets(i: int) -> list[tuple[int, bool]]:
-        own = bisect_right(bounds, i) - 1
-        return [(own, False), ((own - 1) % len(bounds), True)] if bounds[own] == i else [(own, False)]
-
-    dealt = rows.select("*", F.explode(targets("_id")).alias("_to")).select("_id", "_null", "_t", "_to.range", "_to.after")
-    # Within a task, ranges come one after the other, each with what follows it at its end.
-    dealt = dealt.repartition(max(1, len(bounds)), "range").sortWithinPartitions("range", "after", "_id", "_t")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_in_range))
+    dealt = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(ranges, "_id", "_h", "_from").sortWithinPartitions("_id", "_h", "_t").select("_id", "_t")
+    kind = rows.schema["_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "_null", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        held = None  # (range, id, null, text, sketch) waiting for what follows
-
-        def finished(following: tuple) -> tuple:
-            _, i, null, text, own = held
-            edited = _edited(text, following[3])
-            e = sketch(edited)
-            return i, null, len(text), hashlib.sha256(edited.encode()).hexdigest(), packed_hex(own), packed_hex(e), likeness(own, e), likeness(own, following[4])
+    def rows_of(ids: pa.Array, out: list[tuple], part: int, edge: str | None = None, text: str | None = None) -> pa.RecordBatch:
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([ids, *_report_columns(out), pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.string()), pa.array([text] * n, pa.string())], [*NAMES, "part", "edge", "_t"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blank = TaskContext.get().partitionId(), [(None,) * 6]
+        held = None  # (id, text, sketch) waiting for what follows
         for batch in sliced(batches):
-            out = []
-            for i, null, text, r, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if after and (held is None or held[0] != r):
-                    continue  # a further row of a bound's id: only the first follows
-                row = (r, i, null, text, sketch(text))
-                if held is not None:
-                    out.append(finished(row))
-                held = None if after else row
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    schema = "_id long, _null boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    done = dealt.mapInArrow(run, schema)
-    return done.select(F.when(~F.col("_null"), F.col("_id")).alias(id_col), *done.columns[2:])
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            own = [sketch(t) for t in texts]
+            last = ids.slice(len(ids) - 1), texts[-1], own[-1]
+            if held is None:
+                yield rows_of(ids.slice(0, 1), blank, part, "first", texts[0])
+            else:
+                ids, texts, own = pa.concat_arrays([held[0], ids]), [held[1], *texts], [held[2], *own]
+            out = [_finished(*x) for x in zip(texts, own, texts[1:], own[1:], strict=False)]
+            yield rows_of(ids.slice(0, len(ids) - 1), out, part)
+            held = last
+        if held is not None:
+            yield rows_of(held[0], blank, part, "last", held[1])
+
+    done = stored(dealt.mapInArrow(run, f"_id {kind}, {REPORT}, part int, edge string, _t string"), "ranges")
+    firsts = done.filter("edge = 'first'").select("part", F.col("_t").alias("following"))
+    # One number for each range, in one window.
+    order = firsts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))
+    ends = done.filter("edge = 'last'").select("_id", "_t", "part").join(order, "part").join(firsts.withColumnRenamed("part", "next"), "next").select("_id", "_t", "following")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_report_columns([_finished(a, sketch(a), b, sketch(b)) for a, b in pairs])], NAMES)
+
+    whole = done.filter("edge is null").select(*NAMES).unionByName(ends.mapInArrow(finish, f"_id {kind}, {REPORT}"))
+    return whole.withColumnRenamed("_id", id_col)

@@ -2,10 +2,13 @@
 
 Fingerprints are deduplicated first, so copies cost one row. Links up to distance 2 come from balls of radius 1: every
 fingerprint emits itself and its 64 one-bit variants, and two that share a variant are at most 2 apart, so all that meet
-at a variant (65 at most) link to one of them with no pair formed. The third bit, half of which is no whole number, is
-met in the middle of the fingerprint: of two at distance 3, one 32-bit half differs by at most 1 bit, so each half is
-emitted with its one-bit variants (upward flips, since one of the two has the bit unset), and what collides there and is
-not yet connected is verified in full. Both steps find every link up to distance 3.
+at a variant (65 at most) link to one of them with no pair formed. For distance 3 the balls have radius 1 and 2: of two
+fingerprints that differ in three bits, one has two of these set. It emits its variants with two set bits cleared, the
+other its one-bit variants, and they meet in a whole fingerprint. At most 65 one-bit variants, already one group, and
+2,016 others meet there, whatever the data, so no key is hot; each link found is at most 3 by construction.
+
+Balls of radius 2 are emitted only by fingerprints that may have a partner at 3: one of two such has a half in which they
+differ by at most one bit. Keys of halves are only counted, never paired: one that holds a single group is passed over.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, sliced, stored, text_of
+from .common import LOWER, UPPER, own_name, sliced, stored, text_of
 from .components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -40,16 +43,17 @@ def fingerprint(text: str, n: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
-    """(id, fp), fp being the fingerprint's bits as a signed long."""
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, keep: list[Column] | None = None) -> DataFrame:
+    """(id, fp) and the columns to keep, fp being the fingerprint's bits as a signed long."""
+    rows = docs.select(F.col(id_col).alias("_id"), *(keep or []), text_of(text_col).alias("_t"))
+    schema = rows.drop("_t").schema.add("fp", "long")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            fps = np.array([fingerprint(t, n) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["_id", "fp"])
+            fps = np.array([fingerprint(t, n) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], schema.names)
 
-    return rows.mapInArrow(hashed, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(hashed, schema).withColumnRenamed("_id", id_col)
 
 
 def links_within_2(fps: DataFrame) -> DataFrame:
@@ -59,15 +63,37 @@ def links_within_2(fps: DataFrame) -> DataFrame:
     return met.filter("a <> b").distinct()
 
 
-def links_at_3(groups: DataFrame) -> DataFrame:
-    """(a, b): the roots of groups (fp, root) that have fingerprints at most 3 bits apart in two different groups."""
+def maybe_at_3(groups: DataFrame) -> DataFrame:
+    """The fingerprints of (fp, root) that share a half, but for one bit, with one of another group: all that have a link at 3, and others."""
     halves = groups.select("fp", "root", F.explode(F.expr("array(struct(0L as h, fp & 4294967295L as p), struct(1L as h, shiftrightunsigned(fp, 32) as p))")).alias("x")).select("fp", "root", "x.h", "x.p")
-    key = "shiftleft(h, 32) | "
-    exact = halves.select(F.expr(f"{key} p").alias("k"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     up = "transform(filter(sequence(0, 31), i -> (p & shiftleft(1L, i)) = 0), i -> p | shiftleft(1L, i))"
-    ball = halves.select("fp", "root", F.expr(f"explode(transform(concat(array(p), {up}), v -> {key} v))").alias("k"))
-    near = ball.join(exact, "k").filter("root <> root2 and bit_count(fp ^ fp2) <= 3")
-    return near.select(F.least("root", "root2").alias("a"), F.greatest("root", "root2").alias("b")).distinct()
+    ball = halves.select("fp", "root", F.expr(f"explode(transform(concat(array(p), {up}), v -> shiftleft(h, 32) | v))").alias("k"))
+    shared = ball.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k")
+    return ball.join(shared, "k", "left_semi").select("fp", "root").distinct()
+
+
+def links_at_3(groups: DataFrame) -> DataFrame:
+    """(a, b): the roots of groups (fp, root) that have fingerprints at most 3 bits apart in two different groups."""
+    near = stored(maybe_at_3(groups), "near")
+    one = near.select("root", F.expr("explode(transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))").alias("v"))
+    set_bits = near.select("fp", F.col("root").alias("root2"), F.expr("filter(sequence(0, 63), i -> (fp & shiftleft(1L, i)) <> 0)").alias("bits"))
+    pairs = "flatten(transform(bits, i -> transform(filter(bits, j -> j > i), j -> fp ^ shiftleft(1L, i) ^ shiftleft(1L, j))))"
+    two = set_bits.select("root2", F.expr(f"explode({pairs})").alias("v"))
+    met = two.join(one.groupBy("v").agg(F.min("root").alias("root")), "v").filter("root <> root2")
+    return met.select(F.least("root", "root2").alias("a"), F.greatest("root", "root2").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(_id, _hash, fp, root, component_id) for each row of docs; _hash: the text's."""
+    found = stored(fingerprints(docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")), "_id", "_t", n, keep=[F.xxhash64("_t").alias("_hash")]), "fingerprints")
+    distinct = stored(found.groupBy("fp").agg(F.min("_id").alias("least_id")), "distinct")
+    near = components(links_within_2(distinct.select("fp")))
+    grouped = stored(distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "grouped")
+    joined = components(links_at_3(grouped.select("fp", "root")))
+    roots = grouped.join(joined.toDF("root", "top"), "root", "left").select("fp", "least_id", F.coalesce("top", "root").alias("root"))
+    ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_fp = roots.join(ids, "root").select("fp", "root", "component_id")
+    return found.join(by_fp, "fp")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
@@ -77,20 +103,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is null take part; a component of null ids only has a null component_id. Rows that repeat an id get a row each.
     Columns other than the two named are not read.
     """
-    found = stored(fingerprints(docs, id_col, text_col, n), "fingerprints")
-    distinct = stored(found.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
-    near = components(links_within_2(distinct.select("fp")))
-    grouped = stored(distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "grouped")
-    joined = components(links_at_3(grouped.select("fp", "root")))
-    roots = grouped.join(joined.toDF("root", "top"), "root", "left").select("fp", "least_id", F.coalesce("top", "root").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = roots.join(ids, "root").select("fp", "component_id")
-    return found.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, n).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component, those with its smallest id."""
-    groups = simhash_groups(docs, id_col, text_col, n)
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    """The rows of docs that stay, with all their columns: of each component one, that with the smallest id.
+
+    Where rows of one component repeat that id, the one with the least hash of its text stays, and of equal rows one. A
+    null id comes after all others.
+    """
+    groups = stored(_grouped(docs, id_col, text_col, n).select("_id", "_hash", "root"), "groups")
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_hash")).alias("k")).select(F.col("k._id").alias("_kept"), F.col("k._hash").alias("_text"))
+    mine = own_name(docs, "_own")
+    own = docs.withColumn(mine, F.xxhash64(text_of(text_col)))
     # The narrow side is hashed; whole rows stream by and are not sorted.
-    return docs.join(stay.hint("shuffle_hash"), docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    left = own.join(stay.hint("shuffle_hash"), own[id_col].eqNullSafe(stay["_kept"]) & (own[mine] == stay["_text"]), "left_semi")
+    if not groups.groupBy("_id", "_hash").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        left = left.dropDuplicates([id_col, mine])
+    return left.drop(mine)

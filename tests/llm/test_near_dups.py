@@ -7,6 +7,7 @@ import xxhash
 from maskloom.llm import minhash as M
 from maskloom.llm import simhash as S
 from maskloom.llm.components import components
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -88,6 +89,26 @@ def test_simhash_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {r.component_id for r in rows}
 
 
+def test_one_row_of_each_group(spark):
+    a, b = "alpha beta gamma delta " * 20, "one two three four five six " * 20
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, "lone words here"), (7, "lone words here"), (None, "quite other text"), (None, "quite other text")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in S.one_of_each(docs).collect()) == sorted([("1", a), ("5", b), ("7", "lone words here"), ("None", "quite other text")])
+
+
+def test_a_shared_half_makes_no_pairs(spark):
+    """Thousands of fingerprints with one half in common, a few of them near another: no group holds more than the balls do."""
+    r = random.Random(8)
+    own = r.getrandbits(32)
+    fps = {own << 32 | r.getrandbits(32) for _ in range(3000)}
+    fps |= {f ^ 0b10011 for f in list(fps)[:40]} | {f ^ (1 << 40 | 1 << 50 | 1 << 3) for f in list(fps)[:40]}
+    fps = sorted(fps)
+    signed = [int(np.array([f], np.uint64).view(np.int64)[0]) for f in fps]
+    near = [(signed[i], signed[j]) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    two = union(signed, [(a, b) for a, b in near if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2])
+    links = [(r.a, r.b) for r in S.links_at_3(spark.createDataFrame(list(two.items()), "fp long, root long")).collect()]
+    assert union(signed, [*two.items(), *links]) == union(signed, near)
+
+
 def likeness(a, b):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.translate(LOW).split(), b.translate(LOW).split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
@@ -106,15 +127,18 @@ def test_likeness_is_close_to_jaccard():
 
 
 def test_report_equals_brute_force(spark, odd, nothing):
-    for docs, ranges in ((spark.read.parquet(f"{SF}/documents.parquet"), 16), (odd, 3), (odd, 4096)):
+    for docs, ranges in ((spark.read.parquet(f"{SF}/documents.parquet"), 16), (odd, 3), (odd, 65_536), (odd.filter("doc_id = 8"), 1)):
         rows = M.fingerprint_report(docs, rows_in_range=ranges).collect()
-        order = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "", r.doc_id) for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0], x[1], x[2].encode()))
+        told = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+        order = sorted(((r.doc_id is not None, r.doc_id or 0, r.text, r.doc_id, r.h) for r in told), key=lambda x: (x[0], x[1], x[4]))
         wanted = []
-        for (_, _, text, i), (_, _, after, _) in zip(order, [*order[1:], order[0]], strict=True):
+        for (_, _, text, i, _), (_, _, after, _, _) in zip(order, [*order[1:], order[0]], strict=True):
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
             wanted.append((str(i), len(text), hashlib.sha256(edited.encode()).hexdigest(), M.packed_hex(M.sketch(text)), M.packed_hex(M.sketch(edited)), round(M.likeness(M.sketch(text), M.sketch(edited)), 9), round(M.likeness(M.sketch(text), M.sketch(after)), 9)))
         got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows]
         assert sorted(got) == sorted(wanted)
     assert M.fingerprint_report(nothing).count() == 0
+    named = docs.select(F.col("doc_id").cast("string").alias("name"), "text")
+    assert M.fingerprint_report(named, "name").schema["name"].dataType.simpleString() == "string"
     assert M.fingerprints(odd).count() == odd.count()
