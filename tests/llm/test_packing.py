@@ -59,8 +59,8 @@ def test_large_cases_are_close(seed):
 
 def test_ids_are_those_of_the_tokenizers_file(spark):
     t = Tokenizer.from_file(P.tokenizer_path())
-    t.encode_special_tokens = True
-    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", " ", "a\n\n b\t c", "<|endoftext|>", "日本語 😀", "don't   stop\r\n", "\x00\x7f"]
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", " ", "a\n\n b\t c", "<|endoftext|>", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>x", " <|endoftext", "日本語 😀", "don't   stop\r\n", "\x00\x7f"]
+    assert P.token_ids("hello <|endoftext|> world", P.tokenizer_path()) == [31373, 220, 50256, 995, 2]
     for text in texts:
         assert P.token_ids(text, P.tokenizer_path()) == [*t.encode(text, add_special_tokens=False).ids, 2]
 
