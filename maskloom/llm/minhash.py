@@ -77,8 +77,12 @@ def sketch(text: str, k: int = BINS, bits: int = BITS) -> np.ndarray:
     return (value & np.uint64((1 << bits) - 1)).astype(np.uint8)
 
 
+def packed(low: np.ndarray, bits: int = BITS) -> bytes:
+    return np.packbits(np.unpackbits(low[:, None], axis=1, count=bits, bitorder="little").ravel()).tobytes()
+
+
 def packed_hex(low: np.ndarray, bits: int = BITS) -> str:
-    return np.packbits(np.unpackbits(low[:, None], axis=1, count=bits, bitorder="little").ravel()).tobytes().hex()
+    return packed(low, bits).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> float:
@@ -104,17 +108,17 @@ def _edited(text: str, following: str) -> str:
 
 
 NAMES = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-REPORT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+REPORT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _finished(text: str, own: np.ndarray, following: str, theirs: np.ndarray) -> tuple:
     edited = _edited(text, following)
     e = sketch(edited)
-    return len(text), hashlib.sha256(edited.encode()).hexdigest(), packed_hex(own), packed_hex(e), likeness(own, e), likeness(own, theirs)
+    return len(text), hashlib.sha256(edited.encode()).digest(), packed(own), packed(e), likeness(own, e), likeness(own, theirs)
 
 
 def _report_columns(out: list[tuple]) -> list[pa.Array]:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     return [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)]
 
 
@@ -169,4 +173,5 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *_report_columns([_finished(a, sketch(a), b, sketch(b)) for a, b in pairs])], NAMES)
 
     whole = done.filter("edge is null").select(*NAMES).unionByName(ends.mapInArrow(finish, f"_id {kind}, {REPORT}"))
-    return whole.withColumnRenamed("_id", id_col)
+    shown = lambda c: F.lower(F.hex(c)).alias(c)  # noqa: E731  fingerprints are written packed, shown as text
+    return whole.select(F.col("_id").alias(id_col), "n_chars", *map(shown, NAMES[2:5]), *NAMES[5:])
