@@ -16,7 +16,7 @@ from maskloom.llm.common import stored, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Where the labels teach nothing, all stay."""
     return quality.good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 

@@ -1,14 +1,17 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages. Every passage is described by what its characters and words are like, and encoded by a
-learnt layer; gated attention weighs the passages against each other, and the weighted sum is scored. Only the label of
+A document is a bag of passages. Every passage is described by what its characters and words are like and by its words,
+hashed to `BUCKETS` shares, and encoded by a learnt layer; gated attention weighs the passages against each other, and the weighted sum is scored. Only the label of
 the whole document is used, so the attention learns which passages give a document away. Training runs on a bounded
 sample of the labelled documents (`sample`, the least by hash); scoring covers every passage of every document.
 """
 
 from __future__ import annotations
 
+import logging
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,14 @@ _DIGIT = bytes(range(48, 58))
 _STOPS = b".,;:"
 _MARKS = b"#$%&*|!@^~<>{}[]\\/=+_"
 _SPACE = b" \t\n\r\x0b\x0c"
-N_FEATURES = 16
+N_SHAPE, BUCKETS = 16, 128
+N_FEATURES = N_SHAPE + BUCKETS
+#: Added to the spread of words' shares, so that a rare word weighs little where few documents are labelled.
+WORD_SCALE = 0.3
+#: Passages of a document that are learnt from: runs of a long one are dealt to so many evenly. Scoring reads them all.
+TRAIN_PASSAGES = 200
+_UNCASED = bytes.maketrans(_UPPER, _LOWER)
+_log = logging.getLogger(__name__)
 
 
 def passages(text: str) -> list[list[bytes]]:
@@ -40,7 +50,7 @@ def passages(text: str) -> list[list[bytes]]:
 def describe(words: list[bytes]) -> list[float]:
     """What a passage is like: shares of kinds of characters and of repeated words, lengths, how it begins and ends."""
     if not words:
-        return [1.0] + [0.0] * (N_FEATURES - 1)
+        return [1.0] + [0.0] * (N_SHAPE - 1)
     s = b" ".join(words)
     n, k = len(s), len(words)
     share = lambda kind: (n - len(s.translate(None, kind))) / n
@@ -54,8 +64,19 @@ def describe(words: list[bytes]) -> list[float]:
     ]
 
 
+@lru_cache(maxsize=200_000)
+def _bucket(word: bytes) -> int:
+    return zlib.crc32(word.translate(_UNCASED)) % BUCKETS
+
+
 def bag(text: str) -> np.ndarray:
-    return np.array([describe(p) for p in passages(text)], np.float32)
+    """A row for each passage: its shape, then the roots of its words' shares by hash bucket."""
+    found = passages(text)
+    shape = np.array([describe(p) for p in found], np.float32)
+    sizes = np.array([len(p) for p in found])
+    at = np.repeat(np.arange(len(found)), sizes) * BUCKETS + np.fromiter((_bucket(w) for p in found for w in p), np.int64, int(sizes.sum()))
+    words = np.bincount(at, minlength=len(found) * BUCKETS).reshape(-1, BUCKETS) / np.maximum(sizes, 1)[:, None]
+    return np.hstack([shape, np.sqrt(words).astype(np.float32)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,7 +119,7 @@ class Model:
         y = np.array(labels, float)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         stacked = np.concatenate(bags)
-        self.mean, self.scale = stacked.mean(0), stacked.std(0) + 1e-3
+        self.mean, self.scale = stacked.mean(0), stacked.std(0) + np.where(np.arange(stacked.shape[1]) < N_SHAPE, 1e-3, WORD_SCALE)
         r, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for _ in range(epochs):
@@ -125,35 +146,55 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Learns from at most `sample` labelled documents that are not held out, the least by a hash of their ids.
 
-    Rows without an id or a label are left out, of several labels for an id the largest holds. With no document of one
-    of the labels, nothing can be learnt: the model then scores all documents alike.
+    Rows without an id or a label are left out, of several labels for an id the largest holds, and of several texts for an
+    id one is read, that with the least hash. With no document of one of the labels nothing can be learnt: None, which
+    scores every document 1, so that none is rejected, and a warning is logged.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     # `sample` rows at most, so small enough to broadcast.
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_t")
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
+    # One text for an id, however often it comes: tasks keep the least hash first, whole texts are met by it afterwards.
+    hashed = texts.select("_id", "_y", "_t", F.xxhash64("_t").alias("_h"))
+    one = hashed.groupBy("_id").agg(F.min("_h").alias("_h"))
+    texts = hashed.join(F.broadcast(one), ["_id", "_h"]).select("_id", "_y", "_t")  # `sample` ids at most
+    schema = "_id string, _y int, bag binary"
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in sliced(batches):
-            bags = [bag(t).ravel().tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(bags, pa.binary())], ["_id", "_y", "bag"])
-
-    found = sorted((r["_id"], r["_y"], bytes(r["bag"])) for r in texts.mapInArrow(described, "_id string, _y int, bag binary").toLocalIterator())
-    model = Model()
+            ids = batch.column(0).cast(pa.string())
+            new = [i for i, x in enumerate(ids.to_pylist()) if not (x in seen or seen.add(x))]
+            batch, ids = batch.take(pa.array(new, pa.int64())), ids.take(pa.array(new, pa.int64()))
+            bags = []
+            for t in batch.column(2).to_pylist():
+                b = bag(t)
+                bags.append(b[np.linspace(0, len(b) - 1, min(len(b), TRAIN_PASSAGES)).astype(int)].ravel().tobytes())
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(bags, pa.binary())], ["_id", "_y", "bag"])
+
+    # Tasks send a repeated text once each; one of them is left.
+    bags = texts.mapInArrow(described, schema).groupBy("_id").agg(F.min("_y").alias("_y"), F.min("bag").alias("bag"))
+    found = sorted((r["_id"], r["_y"], bytes(r["bag"])) for r in bags.toLocalIterator())
     if len({y for _, y, _ in found}) < 2:
-        model.p["c"][:] = 0
-        return model
-    return model.fit([np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, _, b in found], [y for _, y, _ in found])
+        _log.warning("no document of one of the labels: nothing is learnt and nothing rejected")
+        return None
+    return Model().fit([np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, _, b in found], [y for _, y, _ in found])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def _scores(model: Model | None, texts: list[str]) -> np.ndarray:
+    if model is None:
+        return np.ones(len(texts))
+    return np.concatenate([model.scores([bag(t) for t in texts[i : i + 64]]) for i in range(0, len(texts), 64)] or [np.zeros(0)])
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 from the threshold on).
 
-    Null and empty texts are a bag of one empty passage. Null ids and repeated rows are passed on as they are. No column
+    Without a model every score is 1. Null and empty texts are a bag of one empty passage. Null ids and repeated rows are passed on as they are. No column
     but the text bears on the score, and no other than the two named is read.
     """
     rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("_t"))
@@ -161,21 +202,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = batch.column(2).to_pylist()
-            scores = np.concatenate([model.scores([bag(t) for t in texts[i : i + 64]]) for i in range(0, len(texts), 64)] or [np.zeros(0)])
+            scores = _scores(model, texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["_id", "held_out", "score", "predicted"])
 
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("_id", id_col)
 
 
-def good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that reach the threshold, with all their columns."""
-
+def good(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that reach the threshold, with all their columns; all rows where there is no model."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            scores = model.scores([bag(t or "") for t in batch.column(at).to_pylist()])
+            scores = _scores(model, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
