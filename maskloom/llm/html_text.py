@@ -1,9 +1,10 @@
 """HTML extraction by tree scoring.
 
-A page becomes a tree. Its paragraphs pass points for length and commas to their ancestors, less for each level, and a
-container's points are discounted by the share of its text that is in links. The best container is kept with those
-siblings that score or read like it; where it stands in an article, the whole article is. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments give no points and no text.
+A page becomes a tree. Its paragraphs pass points for length and commas to their `LEVELS` nearest ancestors, less for each
+level, and a container's points are discounted by the share of its text that is in links. The best container is kept with
+those siblings that score or read like it, in an article element with the other parts of the article. What is kept is
+looked through once more: a part of it that is a list of links goes. Menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments give no points and no text. Every step is linear in the page.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import sliced
 
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noframes noembed svg math canvas object audio video select datalist".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp noframes noembed svg annotation annotation-xml canvas object audio video select datalist".split())
 DROPPED = frozenset("nav footer aside form button dialog menu head fieldset label input".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside caption".split()
@@ -30,6 +31,10 @@ ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "
 #: An element of a key's kind ends an open one of its value's, up to the scope's own element.
 ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: Containers that are passed over where they are lists of links: so many links, and so much of the text in them.
+LISTS, LIST_LINKS, LIST_SHARE = frozenset("ul ol dl div section table p center details".split()), 3, 0.8
+#: How many ancestors a paragraph gives points to.
+LEVELS = 8
 #: Words of a class, id or role that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation navigationbar breadcrumb breadcrumbs masthead footer complementary contentinfo comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations subscribe newsletter widget toolbar pagination pager login signup search skip".split()
@@ -50,21 +55,21 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "unsure", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "dropped", "unsure", "points", "chars", "linked", "links", "in_article", "blocks")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, unsure: bool = False):
         self.tag, self.parent, self.dropped, self.unsure = tag, parent, dropped, unsure
         self.parts: list[Node | str] = []
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.chars, self.linked, self.links = 0.0, 0, 0, 0
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
+        self.blocks = (parent.blocks if parent is not None else 0) + (tag in BLOCK)
 
 
 def _not_article(tag: str, attrs: str, within: Node) -> tuple[bool, bool]:
     """Whether an element is dropped, and whether that is unsure: it may yet hold the article."""
     if tag in DROPPED and tag != "form":
         return True, False
-    in_article, n = False, within
-    while n is not None and not in_article:
-        in_article, n = n.tag in ("article", "main"), n.parent
+    in_article = within.in_article
     if tag == "header" and not in_article:
         return True, False
     if not attrs or tag in ("article", "main", "body", "html"):
@@ -107,15 +112,21 @@ def _settle(root: Node) -> None:
 def parse(page: str) -> Node:
     """The page's tree, as tolerant of unclosed and stray tags as it needs to be."""
     root = here = Node("", None, False)
-    depth, at, size = 0, 0, len(page)
+    at, size = 0, len(page)
+    open_: dict[str, list[Node]] = {}  # the open elements of each kind, outermost first
 
     def close(upto: Node) -> None:
-        nonlocal here, depth
-        while here is not upto:
-            here, depth = here.parent, depth - 1
-        here, depth = here.parent, depth - 1
+        nonlocal here
+        while True:
+            n, here = here, here.parent
+            open_[n.tag].pop()
+            if n is upto:
+                return
 
     def opened(names: tuple[str, ...], scope: tuple[str, ...]) -> Node | None:
+        """The outermost open element of the names within the innermost of the scope."""
+        if not any(open_.get(x) for x in names):
+            return None
         n, found = here, None
         while n is not None and n.tag not in scope:
             if n.tag in names:
@@ -136,16 +147,10 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m["end"]:
-            n = here
-            while n is not None and n.tag != tag:
-                n = n.parent
+            own = open_.get(tag)
             # An inline element's end doesn't reach over blocks that opened within it.
-            if n is not None and n is not root:
-                inner, x = False, here
-                while x is not n:
-                    inner, x = inner or x.tag in BLOCK, x.parent
-                if tag in BLOCK or not inner:
-                    close(n)
+            if own and (tag in BLOCK or here.blocks == own[-1].blocks):
+                close(own[-1])
             continue
         if tag in RAW:
             if not m["attrs"].endswith("/"):
@@ -158,25 +163,26 @@ def parse(page: str) -> Node:
             close(p)
         node = Node(tag, here, *_not_article(tag, m["attrs"], here))
         here.parts.append(node)
-        if tag not in VOID and not m["attrs"].endswith("/") and depth < 2000:
-            here, depth = node, depth + 1
+        if tag not in VOID and not m["attrs"].endswith("/"):
+            here = node
+            open_.setdefault(tag, []).append(node)
     _settle(root)
     return root
 
 
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
-    """(owner, text, characters in links) for each block in page order; dropped elements are left out."""
+    """(owner, text, characters in links) for each block in page order; dropped elements are left out. Counts each element's links."""
     out: list[tuple[Node, str, int]] = []
     text: list[str] = []
     linked = 0
-    owner = root
+    owners = [root]
 
     def flush() -> None:
         nonlocal text, linked
         if text:
             s = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if s:
-                out.append((owner, s, min(linked, len(s))))
+                out.append((owners[-1], s, min(linked, len(s))))
         text, linked = [], 0
 
     links = 0
@@ -188,12 +194,12 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
             stack.pop()
             if node.tag == "a":
                 links -= 1
+                node.links += 1
+            if node.parent is not None:
+                node.parent.links += node.links
             if node.tag in BLOCK:
                 flush()
-                up = node.parent
-                while up is not None and up.tag not in BLOCK and up.parent is not None:
-                    up = up.parent
-                owner = up or root
+                owners.pop()
         elif isinstance(part, str):
             text.append(part)
             if links:
@@ -201,7 +207,7 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
         elif not part.dropped:
             if part.tag in BLOCK:
                 flush()
-                owner = part
+                owners.append(part)
             elif part.tag == "br":
                 text.append(" ")
             if part.tag == "a":
@@ -213,47 +219,77 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
-def main_text(page: str) -> str:
-    """The text of the best container, its blocks joined by newlines; empty where there is none."""
-    found = blocks(parse(page))
-    nodes: list[Node] = []
+def _weighed(found: list[tuple[Node, str, int]], root: Node) -> list[Node]:
+    """The containers that have points, in page order, with their points, and the characters of all elements, in all and in links."""
+    scored: list[Node] = []
     for owner, text, linked in found:
+        owner.chars += len(text)
+        owner.linked += linked
         points = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - linked / len(text))
         # Text that stands in the container itself counts for it; a paragraph's goes to what holds it.
-        n, level = (owner.parent if owner.tag not in ("div", "section", "article", "main", "body", "td", "") and owner.parent else owner), 1
-        while n is not None:
-            if not n.chars and not n.points:
-                nodes.append(n)
+        n = owner.parent if owner.tag not in ("div", "section", "article", "main", "body", "td", "") and owner.parent else owner
+        for level in range(1, LEVELS + 1):
+            if not n.points:
+                scored.append(n)
             n.points += points / (1 if level == 1 else 2 if level == 2 else 3 * level)
-            n.chars += len(text)
-            n.linked += linked
-            n, level = n.parent, level + 1
-    if not nodes:
+            n = n.parent
+            if n is None:
+                break
+    order, at = [root], 0
+    while at < len(order):
+        order += [x for x in order[at].parts if isinstance(x, Node) and not x.dropped]
+        at += 1
+    for n in reversed(order[1:]):
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
+    return [n for n in scored if n.points]
+
+
+def main_text(page: str) -> str:
+    """The text of the best container, its blocks joined by newlines; empty where there is none."""
+    root = parse(page)
+    found = blocks(root)
+    nodes = _weighed(found, root)
+    if not found:
         return ""
     worth = lambda n: n.points * (1 - n.linked / max(1, n.chars))
-    best = max(nodes, key=worth)  # the first of equals in page order
-    n = best
+    best = max(nodes, key=worth) if nodes else root  # the first of equals in page order
+    holds, n = {id(best)}, best
     while n is not None and n.tag not in ("article", "main"):
         n = n.parent
+        holds.add(id(n))
     if n is not None:
         kept = {id(n)}
     else:
         kept = {id(best)}
+        direct: dict[int, list[int]] = {}
+        for owner, text, linked in found:
+            own = direct.setdefault(id(owner), [0, 0])
+            own[0], own[1] = own[0] + len(text), own[1] + linked
         for x in best.parent.parts if best.parent else []:
             if isinstance(x, Node) and not x.dropped and x is not best:
-                direct = [(t, linked) for o, t, linked in found if o is x]
-                reads = x.tag in ("p", "h1", "h2", "blockquote", "pre") and direct and sum(linked for _, linked in direct) < 0.25 * sum(len(t) for t, _ in direct)
+                size, linked = direct.get(id(x), (0, 0))
+                reads = x.tag in ("p", "h1", "h2", "blockquote", "pre") and size and linked < 0.25 * size
                 if reads or x.points and worth(x) >= max(10.0, 0.2 * worth(best)):
                     kept.add(id(x))
 
-    def within(n: Node | None) -> bool:
-        while n is not None:
-            if id(n) in kept:
-                return True
+    # From the top down: within what is kept, and not within a list of links beside or in it.
+    state: dict[int, bool] = {}
+
+    def shown(n: Node | None) -> bool:
+        path = []
+        while n is not None and id(n) not in state:
+            path.append(n)
             n = n.parent
-        return False
+        on = n is not None and state[id(n)]
+        for x in reversed(path):
+            on = on or id(x) in kept
+            if on and x.tag in LISTS and id(x) not in holds and x.links >= LIST_LINKS and x.linked >= LIST_SHARE * x.chars:
+                on = False
+            state[id(x)] = on
+        return on
 
-    return "\n".join(text for owner, text, _ in found if within(owner))
+    return "\n".join(text for owner, text, _ in found if shown(owner))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

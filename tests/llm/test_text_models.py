@@ -139,6 +139,38 @@ def test_page_parts():
     assert H.main_text("text only, here") == "text only, here" and H.main_text("<nav>a</nav>") == ""
 
 
+def test_pages_without_article_elements(spark):
+    """The same pages with the article in a plain container: found by its points alone."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        wanted = slow_article(r.html)
+        body = r.html.replace("<article>", "<div class=post>").replace("</article>", "</div>")
+        if len(wanted) > 400:
+            assert H.main_text(body) == wanted, r.page_id
+            assert H.main_text(body.replace("<body>", "<body><div><div>").replace("<footer>", "</div></div><footer>")) == wanted, r.page_id
+
+
+def test_lists_of_links_go():
+    para = "<p>One, two, three and a good many more words of a real paragraph, as articles have.</p>"
+    text = para[3:-4]
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a>" for i in range(8)) + "</ul>"
+    for page in (f"<main><article>{para}{para}{links}</article>{links}</main>", f"<main><div>{para}{para}</div>{links}</main>", f"<body><div>{para}{links}{para}</div></body>"):
+        assert H.main_text(page) == f"{text}\n{text}", page
+    inline = "<p>See <a href=a>one</a>, <a href=b>two</a> and <a href=c>three</a>, which are, as ever, only words in a sentence.</p><ul><li>plain<li>items, too</ul>"
+    assert H.main_text(f"<article>{inline}</article>") == "See one, two and three, which are, as ever, only words in a sentence.\nplain\nitems, too"
+    assert H.main_text(f"<article>{para}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>") == f"{text}\nLet x=2 hold."
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" + "<p>a, b, c</p>" * 50_000 + "</div>", "<div>" * 20_000 + "<p>deep, text, here</p>", "<b>" * 20_000 + "</i>" * 20_000 + "x", "<p>a" * 30_000, "<ul>" + "<li>a, b" * 30_000, ("<div><p>a, b</p>" * 20_000)):
+        began = time.perf_counter()
+        H.main_text(page)
+        assert time.perf_counter() - began < 8
+    assert H.main_text("<div>" * 5000 + "<p>deep, text</p><p>two, more</p>" + "</div>" * 5000) == "deep, text\ntwo, more"
+    assert H.main_text("<div>" + "<p>a, b, c</p>" * 50_000 + "</div>").count("\n") == 49_999
+
+
 def test_pages_odd_rows(spark):
     rows = spark.createDataFrame([(None, None, None, "t"), (1, "u", "", "t"), (1, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.text) for r in H.extract(rows).collect()) == [("1", ""), ("1", "x"), ("None", "")]
