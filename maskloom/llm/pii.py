@@ -333,6 +333,8 @@ def training_zones(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         return d[:-1] + str((int(d[-1]) + r.randint(1, 9)) % 10)
 
     no = [
+        lambda: " ".join(f"{num(2)}/{num(2)}" for _ in range(r.randint(2, 5))) + r.choice(["", " " + num(2)]), lambda: " ".join(num(1) for _ in range(r.randint(7, 13))), lambda: f"{num(3)}x{num(3)}x{num(4)}",
+        lambda: ", ".join(num(r.randint(2, 4)) for _ in range(r.randint(3, 6))), lambda: f"{num(4)}/{num(4)}/{num(4)}/{num(4)}",
         bad_card, lambda: grouped(bad_card(), " "), lambda: num(r.randint(1, 13)), lambda: num(r.randint(18, 40)), lambda: f"{r.randint(1900, 2099)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
         lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2099)}", lambda: f"{r.randint(1, 28)}.{r.randint(10, 12)}.{r.randint(1900, 2099)}", lambda: f"{num(2)}:{num(2)}:{num(2)}",
         lambda: f"{r.randint(0, 9)}.{num(r.randint(2, 12))}", lambda: ".".join(num(1) for _ in range(3)), lambda: ".".join(str(r.randint(256, 999)) for _ in range(4)), lambda: f"${num(3)},{num(3)}.{num(2)}",
@@ -398,7 +400,18 @@ def field_spans(text: str, w: Weights) -> list[Span]:
 def all_spans(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     """The base spans, and these with what the field adds where none of them is."""
     base = base_spans(text)
-    found = [s for s in field_spans(text, w) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    taken: list[list[int]] = []  # where base spans are, as stretches apart from each other
+    for _, a, b in base:
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    found, at = [], 0
+    for s in field_spans(text, w):
+        while at < len(taken) and taken[at][1] <= s[1]:
+            at += 1
+        if at == len(taken) or s[2] <= taken[at][0]:
+            found.append(s)
     return base, sorted(base + found, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if found else base
 
 

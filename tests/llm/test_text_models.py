@@ -42,12 +42,28 @@ def test_base_spans_equal_the_patterns():
 
 
 def test_field_on_held_out_zones():
+    """Precision and recall of each kind, exact spans, on made-up zones that were not learnt from."""
     w = dict(pii.trained())
-    hits = extra = missed = 0
-    for text, gold in pii.training_zones(500, 99):
+    hits, extra, missed = Counter(), Counter(), Counter()
+    for text, gold in pii.training_zones(3000, 99):
         found = set(pii.field_spans(text, w))
-        hits, extra, missed = hits + len(found & set(gold)), extra + len(found - set(gold)), missed + len(set(gold) - found)
-    assert hits / (hits + extra) > 0.97 and hits / (hits + missed) > 0.95
+        hits.update(s[0] for s in found & set(gold))
+        extra.update(s[0] for s in found - set(gold))
+        missed.update(s[0] for s in set(gold) - found)
+    told = {k: (round(hits[k] / (hits[k] + extra[k]), 3), round(hits[k] / (hits[k] + missed[k]), 3)) for k in pii.KINDS}
+    print(told)
+    assert all(p > 0.95 and q > 0.95 for p, q in told.values()), told
+
+
+def test_many_spans_are_swept():
+    import time
+
+    text = "a@b.de +1 (555) 123-4567\n(555) 123-4567 at 10.0.0.1 " * 2000
+    began = time.perf_counter()
+    base, spans = pii.all_spans(text, dict(pii.trained()))
+    assert len(base) >= 6000 and len(spans) > len(base) and time.perf_counter() - began < 30
+    for (_, _, b), (_, a, _) in zip(sorted(spans, key=lambda s: s[1]), sorted(spans, key=lambda s: s[1])[1:], strict=False):
+        assert b <= a
 
 
 def brute_best(n, cands, w):
@@ -107,7 +123,7 @@ def test_pii_rows_and_masks(spark, odd, nothing):
 
 def test_clean_texts_are_left_alone():
     w = dict(pii.trained())
-    for t in ["Version 1.2.3 of 2024-01-05 costs $1,200.50.", 'token = "9a9b9c9999aa99b9c9d9e9f90123456789abcdef"', "call me @home5 at 12:30:45", "plain words only"]:
+    for t in ["Version 1.2.3 of 2024-01-05 costs $1,200.50.", 'token = "9a9b9c9999aa99b9c9d9e9f90123456789abcdef"', "call me @home5 at 12:30:45", "plain words only", "12/34 12/34 12/34 12/34 12", "paid 12/24 12/25 12/26 12/27", "size 120x240x1000, 12, 144, 1200, 99"]:
         assert pii.all_spans(t, w)[1] == []
 
 
