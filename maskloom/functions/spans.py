@@ -20,14 +20,14 @@ def span(value: Column, kind: Column | str, start: Column, end: Column, order: i
     return F.struct(value.alias("value"), kind.alias("type"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(order).alias("ord")).cast(SPAN)
 
 
-def find(text: Column, pattern: str, kind: str, order: int, group: int = 0, needs: str | None = None) -> Column:
-    """All matches of the pattern with their offsets. A group other than 0 has to end its match.
+def find(text: Column, pattern: str | Column, kind: Column | str, order: int, group: int = 0, needs: str | None = None) -> Column:
+    """All matches of the pattern, the same for all rows or each row's own, with their offsets. A group other than 0 has to end its match.
 
     The gaps between matches give the offsets: matches and gaps are walked once, in turn. Texts without a match cost one
     test; needs, a set of characters one of which every match holds, makes that cheap for most texts.
     """
-    p = F.lit(pattern)
-    gaps = F.split(text, pattern, -1)
+    p = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    gaps = F.split(text, p, -1)
     matches = F.regexp_extract_all(text, p, F.lit(0))
     values = F.regexp_extract_all(text, p, F.lit(group)) if group else matches
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
@@ -38,7 +38,7 @@ def find(text: Column, pattern: str, kind: str, order: int, group: int = 0, need
 
     walk = lambda x: F.aggregate(F.arrays_zip(F.slice(x["g"], 1, F.size(x["m"])).alias("g"), x["m"].alias("m"), x["v"].alias("v")), start, step, lambda acc: acc["out"])
     found = bound(F.struct(gaps.alias("g"), matches.alias("m"), values.alias("v")), walk)
-    there = text.rlike(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+    there = text.rlike(needs) & F.rlike(text, p) if needs else F.rlike(text, p)
     return F.when(there, found).otherwise(no_spans())
 
 

@@ -84,12 +84,32 @@ def column_letter(n: Column) -> Column:
     )
 
 
+def _literal(value: Column) -> Column:
+    """A value as a pattern for itself."""
+    return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def _starts(pieces: Column, first: Column, step: Column) -> Column:
+    """Where each piece but the first begins, given where the second does and what stands between two of them."""
+    begun = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda acc, x: F.struct((acc["at"] + F.length(x) + step).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), begun, add, lambda acc: acc["out"])
+
+
 def occurrences(text: Column, value: Column, start: Column | int = 0) -> Column:
-    """Starts of all occurrences of value from start on, overlapping ones too: an array of zero-based offsets."""
+    """Starts of all occurrences of value from start on, overlapping ones too: an array of zero-based offsets. One pass over the text."""
     start = start if isinstance(start, Column) else F.lit(start)
-    last = F.length(text) - F.length(value)
-    at = F.when(last >= start, F.sequence(start, last)).otherwise(F.array().cast("array<int>"))
-    return F.when(F.contains(text, value), F.filter(at, lambda i: F.substring(text, i + 1, F.length(value)) == value)).otherwise(F.array().cast("array<int>"))
+    # Cut ahead of each place; a character is put in front so that a place at the very start is cut off as well.
+    cut = F.split(F.concat(F.lit("\u0000"), text), F.concat(F.lit("(?="), _literal(value), F.lit(")")), -1)
+    found = bound(cut, lambda c: _starts(c, F.length(c[0]) - 1, F.lit(0)))
+    return F.when(F.contains(text, value) & (value != ""), F.filter(found, lambda i: i >= start)).otherwise(F.array().cast("array<int>"))
+
+
+def places(text: Column, value: Column) -> Column:
+    """Starts of the occurrences of value, each looked for behind the one before: an array of zero-based offsets."""
+    cut = F.split(text, _literal(value), -1)
+    found = bound(cut, lambda c: _starts(c, F.length(c[0]), F.length(value)))
+    return F.when(F.contains(text, value) & (value != ""), found).otherwise(F.array().cast("array<int>"))
 
 
 def line_and_column(text: Column, offset: Column) -> Column:

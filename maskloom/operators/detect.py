@@ -108,27 +108,31 @@ def with_spans(units: DataFrame, dictionary: Dictionary | None = None, text_col:
     return found.withColumn("spans", resolve(F.col("spans")))
 
 
+def each_span(found: DataFrame) -> DataFrame:
+    """A row for each of spans, as s. The outer form keeps the optimizer from testing for emptiness first, which would find
+    everything twice."""
+    return found.withColumn("s", F.explode_outer("spans")).drop("spans").filter("s is not null")
+
+
 def first_word(entry: str) -> str:
     m = re.search(r"\w+", entry.lower())
     return m[0] if m else ""
 
 
 def dictionary_spans(units: DataFrame, entries: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """(key, value, type, start, end) for a dictionary (type, entry) of any size.
+    """(key, value, type, start, end) for a dictionary (type, entry) of any size. key tells units apart.
 
-    Units meet entries by an entry's first word, which stands in the text wherever the entry does; so both sides are
-    shuffled by word and nothing is broadcast. Words that begin with letters of a longer run, as after a digit, are
-    listed from the letters on as well, since only letters guard an entry.
+    Units meet entries by an entry's first word, which stands in the text wherever the entry does: keys and words alone are
+    shuffled, and a word that no entry begins with ends there. Texts are joined with the entries that are left for them, and
+    each is searched as the detectors search. Words that begin with letters of a longer run, as after a digit, are listed
+    from the letters on as well, since only letters guard an entry.
     """
     words = r"(?U)[^\W\d_]+|\d+"
     text = F.col(text_col)
-    listed = units.select(*key, text, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(words), F.lit(0)))).alias("_word"))
+    listed = units.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(words), F.lit(0)))).alias("_word"))
     asked = entries.select("type", "entry", F.regexp_extract(F.lower("entry"), words, 0).alias("_word")).filter("_word <> ''").distinct()
-    met = listed.join(asked, "_word").filter(F.contains(F.lower(text), F.lower("entry")))
-    low, value = F.lower(text), F.lower("entry")
-    at = F.filter(F.sequence(F.lit(0), F.length(text) - F.length("entry")), lambda i: F.substring(low, i + 1, F.length(value)) == value)
-    letter = lambda c: c.rlike(f"[{LETTERS}]")
-    spots = met.select(*key, text, "type", F.length("entry").alias("_n"), F.explode(at).alias("start"))
-    apart = ~letter(F.substring(text, F.col("start"), F.lit(1))) | (F.col("start") == 0)
-    apart &= ~letter(F.substring(text, F.col("start") + F.col("_n") + 1, F.lit(1)))
-    return spots.filter(apart).select(*key, F.substring(text, F.col("start") + 1, F.col("_n")).alias("value"), "type", "start", (F.col("start") + F.col("_n")).alias("end")).distinct()
+    met = listed.join(asked, "_word").select(*key, "type", "entry").join(units.select(*key, text.alias("_text")), key)
+    quoted = F.replace(F.col("entry"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pattern = F.concat(F.lit(f"(?iU)(?<![{LETTERS}])\\Q"), quoted, F.lit(f"\\E(?![{LETTERS}])"))
+    spots = met.select(*key, "type", F.explode(find(F.col("_text"), pattern, F.col("type"), 0)).alias("s"))
+    return spots.select(*key, "s.value", "type", "s.start", "s.end").distinct()

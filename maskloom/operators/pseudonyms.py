@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.fixed import ENTITY_TYPES, TOKEN
 from ..functions.spans import find, splice
@@ -34,6 +37,22 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str = "rank") -> D
     return dealt.withColumn("_within", within).join(before, [group, "_range"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
 
 
+def filled_down(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the last value in its group up to each row that isn't null, in a total order. No group is in one task.
+
+    Rows are dealt by ranges of (group, order) and filled within a range; what a range ends with goes to the later ones.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ends = dealt.filter(F.col(value).isNotNull()).groupBy(group, "_range").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    held = dealt.select(group, "_range").distinct().join(ends, [group, "_range"], "left")  # a row for each range of a group
+    above = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(group, "_range", F.last("_end", True).over(above).alias("_carried"))
+    within = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumn(name, F.last(value, True).over(within)).join(carried, [group, "_range"])
+    return own.withColumn(name, F.coalesce(name, "_carried")).drop("_range", "_carried")
+
+
 def suffix_number(token: Column) -> Column:
     """The number after the last underscore; null if there is none."""
     return F.when(F.contains(token, F.lit("_")), F.substring_index(token, "_", -1)).try_cast("int")
@@ -137,9 +156,10 @@ def restored_json(files: DataFrame, mapping: DataFrame, json_col: str = "text",
     tokens = told.select("_unit", F.explode(F.array_distinct(F.regexp_extract_all(json_col, F.lit(token), F.lit(0)))).alias("pseudonym"))
     known = tokens.join(reverse_mapping(mapping), "pseudonym").groupBy("_unit").agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_known"))
 
-    @F.udf("struct<text:string,tokens:int,unknown:array<string>>", useArrow=True)
-    def walk(text: str, known: dict):
-        known, unknown, count, pattern = dict(known or {}), set(), 0, re.compile(token)
+    pattern = re.compile(token)
+
+    def walk(text: str, known: dict) -> tuple[str, int, list[str]]:
+        unknown, count = set(), 0
 
         def value(x):
             nonlocal count
@@ -155,13 +175,32 @@ def restored_json(files: DataFrame, mapping: DataFrame, json_col: str = "text",
             return x
 
         out = json.dumps(value(json.loads(text)), ensure_ascii=False, indent=2)
-        return {"text": out, "tokens": count, "unknown": sorted(unknown)}
+        return out, count, sorted(unknown)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):  # a file at a time, so that few trees are held
+                one = batch.slice(i, 1)
+                text, count, unknown = walk(one.column(at)[0].as_py(), dict(one.column(len(schema) - 1)[0].as_py() or {}))
+                columns = one.columns[:-1]
+                columns[at] = pa.array([text], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([count], pa.int32()), pa.array([unknown], pa.list_(pa.string()))], [*names, "tokens", "unknown"])
 
-    out = told.join(known, "_unit", "left").withColumn("_done", walk(json_col, "_known"))
-    return out.withColumn(json_col, F.col("_done.text")).withColumn("tokens", F.col("_done.tokens")).withColumn("unknown", F.col("_done.unknown")).drop("_unit", "_known", "_done")
+    out = told.join(known, "_unit", "left").select(*files.columns, "_known")
+    schema, names, at = out.schema, files.columns, files.columns.index(json_col)
+    return out.mapInArrow(run, StructType([*files.schema.fields, StructField("tokens", IntegerType()), StructField("unknown", ArrayType(StringType()))]))
 
 
 def restore_stats(done: DataFrame, by: list[str]) -> DataFrame:
-    """(by, replaced, unresolved, unknown): tokens less distinct unknown ones, as each file counts; repeats of an unknown token count as replaced."""
-    unknown = F.array_sort(F.array_distinct(F.flatten(F.collect_list("unknown"))))
-    return done.groupBy(*by).agg(F.sum(F.col("tokens") - F.size("unknown")).alias("replaced"), F.size(unknown).alias("unresolved"), unknown.alias("unknown"))
+    """(by, replaced, unresolved): tokens less distinct unknown ones, as each file counts; repeats of an unknown token count as
+    replaced. unresolved: how many different tokens are unknown; see unknown_tokens()."""
+    counts = done.groupBy(*by).agg(F.sum(F.col("tokens") - F.size("unknown")).alias("replaced"))
+    lost = unknown_tokens(done, by).groupBy(*by).agg(F.count("*").cast("int").alias("unresolved"))
+    pairs = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    joined = counts.join(lost.withColumnsRenamed({c: f"_{c}" for c in by}), pairs, "left")
+    return joined.select(*by, "replaced", F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
+
+
+def unknown_tokens(done: DataFrame, by: list[str]) -> DataFrame:
+    """(by, token): the different tokens that the mapping lacks."""
+    return done.select(*by, F.explode("unknown").alias("token")).distinct()

@@ -162,6 +162,36 @@ def with_pseudonyms(params: DataFrame, units: DataFrame) -> DataFrame:
     return out.withColumn("name_anon", F.col("_name")).withColumn("block", F.col("_block")).drop(*(f"_{f}" for f in TEXTS), "_block")
 
 
+#: A parameter's parts in the order in which the dataset lists them.
+LISTED = ["id", "name", "name_anon", "block", "type", "availability", "required", "input_method", "default_value", "behavior_notes", "constraints", "ui", "source", "notes"]
+
+
+def dataset(cells: DataFrame, params: DataFrame, units: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, sheets, summary): each workbook's sheets with headers, blocks, parameters, ambiguous rows and notes.
+
+    params: with pseudonyms; units: the anonymised texts of text_units(); titles: (doc_id, sheet_index, title), anonymised. A
+    sheet without a title of its own is not named, as names of sheets and blocks may give away what they are about.
+    """
+
+    def listed(df: DataFrame, name: str, *columns) -> DataFrame:
+        one = F.struct(F.col("row").alias("_at"), F.struct(*columns).alias("x"))
+        return df.groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(one), lambda a, b: a["_at"] - b["_at"]), lambda v: v["x"]).alias(name))
+
+    found = sheets(cells).join(titles, SHEET, "left")
+    named = params.join(titles, SHEET, "left").withColumn("source", F.col("source").withField("sheet", F.coalesce("title", F.lit(""))))
+    parts = {
+        "blocks": listed(units.filter("field = 'block_name'"), "blocks", F.col("text").alias("name_anon"), "row"),
+        "parameters": listed(named, "parameters", *LISTED),
+        "ambiguous_cases": listed(ambiguous(rows(cells)), "ambiguous_cases", "row", "reason", "values"),
+    }
+    for name, part in parts.items():
+        found = found.join(part, SHEET, "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    sheet = F.struct(F.coalesce("title", F.lit("")).alias("sheet_name_anon"), "sheet_index", "header_row", "headers", "blocks", "parameters", "ambiguous_cases", "notes")
+    by_doc = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sheet_index", sheet.alias("x"))), lambda a, b: a["sheet_index"] - b["sheet_index"]), lambda v: v["x"]).alias("sheets"))
+    counts = summary(cells)
+    return by_doc.join(counts.select("doc_id", F.struct(*(c for c in counts.columns if c != "doc_id")).alias("summary")), "doc_id")
+
+
 def summary(cells: DataFrame) -> DataFrame:
     """The nine counters of each document."""
     count = lambda c: F.count_if(c)

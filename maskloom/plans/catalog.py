@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fixed import LONG_TOKEN, TOKEN
 from ..functions.spans import NONE, find, resolve
+from ..operators import preview as preview_ops
 from ..operators import render, review, spec
-from ..operators.detect import detectors, dictionary_spans, with_spans
+from ..operators.detect import detectors, dictionary_spans, each_span, with_spans
 from ..operators.pseudonyms import (
-    anonymise, extended, first_seen, mapping_stats, next_numbers, ranked, replaced, restore_stats, restored, restored_json, token_counts,
+    anonymise, extended, filled_down, first_seen, mapping_stats, next_numbers, ranked, replaced, restore_stats, restored, restored_json, token_counts,
 )
 from ..sinks.files import index_upsert, output_names, restored_path
 from . import fixtures as X
+from .entity_sql import AFTER, KEPT
 from .fixtures import frame, values
 from .storage import stored
 
@@ -77,15 +79,14 @@ def page_hosts(spark, sf_dir):
 
 @_query(f"WITH {_EMAILS} SELECT doc_id, value, start_at, start_at + length(value) AS end_at FROM s")
 def email_spans(spark, sf_dir):
-    spans = documents(spark, sf_dir).select("doc_id", F.explode(detectors()["EMAIL"](F.col("text"))).alias("s"))
+    spans = each_span(documents(spark, sf_dir).select("doc_id", detectors()["EMAIL"](F.col("text")).alias("spans")))
     return spans.select("doc_id", "s.value", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
 
 
-@_query("""SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS value FROM documents) WHERE length(value) = 16""")
+@_query(r"""SELECT doc_id, translate(value, chr(2) || chr(3), '') AS value FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([0-9]+)', chr(2) || '\1' || chr(3), 'g'), '\x02(?:[0-9]{4}(?:\x03[\s-]\x02)?){3}[0-9]{4}\x03')) AS value FROM documents)""")
 def card_spans(spark, sf_dir):
-    """Cards without separators; the tables hold no other."""
-    spans = documents(spark, sf_dir).select("doc_id", F.explode(detectors()["CARD"](F.col("text"))).alias("s"))
-    return spans.select("doc_id", "s.value").filter(~F.col("value").rlike("[^0-9]"))
+    spans = each_span(documents(spark, sf_dir).select("doc_id", detectors()["CARD"](F.col("text")).alias("spans")))
+    return spans.select("doc_id", "s.value")
 
 
 @_query(f"{_NUMBERED} SELECT 'EMAIL' AS type, value AS original, pseudonym FROM n")
@@ -102,21 +103,21 @@ def anonymise_emails(spark, sf_dir):
     return after.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@_query()
+@_query(f"WITH {AFTER} SELECT doc_id, text, CAST(len(regexp_extract_all(text, '[A-Z]+_[0-9]{{4}}')) AS BIGINT) AS n_entities FROM after")
 def anonymise_documents(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@_query()
+@_query(f"WITH {KEPT} SELECT doc_id, type, value, start_at, end_at FROM kept")
 def entity_spans(spark, sf_dir):
     """All types over all documents, overlaps resolved."""
-    spans = with_spans(documents(spark, sf_dir), X.DICTIONARY).select("doc_id", F.explode("spans").alias("s"))
+    spans = each_span(with_spans(documents(spark, sf_dir), X.DICTIONARY).select("doc_id", "spans"))
     return spans.select("doc_id", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
 
 
-@_query()
+@_query(f"WITH {KEPT} SELECT source, type, count(*) AS n, count(DISTINCT value) AS n_values FROM kept JOIN cleaned USING (doc_id) GROUP BY source, type")
 def entity_counts_by_source(spark, sf_dir):
-    spans = with_spans(table(spark, sf_dir, "documents").select("source", "text"), X.DICTIONARY).select("source", F.explode("spans").alias("s"))
+    spans = each_span(with_spans(table(spark, sf_dir, "documents").select("source", "text"), X.DICTIONARY).select("source", "spans"))
     return spans.groupBy("source", F.col("s.type").alias("type")).agg(F.count("*").alias("n"), F.countDistinct("s.value").alias("n_values"))
 
 
@@ -161,7 +162,7 @@ def next_pseudonyms(spark, sf_dir):
 
 @_query(f"WITH {values(X.DETECTOR_CASES, 'c')} SELECT case_id, type, value, start_at FROM c WHERE value IS NOT NULL")
 def detector_cases(spark, sf_dir):
-    spans = with_spans(frame(spark, X.DETECTOR_CASES).select("case_id", "text"), X.DICTIONARY).select("case_id", F.explode("spans").alias("s"))
+    spans = each_span(with_spans(frame(spark, X.DETECTOR_CASES).select("case_id", "text"), X.DICTIONARY).select("case_id", "spans"))
     return spans.select("case_id", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
 
 
@@ -367,8 +368,8 @@ def spec_summary(spark, sf_dir):
 @_query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS above FROM events")
 def forward_fill(spark, sf_dir):
     """The rule that gives a form's rows their block, over events: the last click above each."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "click", F.col("event_id")), True).over(w).alias("above"))
+    click = F.when(F.col("event_type") == "click", F.col("event_id"))
+    return filled_down(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", click.alias("click")), "user_id", ["ts", "event_id"], "click", "above").select("event_id", "user_id", "above")
 
 
 @_query(f"""{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, CASE WHEN {_req("required")} = 'required' AND NOT hidden THEN 'ошибка' ELSE 'ошибка при выполнении условия' END AS expectation
@@ -469,6 +470,24 @@ def occurrences(spark, sf_dir):
     return d.select("doc_id", F.size(starts).alias("n"), F.split(T.line_and_column(F.col("text"), starts[0]["start"]), r"\.")[0].cast("long").alias("line"))
 
 
+@_query("""WITH c AS (SELECT doc_id, string_split(text, 'the') AS g FROM documents WHERE contains(text, 'the')),
+p AS (SELECT doc_id, i AS nth, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + 3 * (i - 1) AS INTEGER) AS start_at FROM (SELECT *, unnest(range(1, len(g))) AS i FROM c))
+SELECT doc_id, CAST(nth - 1 AS INTEGER) AS nth, start_at, coalesce(lag(start_at) OVER w, last_value(start_at) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS previous_at,
+  coalesce(lead(start_at) OVER w, first_value(start_at) OVER w) AS next_at FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY nth)""")
+def occurrence_walk(spark, sf_dir):
+    """Every place of a value in each document with the ones before and after it, round and round."""
+    return preview_ops.walk(documents(spark, sf_dir).withColumn("value", F.lit("the")), ["doc_id", "value"]).drop("value")
+
+
+@_query("""WITH t AS (SELECT CAST(o_custkey % 97 AS BIGINT) AS doc_id, o_orderstatus || '_' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 4, '0') AS token FROM orders),
+c AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL) SELECT doc_id, CAST(sum(n) AS BIGINT) AS replaced, max(n) AS most FROM c GROUP BY doc_id""")
+def preview_totals(spark, sf_dir):
+    """How many replacements a preview shows, and the most of one value."""
+    token = F.format_string("%s_%04d", F.col("o_orderstatus"), (F.col("o_custkey") % 1000).cast("int"))
+    lines = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).cast("long").alias("doc_id"), F.concat(F.lit("a "), token, F.lit(" b")).alias("line"))
+    return preview_ops.totals(lines, ["doc_id"], "line")
+
+
 @_query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def round_trip(spark, sf_dir):
     """Anonymised by e-mail addresses and cards without separators, then restored: the documents again."""

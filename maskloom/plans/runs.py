@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.fixed import LONG_TOKEN
 from ..functions.text import clean, file_name, parent, suffix
 from ..operators import render, review, spec
-from ..operators.pseudonyms import anonymise, empty_mapping, replaced, restore_stats, restored, restored_json, token_counts
+from ..operators.pseudonyms import anonymise, empty_mapping, replaced, restore_stats, restored, restored_json, token_counts, unknown_tokens
 from ..operators.detect import Dictionary, with_spans
-from ..sinks.files import index_upsert, output_dir, output_names, read_index, restored_path, write_files, write_mapping
+from ..sinks.files import append_lines, index_upsert, output_dir, output_names, read_index, recovered, restored_path, write_files, write_mapping
 from ..sources.files import read_blocks, read_cells, read_dictionary, read_ignore, read_mapping, read_media, scan, scan_artifacts
 from .storage import stored
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def block_units(blocks: DataFrame) -> DataFrame:
     """(doc_id, phase, a, b, c, text): texts and table cells in the order in which they are visited."""
     texts = blocks.filter("kind = 'text'").select("doc_id", F.lit(0).alias("phase"), F.col("block_index").alias("a"), F.lit(-1).alias("b"), F.lit(-1).alias("c"), "text")
@@ -35,18 +30,27 @@ def cell_units(cells: DataFrame, params: DataFrame) -> DataFrame:
     return titles.unionByName(own).unionByName(fields)
 
 
+def name_units(names: DataFrame) -> DataFrame:
+    """(doc_id, phase, a, b, c, text): the file names of workbooks (doc_id, path), after their texts."""
+    zero = F.lit(0)
+    return names.filter(suffix(F.col("path")) == ".xlsx").select("doc_id", F.lit(3).alias("phase"), zero.alias("a"), zero.alias("b"), zero.alias("c"), file_name(F.col("path")).alias("text"))
+
+
+#: Unknown tokens that a report lists; unknown_tokens() has all.
+SHOWN = 1000
 ORDER = ["doc_id", "phase", "a", "b", "c"]
 
 
 def anonymise_folder(spark: SparkSession, target: str, out: str | None = None, mapping_path: str | None = None, dictionaries: str | None = None, reset: bool = False) -> dict:
     """Anonymises all files below target; writes texts, assets, datasets, reviews, the index and the mapping; returns the report.
 
-    One mapping is written by one run at a time.
+    target may be one file: it gets the first form of its name, <stem>_anon, whatever else its folder holds. One mapping is
+    written by one run at a time; a path that ends in .json is a file of JSON, any other a folder of Parquet.
     """
     files = stored(scan(spark, target), "files")
     dictionary: Dictionary = read_dictionary(spark, dictionaries) if dictionaries else {}
-    ignore = read_ignore(spark, f"{dictionaries}/ignore.txt") if dictionaries and _exists(spark, f"{dictionaries}/ignore.txt") else None
-    known = read_mapping(spark, mapping_path) if mapping_path and not reset and _exists(spark, mapping_path) else empty_mapping(spark)
+    ignore = read_ignore(spark, f"{dictionaries}/ignore.txt") if dictionaries and recovered(spark, f"{dictionaries}/ignore.txt") else None
+    known = read_mapping(spark, mapping_path) if mapping_path and not reset and recovered(spark, mapping_path) else empty_mapping(spark)
     ids = files.select("path", "doc_id")
     folder = F.lit(out) if out else output_dir(F.col("path"))
     named = stored(output_names(ids, "path", "doc_id").withColumn("dir", folder), "names")
@@ -57,7 +61,7 @@ def anonymise_folder(spark: SparkSession, target: str, out: str | None = None, m
     found_rows = stored(spec.rows(cells), "rows")
     fields = spec.text_units(found_rows)
 
-    units, mapping = anonymise(block_units(blocks).unionByName(cell_units(cells, fields)), ORDER, known, dictionary)
+    units, mapping = anonymise(block_units(blocks).unionByName(cell_units(cells, fields)).unionByName(name_units(ids)), ORDER, known, dictionary)
     units = stored(units, "units")
     texts = units.filter("phase = 0")
     table_rows = texts.filter("b >= 0").groupBy("doc_id", "a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: x["text"]).alias("cells")).groupBy("doc_id", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "cells"))), lambda x: x["cells"]).alias("new_rows"))
@@ -83,10 +87,10 @@ def anonymise_folder(spark: SparkSession, target: str, out: str | None = None, m
 
     field_units = units.filter("phase = 2").join(fields.select("doc_id", F.col("sheet_index").alias("a"), F.col("row").alias("b"), F.col("field_ord").alias("c"), "field"), ["doc_id", "a", "b", "c"]).select("doc_id", F.col("a").alias("sheet_index"), F.col("b").alias("row"), "field", "text")
     params = stored(spec.with_pseudonyms(spec.parameters(cells), field_units), "parameters")
-    counts = spec.summary(cells)
-    listed = params.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sheet_index", "row", "id", "name", "name_anon", "block", "type", "availability", "required", "input_method", "default_value", "behavior_notes", "constraints", "ui", "notes"))).alias("parameters"))
-    dataset = counts.join(listed, "doc_id", "left").withColumn("schema_version", F.lit("1.0")).withColumn("summary", F.struct(*(c for c in counts.columns if c != "doc_id")))
-    write_files(dataset.join(place, "doc_id").select(F.concat("at", F.lit(".json")).alias("path"), F.to_json(F.struct("schema_version", "parameters", "summary"), {"ignoreNullFields": "false"}).alias("data")))
+    known_as = units.filter("phase = 3").select("doc_id", F.struct(F.col("text").alias("file_name_anon")).alias("source"))
+    agent = F.struct(F.lit("maskloom-spec").alias("name"), F.lit("1.0").alias("version"))
+    dataset = spec.dataset(cells, params, field_units, titles).join(known_as, "doc_id").select("doc_id", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), "source", agent.alias("agent"), "sheets", "summary"), {"ignoreNullFields": "false", "pretty": "true"}).alias("data"))
+    write_files(dataset.join(place, "doc_id").select(F.concat("at", F.lit(".json")).alias("path"), "data"))
 
     raw = block_units(blocks).unionByName(cell_units(cells, fields).filter("phase = 1 and b > 0"))
     found = stored(review.candidates(raw, ORDER, ignore, dictionary), "candidates")
@@ -117,8 +121,8 @@ def parent_of(target: str) -> str:
 
 
 def restore_folder(spark: SparkSession, target: str, mapping_path: str, out: str | None = None) -> dict:
-    """Restores the artifacts below target and returns how many tokens were replaced and which were unknown."""
-    if not _exists(spark, mapping_path):
+    """Restores the artifacts below target and returns how many tokens were replaced and unknown; of these the first `SHOWN`."""
+    if not recovered(spark, mapping_path):
         raise FileNotFoundError(f"no mapping at {mapping_path}")
     mapping = read_mapping(spark, mapping_path)
     found = scan_artifacts(spark, target)
@@ -126,7 +130,8 @@ def restore_folder(spark: SparkSession, target: str, mapping_path: str, out: str
     done = stored(done, "restored")
     n = write_files(done.select(restored_path(F.col("path"), out).alias("path"), F.col("text").alias("data")))
     stats = restore_stats(done.withColumn("all", F.lit(1)), ["all"]).first()
-    return {"files": n, "replaced": stats["replaced"] if stats else 0, "unresolved": stats["unresolved"] if stats else 0, "unknown": stats["unknown"] if stats else []}
+    lost = unknown_tokens(done, []).orderBy("token").limit(SHOWN)
+    return {"files": n, "replaced": stats["replaced"] if stats else 0, "unresolved": stats["unresolved"] if stats else 0, "unknown": [r["token"] for r in lost.collect()]}
 
 
 def preview(texts: DataFrame, order: list[str], mapping: DataFrame | None = None, dictionary: Dictionary | None = None, text_col: str = "text") -> DataFrame:
@@ -135,9 +140,14 @@ def preview(texts: DataFrame, order: list[str], mapping: DataFrame | None = None
     return after.withColumnRenamed(text_col, "after")
 
 
+def ignore_values(spark: SparkSession, dictionaries: str, values: list[str]) -> None:
+    """Values that people have looked at and let pass, added to the ignore list; later runs leave them out of reviews."""
+    append_lines(spark, f"{dictionaries}/ignore.txt", values)
+
+
 def anonymise_known(units: DataFrame, mapping: DataFrame, dictionary: Dictionary | None = None, text_col: str = "text") -> DataFrame:
     """units with the values that the mapping has replaced; new values stay. Needs no numbering, so many runs can share a mapping."""
     return replaced(stored(with_spans(units, dictionary, text_col), "spans"), mapping, text_col)
 
 
-__all__ = ["anonymise_folder", "anonymise_known", "block_units", "cell_units", "clean", "parent", "preview", "restore_folder"]
+__all__ = ["anonymise_folder", "anonymise_known", "block_units", "cell_units", "clean", "ignore_values", "parent", "preview", "restore_folder"]

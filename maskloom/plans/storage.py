@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list = []
+_OWN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,17 +31,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back, so that nothing above it is computed twice or lost with an executor."""
     path = f"{shared_dir(df.sparkSession)}/maskloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _WRITTEN.append((df.sparkSession, path))
+    getattr(_OWN, "written", _WRITTEN).append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_stored() -> None:
-    """Deletes what stored() has written; frames built on it can't be read afterwards."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def _clear(written: list) -> None:
+    while written:
+        spark, path = written.pop()
         with contextlib.suppress(Exception):
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def stored_here() -> Iterator[None]:
+    """What this thread stores within is deleted at the end, and nothing else; frames built on it can't be read afterwards."""
+    before = getattr(_OWN, "written", None)
+    _OWN.written = []
+    try:
+        yield
+    finally:
+        _clear(_OWN.written)
+        if before is None:
+            del _OWN.written
+        else:
+            _OWN.written = before
+
+
+def clear_stored() -> None:
+    """Deletes all that stored() has written outside stored_here()."""
+    _clear(_WRITTEN)
+
+
 atexit.register(clear_stored)

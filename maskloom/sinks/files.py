@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,8 @@ def write_files(df: DataFrame, path_col: str = "path", data_col: str = "data") -
         for batch in batches:
             for path, data in zip(batch["path"], batch["data"], strict=True):
                 path = path.removeprefix("file://").removeprefix("file:")
+                if re.match("[A-Za-z][A-Za-z0-9+.-]*://?", path):
+                    raise ValueError(f"files are written to a mounted file system, not to {path}")
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 part = f"{path}.part-{os.getpid()}"
                 with open(part, "wb") as f:
@@ -31,16 +34,80 @@ def write_files(df: DataFrame, path_col: str = "path", data_col: str = "data") -
     return df.select(F.col(path_col).alias("path"), data.alias("data")).mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _aside(path: str) -> str:
+    return f"{path.rstrip('/')}.old"
+
+
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """new takes the place of path. What was there is moved aside first and deleted last, so a run that breaks off leaves one
+    of the two; recovered() brings it back."""
+    fs, to = _at(spark, path)
+    _, old = _at(spark, _aside(path))
+    if fs.exists(to):
+        fs.delete(old, True)
+        fs.rename(to, old)
+    if not fs.rename(_at(spark, new)[1], to):
+        raise OSError(f"could not move {new} to {path}")
+    fs.delete(old, True)
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at path, brought back from aside if a run broke off while it was replaced."""
+    fs, to = _at(spark, path)
+    _, old = _at(spark, _aside(path))
+    if not fs.exists(to) and fs.exists(old):
+        fs.rename(old, to)
+    return fs.exists(to)
+
+
+def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
+    """The column line, sorted by order, as one text file, replaced as a whole. One task writes it, sorted outside memory."""
+    spark = lines.sparkSession
+    beside = f"{path}.new"
+    lines.repartition(1).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(beside)
+    fs, folder = _at(spark, beside)
+    part = next(x.getPath().toString() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    swap(spark, part, path)
+    fs.delete(folder, True)
+
+
+def mapping_lines(mapping: DataFrame) -> DataFrame:
+    """(type, o, original, line): the lines of a mapping as indented JSON, types and values sorted, empty types left out."""
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    last = mapping.groupBy("type").agg(F.max("original").alias("last")).withColumn("more", F.lead("type").over(Window.orderBy("type")).isNotNull())
+    comma = lambda more: F.when(more, ",").otherwise("")
+    row = lambda df, o, original, line: df.select("type", F.lit(o).alias("o"), original.alias("original"), line.alias("line"))
+    none = F.lit("")
+    heads = row(last, 0, none, F.concat(F.lit("  "), quoted("type"), F.lit(": {")))
+    tails = row(last, 2, none, F.concat(F.lit("  }"), comma(F.col("more"))))
+    body = row(mapping.join(last, "type"), 1, F.col("original"), F.concat(F.lit("    "), quoted("original"), F.lit(": "), quoted("pseudonym"), comma(F.col("original") != F.col("last"))))
+    ends = mapping.sparkSession.createDataFrame([("", -1, "", "{"), (chr(0x10FFFF), 3, "", "}")], "type string, o int, original string, line string")
+    return heads.unionByName(body).unionByName(tails).unionByName(ends)
+
+
 def write_mapping(mapping: DataFrame, path: str) -> None:
-    """A mapping as Parquet, replaced as a whole: written beside and then moved, so a failed run leaves the old one."""
-    spark = mapping.sparkSession
+    """A mapping as JSON {type: {original: pseudonym}} where path ends in .json, else as Parquet; replaced as a whole."""
+    if path.endswith(".json"):
+        write_lines(mapping_lines(mapping), ["type", "o", "original"], path)
+        return
     beside = f"{path.rstrip('/')}.new"
     mapping.write.mode("overwrite").parquet(beside)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    swap(mapping.sparkSession, beside, path)
+
+
+def append_lines(spark: SparkSession, path: str, values: list[str]) -> None:
+    """Values, one a line, at the end of a text file that may not be there yet, such as an ignore list."""
+    new = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "late int, at long, line string")
+    if recovered(spark, path):
+        old = spark.read.text(path).select(F.lit(0).alias("late"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+        new = old.unionByName(new)
+    write_lines(new, ["late", "at"], path)
 
 
 def mapping_json(mapping: DataFrame) -> DataFrame:
@@ -88,8 +155,5 @@ def index_upsert(old: DataFrame | None, new: DataFrame, key: str = "output") ->
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """An index written before; None, as for a run without one, if there is none that can be read."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  an index that can't be read is built anew
-        return None
+    """An index written before; None if there is none. One that is there and can't be read is an error, not a new index."""
+    return spark.read.parquet(path) if recovered(spark, path) else None

@@ -120,3 +120,55 @@ def test_numbers_past_four_digits_are_restored(spark):
     assert (r.text, r.tokens, r.unknown) == ("Boris, Anna and 5555, PERSON_10001", 4, ["PERSON_10001"])
     files = spark.createDataFrame([(1, '["PERSON_10000", "PERSON_1000"]')], "i long, text string")
     assert json.loads(restored_json(files, mapping, token=LONG_TOKEN).first().text) == ["Boris", "Anna"]
+
+
+def test_entity_sql_equals_the_model(spark, tmp_path):
+    """The SQL of whole documents against the plain model, on random texts."""
+    from maskloom.plans.entity_sql import AFTER, KEPT
+
+    from .compare import duck
+
+    texts = [t.replace("Cлово", "слово") for t in random_texts(3000, 11)]  # look-alikes stay in the SQL
+    frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    frame.coalesce(1).toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    _, rows = duck(str(tmp_path), f"WITH {KEPT} SELECT doc_id, value, type, start_at, end_at FROM kept")
+    got = {}
+    for i, *s in rows:
+        got.setdefault(i, []).append(tuple(s))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, []), key=lambda s: s[2]) == [s[:4] for s in model.spans(model.clean(t))], t
+    _, after = duck(str(tmp_path), f"WITH {AFTER} SELECT doc_id, text FROM after ORDER BY doc_id")
+    assert [t for _, t in after] == model.anonymise(texts)[0]
+
+
+def test_occurrences_and_places(spark):
+    r = random.Random(6)
+    rows = [("".join(r.choice("abé日😀.") for _ in range(r.randint(0, 12))), "".join(r.choice("abé.") for _ in range(r.randint(1, 2))), r.randint(0, 4)) for _ in range(500)] + [("a\\Ea", "\\E", 0), ("aaaa", "aa", 1)]
+    df = spark.createDataFrame(rows, "t string, v string, s int")
+    for x in df.select("t", "v", "s", T.occurrences(F.col("t"), F.col("v"), F.col("s")).alias("all"), T.places(F.col("t"), F.col("v")).alias("apart")).collect():
+        assert x["all"] == [i for i in range(x.s, len(x.t)) if x.t.startswith(x.v, i)]
+        apart, at = [], x.t.find(x.v)
+        while at >= 0:
+            apart.append(at)
+            at = x.t.find(x.v, at + len(x.v))
+        assert x.apart == apart
+
+
+def test_highlights_mark_longer_values_first(spark):
+    from maskloom.operators.preview import highlights
+
+    df = spark.createDataFrame([("Луч Плюс и Луч", ["Луч", "Луч Плюс"])], "t string, v array<string>")
+    assert [(s.value, s.start) for s in df.select(highlights(F.col("t"), F.col("v")).alias("h")).first().h] == [("Луч Плюс", 0), ("Луч", 11)]
+
+
+def test_filled_down_equals_a_loop(spark):
+    from maskloom.operators.pseudonyms import filled_down
+
+    r = random.Random(9)
+    rows = [(0 if r.random() < 0.5 else r.randint(0, 9), i, r.choice([None, None, None, i])) for i in range(3000)]
+    held, wanted = {}, {}
+    for g, i, v in rows:
+        held[g] = v if v is not None else held.get(g)
+        wanted[i] = held[g]
+    got = filled_down(spark.createDataFrame(rows, "g int, i int, v int"), "g", ["i"], "v", "up")
+    assert {x.i: x.up for x in got.collect()} == wanted and got.columns == ["g", "i", "v", "up"]
