@@ -2,8 +2,9 @@
 
 Lengths are whole numbers up to the capacity, so however many documents there are, the packing problem is the table of
 how many pieces have each length: `capacity` rows at most. Bin completion runs on that table. It takes the largest
-length left, lists the undominated fillings of the room beside it, tries the one that wastes least first, and prunes
-what can't beat the incumbent by the waste it has already allowed; a filling is applied as often as the counts let it.
+length left, goes through the undominated fillings of the room beside it, the one that wastes least first, and prunes
+what can't beat the incumbent, best fit at first, by the waste it has already allowed; a filling is applied as often as
+the counts let it.
 The plan, runs of equal sequences, is then laid over the pieces, which are ranked within their length by Spark.
 """
 
@@ -95,13 +96,18 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
     return max(-(-int(mass[-1]) // capacity), large + max(0, int((-(-over // capacity)).max())))
 
 
-def _covers(big: Filling, small: Filling) -> bool:
-    """Can the items of `small` be put into the items of `big`, several into one? Then `big` dominates. Told for up to 5 items; beyond, neither is held to."""
-    if not small:
-        return True
-    if len(big) > 5 or len(small) > 5:
-        return False
-    return any(x >= small[0] and _covers(tuple(sorted((*big[:i], x - small[0], *big[i + 1 :]), reverse=True)), small[1:]) for i, x in enumerate(big))
+def lower_bound(counts: dict[int, int], capacity: int, most: int = 60) -> int:
+    """The larger of least_bins() and what dual feasible functions give: lengths are rounded so that no bin holds more than
+    before, lengths under a limit counting nothing and those that leave less than it a whole bin, and then summed."""
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    best = least_bins(counts, capacity)
+    for limit in [0, *(s for s in sizes.tolist() if 2 * s <= capacity)]:
+        x = np.where(sizes > capacity - limit, capacity, np.where(sizes < limit, 0, sizes))
+        for k in range(1, most):
+            rounded = np.where(x * (k + 1) % capacity == 0, x * k, x * (k + 1) // capacity * capacity)
+            best = max(best, -(-int((rounded * n).sum()) // (k * capacity)))
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
@@ -138,86 +144,90 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Filling]]
     return [run for runs in bins.values() for run in runs if run[1]]
 
 
-def fillings(room: int, counts: dict[int, int], sizes: list[int], width: int, depth: int = 3, tries: int = 400) -> list[Filling]:
-    """The best undominated fillings of the room, least waste first, then larger items first.
+def fillings(room: int, counts: dict[int, int], sizes: list[int]) -> Iterator[Filling]:
+    """The undominated fillings of the room, one after the other: least waste first, then larger items first.
 
-    Sets of up to `depth` lengths, the last of them always the largest that fits; sets of more items come from filling
-    up greedily. Longer sets are looked for only where shorter ones leave waste, `tries` of them at most.
+    Reachable sums of the sizes up to each one, as bits, lead straight to fillings, with no dead ends. A filling is dominated,
+    and passed over, if what it wastes has room for a further item, for a larger one in place of one of its items, or for
+    one item in place of two: whatever is packed with it can be packed with the other. sizes: those in counts, rising.
     """
-    found: set[Filling] = set()
-    exact = seen = 0
-
-    def largest(most: int, used: Filling) -> int:
-        """Where the largest length up to `most` is that `used` leaves any of; -1 if there is none."""
-        i = bisect_right(sizes, most) - 1
-        while i >= 0 and used and counts[sizes[i]] <= used.count(sizes[i]) or i >= 0 and not counts[sizes[i]]:
-            i -= 1
-        return i
-
-    def fill(used: Filling, left: int, most: int) -> None:
-        """Fills up with the largest that fits, alike items at a time."""
-        nonlocal exact, seen
-        while (i := largest(min(left, most), used)) >= 0:
-            most = sizes[i]
-            k = min(left // most, counts[most] - used.count(most))
-            used, left = used + (most,) * k, left - k * most
-        seen += 1
-        if used not in found:
-            found.add(used)
-            exact += not left
-
-    def grow(used: Filling, left: int, most: int, levels: int) -> None:
-        i = largest(min(left, most), used)
-        if levels == 1 or i < 0:
-            fill(used, left, most)
-            return
-        while i >= 0 and exact < width and seen < tries:
-            x = sizes[i]
-            if counts[x] > used.count(x):
-                grow((*used, x), left - x, x, levels - 1)
+    own = [s for s in sizes[: bisect_right(sizes, room)] if counts[s]]
+    whole, reach = (1 << room + 1) - 1, [1]
+    for s in own:
+        bits, left, k = reach[-1], min(counts[s], room // s), 1
+        while left:  # so many of s, by doubling
+            k = min(k, left)
+            bits |= bits << s * k
+            left, k = left - k, 2 * k
+        reach.append(bits & whole)
+
+    def exact(left: int, i: int, used: Filling) -> Iterator[Filling]:
+        while left and i:
+            i = min(i, bisect_right(own, left))
+            s = own[i - 1]
+            for k in range(min(counts[s], left // s), 0, -1):
+                if reach[i - 1] >> left - k * s & 1:
+                    yield from exact(left - k * s, i - 1, used + (s,) * k)
             i -= 1
+            if not reach[i] >> left & 1:
+                return
+        if not left:
+            yield used
+
+    def fits(low: int, high: int, used: Filling) -> bool:
+        """Is there an item of low to high that `used` leaves?"""
+        i = bisect_left(own, low)
+        while i < len(own) and own[i] <= high:
+            if counts[own[i]] > used.count(own[i]):
+                return True
+            i += 1
+        return False
 
-    for levels in range(1, depth + 1):
-        grow((), room, room, levels)
-        if exact and tries < 1 << 30 or seen >= tries:
-            break
-    best: list[Filling] = []
-    for f in sorted(found, key=lambda f: (room - sum(f), tuple(-x for x in f)))[: 4 * width]:
-        if not any(_covers(g, f) for g in best):
-            best.append(f)
-        if len(best) == width:
-            break
-    return best
+    for waste in range(room + 1):
+        if not reach[-1] >> room - waste & 1:
+            continue
+        for f in exact(room - waste, len(own), ()):
+            if waste and (fits(1, waste, f) or any(fits(x + 1, x + waste, f) for x in set(f))):
+                continue
+            if any(fits(x + y, x + y + waste, f) for i, x in enumerate(f) for y in f[i + 1 :]):
+                continue
+            yield f
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 1500, width: int = 6, single: int = 64) -> list[tuple[int, Filling]]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[int, Filling]]:
     """Runs (how many bins, the lengths in each) that pack `counts` (length -> how many) into few bins.
 
-    Starts from best fit as the incumbent. Stops with a proven optimum when the incumbent meets the lower bound or the
-    search is exhausted, else after `nodes` nodes with the best found. Up to `single` items, each node makes one bin and
-    all fillings are listed, so the search is exact if it ends before `nodes`.
+    Starts from best fit as the incumbent. Each node takes the largest length left and one undominated filling beside it, as
+    often as the counts and the waste that is still affordable let it, and later once; so all packings are reached in
+    the end. Stops with a proven optimum when the incumbent meets the lower bound or the search is exhausted, else after
+    `nodes` nodes, whatever the size, with the best found.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
         return []
-    total, items = sum(s * n for s, n in counts.items()), sum(counts.values())
-    bound = least_bins(counts, capacity)
+    total = sum(s * n for s, n in counts.items())
+    bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     fewest = sum(n for n, _ in best)
-    wide, deep, tries = (width, 3, 400) if items > single else (1 << 30, 12, 1 << 30)
 
     def children(left: dict[int, int], spare: int) -> Iterator[tuple[int, Filling]]:
         sizes = sorted(left)
         top = sizes[-1]
         rest = left | {top: left[top] - 1}
-        for f in fillings(capacity - top, rest, sizes, wide, deep, tries):
-            bin_ = (top, *f)
-            times = min(left[s] // k for s, k in Counter(bin_).items()) if items > single else 1
-            waste = capacity - sum(bin_)
-            if times * waste > spare:
-                times = spare // waste  # so that what it wastes can still be afforded
-            if times:
-                yield times, bin_
+        several = False
+        for once in (False, True):
+            for f in fillings(capacity - top, rest, sizes):
+                bin_ = (top, *f)
+                waste = capacity - sum(bin_)
+                if waste > spare:
+                    break
+                times = min(left[s] // k for s, k in Counter(bin_).items())
+                several = several or times > 1
+                if once and times == 1:
+                    continue
+                yield (1 if once else min(times, spare // waste) if waste else times), bin_
+            if not several:
+                break
 
     # Depth first, with one iterator of untried fillings for each level.
     path: list[tuple[int, Filling]] = []

@@ -57,6 +57,55 @@ def test_large_cases_are_close(seed):
     assert held(P.best_fit(items, 1024)) == items
 
 
+def brute_fillings(room, items):
+    """All fillings of the room from a list of items that none other dominates by holding the items of the first inside its own."""
+    every = {tuple(sorted((items[i] for i in range(len(items)) if mask >> i & 1), reverse=True)) for mask in range(1 << len(items))}
+    every = {f for f in every if sum(f) <= room}
+
+    def inside(small, big):
+        if not small:
+            return True
+        return any(x >= small[0] and inside(small[1:], tuple(sorted((*big[:i], x - small[0], *big[i + 1 :]), reverse=True))) for i, x in enumerate(big))
+
+    return every, inside
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_fillings_leave_out_dominated_ones_only(seed):
+    r = random.Random(seed)
+    items = [r.randint(1, 12) for _ in range(r.randint(1, 7))]
+    room = r.randint(1, 24)
+    got = list(P.fillings(room, Counter(items), sorted(set(items))))
+    every, inside = brute_fillings(room, items)
+    assert len(got) == len(set(got)) and set(got) <= every and [room - sum(f) for f in got] == sorted(room - sum(f) for f in got)
+    for f in every:
+        assert any(inside(f, g) for g in got), (f, got)
+
+
+def test_ten_instances_against_best_fit_and_the_bound(capsys):
+    """Never worse than best fit, better on some, and proven to be the fewest on some."""
+    told = []
+    for seed in range(10):
+        r = random.Random(seed)
+        low, high, n = [(1, 1024, 400), (180, 520, 400), (300, 360, 500), (200, 700, 600), (1, 600, 300)][seed // 2]
+        items = Counter(r.randint(low, high) for _ in range(n))
+        plan = P.bin_completion(items, 1024)
+        assert held(plan) == items and all(sum(b) <= 1024 for _, b in plan)
+        told.append((sum(n for n, _ in plan), sum(n for n, _ in P.best_fit(items, 1024)), P.lower_bound(items, 1024)))
+    with capsys.disabled():
+        print("\nplan, best fit, bound:", *told)
+    assert all(bound <= plan <= fit for plan, fit, bound in told)
+    assert sum(plan < fit for plan, fit, _ in told) >= 3 and sum(plan == bound for plan, _, bound in told) >= 3
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bounds_are_bounds(seed):
+    r = random.Random(seed)
+    capacity = r.choice([10, 20, 50])
+    items = [r.randint(1, capacity) for _ in range(r.randint(1, 10))]
+    assert P.least_bins(Counter(items), capacity) <= P.lower_bound(Counter(items), capacity) <= fewest(items, capacity)
+
+
 def test_ids_are_those_of_the_tokenizers_file(spark):
     t = Tokenizer.from_file(P.tokenizer_path())
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", " ", "a\n\n b\t c", "<|endoftext|>", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>x", " <|endoftext", "日本語 😀", "don't   stop\r\n", "\x00\x7f"]
