@@ -4,17 +4,19 @@ Templates are few and fixed, blocks are many. All templates' words are ordered b
 first. A block can reach `threshold` of a template's words only if the prefixes of both, in that order, share a word
 (prefix filter), if the block has enough template words at all (length filter), and if enough words are left on both
 sides from the shared one on (positional filter). What passes is verified by the sets themselves, so the filters cost
-no pair. Documents without any prefix word are never cut into blocks.
+no pair. Texts are read once: what the phrases need, which template words there are, and the texts that hold enough words
+of some template are written; the word order comes from the first, and only those texts are cut into blocks.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, stored, text_of
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -59,29 +61,45 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def phrase_places(docs: DataFrame, keep: list[str], text_col: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """keep, n_words, n_base, first_word, last_word, base (labels, an array) for each row. Linear in the text."""
+def scanned(docs: DataFrame, keep: list[str], text_col: str = "text", threshold: float = 0.8, phrases: dict[str, str] = PHRASES, templates=TEMPLATES) -> DataFrame:
+    """keep, n_words, n_base, first_word, last_word, base (labels), held (template words), text: one pass over the texts, written.
+
+    held: in no order, from the whole text; text: only where enough words of some template are held (length filter), as
+    nothing else can match. Linear in the text.
+    """
     at = r" (?=(?:" + "|".join(phrases) + ") )"
-    df = docs.withColumn("_s", spaced(text_of(text_col)))
+    sets = [sorted(set(t.split())) for _, t in templates]
+    df = docs.select(*keep, text_of(text_col).alias("_t")).withColumn("_s", spaced(F.col("_t")))
     df = df.withColumn("_n", F.greatest(_spaces(F.col("_s")) - 1, F.lit(0)))
     # Split just before each place: the words ahead of the first and from the last on give their starts.
     df = df.withColumn("_cut", F.when(F.col("_s").rlike(at), F.split("_s", at, -1)))
+    df = df.withColumn("held", F.array_intersect(F.split("_s", " "), F.array(*map(F.lit, sorted({w for t in sets for w in t})))))
     n = F.coalesce(F.size("_cut"), F.lit(1)) - 1
     labels = [F.when(F.contains("_s", F.lit(f" {p} ")), F.lit(label)) for p, label in phrases.items()]
-    return df.select(
-        *keep,
-        F.col("_n").cast("long").alias("n_words"),
-        F.when(F.col("_cut").isNull(), 0).otherwise(n).cast("long").alias("n_base"),
-        _spaces(F.col("_cut")[0]).cast("long").alias("first_word"),
-        (F.col("_n") - _spaces(F.element_at("_cut", -1))).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"),
-    )
-
-
-def word_order(docs: DataFrame, words: list[str], text_col: str = "text") -> list[str]:
-    """The words by the number of documents that have them, rarest first. At most len(words) rows reach the driver."""
-    have = F.array_intersect(F.array(*map(F.lit, words)), F.split(spaced(text_of(text_col)), " "))
-    n = {r["w"]: r["n"] for r in docs.select(F.explode(have).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    enough = [F.size(F.array_intersect("held", F.array(*map(F.lit, t)))) >= _need(t, threshold) for t in sets]
+    return stored(
+        df.select(
+            *keep,
+            F.col("_n").cast("long").alias("n_words"),
+            F.when(F.col("_cut").isNull(), 0).otherwise(n).cast("long").alias("n_base"),
+            _spaces(F.col("_cut")[0]).cast("long").alias("first_word"),
+            (F.col("_n") - _spaces(F.element_at("_cut", -1))).cast("long").alias("last_word"),
+            F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"),
+            "held",
+            F.when((F.size("held") >= min(_need(t, threshold) for t in sets)) & reduce(Column.__or__, enough), F.col("_t")).alias("text"),
+        ),
+        "scanned",
+    )
+
+
+def _need(template: list[str], threshold: float) -> int:
+    """How many of a template's words a block must have."""
+    return math.ceil(threshold * len(template) - 1e-9)
+
+
+def word_order(found: DataFrame, words: list[str]) -> list[str]:
+    """The words by the number of documents that have them, rarest first, from scanned(). At most len(words) rows reach the driver."""
+    n = {r["w"]: r["n"] for r in found.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     return sorted(words, key=lambda w: (n.get(w, 0), w))
 
 
@@ -91,38 +109,38 @@ def _lines(text: Column) -> Column:
     return F.concat(F.array(F.when(F.size(lines) > 1, text).otherwise("")), lines)
 
 
-def blocks(docs: DataFrame, keep: list[str], needles: list[str], text_col: str = "text") -> DataFrame:
-    """keep, block (number), words (array) of documents that hold one of the needles: lines, long ones in windows, and windows
-    over the whole text (line -1), as notices are wrapped over lines."""
-    lines = docs.filter(spaced(text_of(text_col)).rlike(" (?:" + "|".join(needles) + ") ")).select(*keep, F.posexplode(_lines(text_of(text_col))).alias("line", "_line"))
-    lines = lines.withColumn("line", F.col("line") - 1)
+def blocks(found: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """keep, block (number), words (array) of each text: lines, long ones in windows, and windows over the whole text (line -1), as
+    notices are wrapped over lines."""
+    lines = found.select(*keep, F.posexplode(_lines(F.col(text_col))).alias("line", "_line")).withColumn("line", F.col("line") - 1)
     words = lines.select(*keep, "line", F.array_compact(F.transform(F.split(F.trim(spaced(F.col("_line"))), " "), lambda w: F.when(w != "", w))).alias("_w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - 1 - STEP, F.lit(0)), F.lit(STEP))
     return words.select(*keep, "line", "_w", F.explode(starts).alias("start")).select(*keep, F.struct("line", "start").alias("block"), F.slice("_w", F.col("start") + 1, WINDOW).alias("words"))
 
 
-def template_join(docs: DataFrame, keep: list[str], text_col: str = "text", threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
-    """keep, block, template, label, containment, matched, held, exact: every pair of a block and a template that reaches the
-    threshold. held: the words matched; exact: whether the block has the template word for word."""
+def template_join(found: DataFrame, keep: list[str], threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
+    """keep, block, template, label, containment, matched, held, exact: every pair of a block of scanned() and a template that reaches
+    the threshold. held: the words matched; exact: whether the block has the template word for word."""
     sets = [(i, label, sorted(set(t.split()))) for i, (label, t) in enumerate(templates)]
-    order = word_order(docs, sorted({w for _, _, t in sets for w in t}), text_col)
+    order = word_order(found, sorted({w for _, _, t in sets for w in t}))
     rank = {w: i for i, w in enumerate(order)}
-    need = {i: math.ceil(threshold * len(t) - 1e-9) for i, _, t in sets}
+    need = {i: _need(t, threshold) for i, _, t in sets}
     ordered = {i: sorted(t, key=rank.__getitem__) for i, _, t in sets}
     prefix = [(w, p, i) for i, t in ordered.items() for p, w in enumerate(t[: len(t) - need[i] + 1])]
-    spark = docs.sparkSession
+    spark = found.sparkSession
     probe = spark.createDataFrame(prefix, "word string, t_pos int, template int")
     whole = spark.createDataFrame([(i, label, ordered[i], len(t), need[i], f" {templates[i][1]} ") for i, label, t in sets], "template int, label string, t_words array<string>, t_n int, need int, t_text string")
     # array_intersect keeps the order of its first argument: the block's template words, rarest first.
-    held = blocks(docs, keep, sorted({w for w, _, _ in prefix}), text_col).select(*keep, "block", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("_b"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("_text"))
+    cut = blocks(found.filter("text is not null"), keep)
+    held = cut.select(*keep, "block", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("_b"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("_text"))
     least = min(need.values())
     first = F.slice("_b", 1, F.greatest(F.size("_b") - least + 1, F.lit(0)))
-    found = held.filter(F.size("_b") >= least).select(*keep, "block", "_b", "_text", F.posexplode(first).alias("b_pos", "word"))
+    met = held.filter(F.size("_b") >= least).select(*keep, "block", "_b", "_text", F.posexplode(first).alias("b_pos", "word"))
     # Both sides are fixed by TEMPLATES, not by the data: some hundred rows.
-    found = found.join(F.broadcast(probe), "word").join(F.broadcast(whole), "template")
-    found = found.filter((F.size("_b") >= F.col("need")) & (F.least(F.col("t_n") - F.col("t_pos"), F.size("_b") - F.col("b_pos")) >= F.col("need")))
-    found = found.withColumn("held", F.array_intersect("_b", "t_words")).withColumn("matched", F.size("held")).filter(F.col("matched") >= F.col("need"))
-    return found.groupBy(*keep, "block", "template", "label").agg(F.max(F.col("matched") / F.col("t_n")).alias("containment"), F.max("matched").alias("matched"), F.first("held").alias("held"), F.max(F.contains("_text", "t_text")).alias("exact"))
+    met = met.join(F.broadcast(probe), "word").join(F.broadcast(whole), "template")
+    met = met.filter((F.size("_b") >= F.col("need")) & (F.least(F.col("t_n") - F.col("t_pos"), F.size("_b") - F.col("b_pos")) >= F.col("need")))
+    met = met.withColumn("held", F.array_intersect("_b", "t_words")).withColumn("matched", F.size("held")).filter(F.col("matched") >= F.col("need"))
+    return met.groupBy(*keep, "block", "template", "label").agg(F.max(F.col("matched") / F.col("t_n")).alias("containment"), F.max("matched").alias("matched"), F.first("held").alias("held"), F.max(F.contains("_text", "t_text")).alias("exact"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -135,7 +153,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the two named are not read.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_h", F.xxhash64("_t"))
-    pairs = template_join(rows, ["_id", "_h"], "_t", threshold)
+    found = scanned(rows, ["_id", "_h"], "_t", threshold)
+    pairs = template_join(found, ["_id", "_h"], threshold)
     of = F.struct("containment", "matched", "label", "template", "held", "exact")
     best = pairs.groupBy("_id", "_h", "block").agg(F.collect_list(of).alias("all"), F.max("containment").alias("containment"))
     rank = lambda x: F.struct(x["matched"], x["containment"], x["label"], x["template"])
@@ -148,7 +167,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     more_blocks = F.size(F.filter("over", lambda x: F.size(F.array_except(x, "by_line")) > 0))
     by_doc = by_doc.select("_id", "_h", "more", "best", (F.col("n_lines") + more_blocks).alias("n_blocks"))
-    base = phrase_places(rows, ["_id", "_h"], "_t")
+    base = found.drop("held", "text")
     by_doc = by_doc.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     out = base.join(by_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
     none = F.array().cast("array<string>")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -75,19 +76,26 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def brute_licenses(text, threshold=0.8):
-    words = WORD.findall((text or "").translate(LOW))
+    """Every line and, in texts of several, the whole text, in windows: all templates against each, by the sets themselves."""
+    text = text or ""
+    words = WORD.findall(text.translate(LOW))
     places = [(i, label) for p, label in L.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-    best = []
-    for line in (text or "").split("\n"):
+    labels, best = set(), [1.0 if places else 0.0]
+    for line in text.split("\n") + [text] * ("\n" in text):
         own = WORD.findall(line.translate(LOW))
         for start in range(0, max(len(own) - 1 - L.STEP, 0) + 1, L.STEP):
-            block = set(own[start : start + L.WINDOW])
-            hits = [(len(block & set(t.split())) / len(set(t.split())), len(block & set(t.split())), label) for label, t in L.TEMPLATES]
-            hits = [h for h in hits if h[0] >= threshold - 1e-9]
-            if hits:
-                best.append(max(hits))
+            block = own[start : start + L.WINDOW]
+            hits = []
+            for k, (label, t) in enumerate(L.TEMPLATES):
+                t = t.split()
+                both = set(block) & set(t)
+                if len(both) / len(set(t)) >= threshold - 1e-9:
+                    exact = any(block[i : i + len(t)] == t for i in range(len(block)))
+                    hits.append(((len(both), len(both) / len(set(t)), label, k), both, exact))
+            labels |= {h[0][2] for h in hits if h[2] or not any(h[1] <= g[1] and g[0] > h[0] for g in hits)}
+            best += [h[0][1] for h in hits]
     base = {label for _, label in places}
-    return len(words), places, sorted(base), sorted(base | {h[2] for h in best}), max([h[0] for h in best] + [1.0 if places else 0.0])
+    return len(words), places, sorted(base), sorted(base | labels), max(best)
 
 
 def check_licenses(docs):
@@ -132,3 +140,17 @@ def test_wrapped_and_several_notices(spark):
     ]
     got = {r.doc_id: (r.labels, r.n_blocks) for r in L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: ("mit", 1), 1: ("gpl", 1), 2: ("gpl-2,lgpl", 1), 3: ("cc-by,cc-by-nc", 1), 4: ("cc-by-nc", 1)}
+    check_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_wrapped_notices_equal_brute_force(spark):
+    """Templates with words changed, left out and wrapped at random places, between other lines."""
+    r = random.Random(12)
+    texts = []
+    for k in range(300):
+        words = [w for w in r.choice(L.TEMPLATES)[1].split() if r.random() > 0.1]
+        out = []
+        for w in ["x"] * r.randint(0, 70) + words + ["y"] * r.randint(0, 70) + r.choice(L.TEMPLATES)[1].split() * (k % 2):
+            out.append((w.upper() if r.random() < 0.2 else w) + r.choice([" ", " ", " ", ", ", "\n"]))
+        texts.append("".join(out))
+    check_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
