@@ -31,8 +31,8 @@ FURTHER, END = 0, 1
 WIDTH = 31
 #: Words that are sent to all tasks.
 COMMON = (1 << 18) - 2
-#: Counts up to K are discounted. Contexts up to SPREAD are so frequent that their bigrams are spread over all owners.
-K, SPREAD = 5, 1024
+#: Counts up to K are discounted.
+K = 5
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -103,27 +103,33 @@ def numbered(counts: DataFrame, words: list[bytes], n: np.ndarray) -> DataFrame:
 
 
 def tokenised(rows: DataFrame, words: list[bytes]) -> DataFrame:
-    """(row, _id, held_out, n_tokens, ids, further): ids as 32-bit numbers, the end last; further: the distinct words without
-    an id. Where one stands, ids has FURTHER, and the words' places among further are in places, in turn."""
+    """(row, _id, held_out, n_tokens, ids, n_places, places, further): ids, compressed, the end last; further: the distinct words
+    without an id. Where one stands, ids has FURTHER, and the words' places among further are in places, in turn."""
     number = {w: i for i, w in enumerate(words, END + 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = number.get
         for batch in sliced(batches):
-            ids, further, places = [], [], []
+            ids, n, further, places, n_places = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = _words(text)
                 found = np.array([*map(get, own, [FURTHER] * len(own)), END], np.uint32)
-                ids.append(found.tobytes())
+                ids.append(_press(found))
+                n.append(len(found))
                 place: dict[bytes, int] = {}
-                places.append(np.array([place.setdefault(own[i], len(place)) for i in np.flatnonzero(found == FURTHER)], np.uint32).tobytes())
+                at = [place.setdefault(own[i], len(place)) for i in np.flatnonzero(found == FURTHER)]
+                places.append(_press(np.array(at, np.uint32)))
+                n_places.append(len(at))
                 further.append(list(place))
-            n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(ids, pa.binary()), pa.array(places, pa.binary()), pa.array(further, pa.list_(pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(n_places, pa.int64()), pa.array(places, pa.binary()), pa.array(further, pa.list_(pa.binary()))], names)
 
-    names = ["_id", "held_out", "n_tokens", "ids", "places", "further"]
+    names = ["_id", "held_out", "n_tokens", "ids", "n_places", "places", "further"]
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "held_out", "_t").mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens long, ids binary, places binary, further array<binary>").withColumn("row", F.monotonically_increasing_id())
+    return rows.select("_id", "held_out", "_t").mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens long, ids binary, n_places long, places binary, further array<binary>").withColumn("row", F.monotonically_increasing_id())
+
+
+#: What a chunk needs of its documents' tokens.
+PARTS = ["n_tokens", "ids", "n_places", "places"]
 
 
 def looked_up(chunked: DataFrame, table: DataFrame) -> DataFrame:
@@ -152,26 +158,27 @@ def _unpress_keys(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unpress(blob, n))
 
 
-def _owners(keys: np.ndarray, owners: int, common: int) -> np.ndarray:
-    """Each bigram's owner: its context's, but for the most frequent contexts, whose bigrams are spread."""
+def _owners(keys: np.ndarray, owners: int, spread: int) -> np.ndarray:
+    """Each bigram's owner: its context's, but for contexts below `spread`, so frequent that their bigrams go to all owners."""
     context = keys >> WIDTH
-    own = np.where(context < min(SPREAD, common), keys, context).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = np.where(context < spread, keys, context).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((own >> np.uint64(33)) % np.uint64(owners)).astype(np.int64)
 
 
 class _Chunk:
     """A chunk's documents: tokens, each one's training count where it isn't common, distinct bigrams by owner and key, and each token's place among them."""
 
-    def __init__(self, docs: pa.Table, found: pa.Table, owners: int, common: int):
+    def __init__(self, docs: pa.Table, found: pa.Table, owners: int, spread: int):
         docs = docs.sort_by("row")
         found = found.sort_by([("row", "ascending"), ("place", "ascending")])
         self.docs, self.row = docs, docs.column("row")
-        each = [np.frombuffer(x, np.uint32) for x in docs.column("ids").to_pylist()]
-        self.tokens = np.concatenate(each).astype(np.int64)
+        column = lambda x: docs.column(x).to_pylist()
+        each = [*map(_unpress, column("ids"), column("n_tokens"))]
+        self.tokens = np.concatenate(each)
         self.first = np.cumsum([0, *(len(x) for x in each[:-1])])
         self.further = np.flatnonzero(self.tokens == FURTHER)
         self.n = np.zeros(len(self.tokens), np.int64)
-        places = [np.frombuffer(x, np.uint32) for x in docs.column("places").to_pylist()]
+        places = [*map(_unpress, column("places"), column("n_places"))]
         start = np.searchsorted(found.column("row").to_numpy(), self.row.to_numpy())
         at = np.concatenate([p + a for p, a in zip(places, start, strict=True)]).astype(np.int64)
         self.tokens[self.further] = found.column("id").to_numpy()[at]
@@ -180,7 +187,7 @@ class _Chunk:
         before[1:] = self.tokens[:-1]
         before[self.first] = END
         keys, one, at = np.unique(before << WIDTH | self.tokens, return_index=True, return_inverse=True)
-        own = _owners(keys, owners, common)
+        own = _owners(keys, owners, spread)
         order = np.lexsort((keys, own))
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
@@ -205,14 +212,14 @@ def _sums(keys: np.ndarray, counts: np.ndarray, masses: np.ndarray) -> tuple[np.
     return context, np.array([*(by(counts == r) for r in range(1, K + 2)), by(counts * (counts > K)), by(masses)], np.int64).reshape(K + 3, len(context))
 
 
-def requests(chunked: DataFrame, found: DataFrame, owners: int, common: int) -> DataFrame:
+def requests(chunked: DataFrame, found: DataFrame, owners: int, spread: int) -> DataFrame:
     """(owner, chunk, n, keys, counts, masses): each chunk's distinct bigrams by owner, with their counts in training documents
     and the masses of their words where those aren't common, which are twice the counts and one."""
 
     def ask(key, docs, found):
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        c = _Chunk(docs, found, owners, common)
+        c = _Chunk(docs, found, owners, spread)
         train = ~np.array(c.docs.column("held_out").to_pylist(), bool)
         weight = np.repeat(train, np.diff(np.append(c.first, len(c.tokens)))).astype(float)
         counts = np.bincount(c.at, weight, len(c.keys)).astype(np.int64)
@@ -220,7 +227,7 @@ def requests(chunked: DataFrame, found: DataFrame, owners: int, common: int) ->
         return pa.table([pa.array(x, k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], names)
 
     names, kinds = ["owner", "chunk", "n", "keys", "counts", "masses"], [pa.int64()] * 3 + [pa.binary()] * 3
-    left = chunked.select("chunk", "row", "held_out", "ids", "places").groupBy("chunk")
+    left = chunked.select("chunk", "row", "held_out", *PARTS).groupBy("chunk")
     return left.cogroup(found.groupBy("chunk")).applyInArrow(ask, "owner long, chunk long, n long, keys binary, counts binary, masses binary")
 
 
@@ -345,7 +352,9 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     far = numbered(counts, words, n) if vocabulary is None else counts.select("word", F.lit(FURTHER).cast("long").alias("id"), "n")
     found = stored(looked_up(chunked, far), "found")
     common, any_known = len(mass), int(total["ends"] > 0)
-    replies = stored(answered(requests(chunked, found, parts, common), mass), "bigrams")
+    # Contexts that would be a fair part of an owner's work by themselves are spread; ids are by falling frequency.
+    spread = min(common, END + 1 + int((n > tokens_in_part // 8).sum()))
+    replies = stored(answered(requests(chunked, found, parts, spread), mass), "bigrams")
     model = fit(replies.filter("chunk is null"), common, 2 * whole)
     log_known = np.log10(known + 0.5)
 
@@ -353,7 +362,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not left.num_rows:
             return left.select([]).slice(0, 0)
         replied = pc.is_valid(right.column("owner"))
-        c = _Chunk(left, right.filter(pc.invert(replied)), parts, common)
+        c = _Chunk(left, right.filter(pc.invert(replied)), parts, spread)
         right = right.filter(replied).sort_by("owner")
         column = lambda x: right.column(x).to_pylist()
         count = np.concatenate([_unpress(x, m) for x, m in zip(column("counts"), column("n"), strict=True)])
@@ -374,7 +383,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table([c.row, *(pa.array(np.add.reduceat(x, c.first)) for x in (is_known, base, score))], ["row", "known", "base", "score"])
 
     told = replies.filter("chunk is not null").unionByName(found, allowMissingColumns=True)
-    by_chunk = chunked.select("chunk", "row", "ids", "places").groupBy("chunk").cogroup(told.groupBy("chunk"))
+    by_chunk = chunked.select("chunk", "row", *PARTS).groupBy("chunk").cogroup(told.groupBy("chunk"))
     sums = by_chunk.applyInArrow(scored, "row long, known long, base double, score double")
     return tokens.select("row", "_id", "held_out", "n_tokens").join(sums, "row").select(
         F.col("_id").alias(id_col), "held_out", "n_tokens",
