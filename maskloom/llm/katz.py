@@ -320,7 +320,7 @@ def fit(table: DataFrame, size: int, whole: float) -> Backoff:
     return Backoff(discount, x[:K], x[K + 1], x[K + 2] / whole)
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, tokens_in_part: int = 1_500_000) -> DataFrame:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, tokens_in_part: int = 1_000_000) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     base_score is that of unigrams with half a count added to each and to one unseen word. Null and empty texts are an
