@@ -4,14 +4,15 @@ The automaton reads the text once; at each position its output links name all pi
 each relaxes the best score of that position. Pieces and scores come from a model file, which is read, never trained.
 Where a model's pieces have the space mark in front only, no piece spans from a word to the next one's mark, so the best
 segmentation of a text is that of its words, and words seen before are looked up. Characters that no piece holds fall
-back to their bytes, or to the unknown piece where the model has no byte pieces.
+back to their bytes, or to the unknown piece where the model has no byte pieces. A model that maps characters first, such as
+to their compatibility forms, has them mapped by the library's own normaliser; what is decoded is the mapped text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -38,8 +39,8 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 class PieceModel:
     """Encodes and decodes by the pieces of a model file, as (piece, score, type) in the order of their ids."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], dummy_prefix: bool = True, trim: bool = False):
-        self.dummy_prefix, self.trim, self.seen = dummy_prefix, trim, {}
+    def __init__(self, pieces: list[tuple[str, float, int]], dummy_prefix: bool = True, trim: bool = False, mapped: Callable[[str], str] | None = None):
+        self.dummy_prefix, self.trim, self.mapped, self.seen = dummy_prefix, trim, mapped, {}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         usable = {p: (i, s) for i, (p, s, kind) in reversed(list(enumerate(pieces))) if kind in (NORMAL, USER_DEFINED) and p}
@@ -61,9 +62,17 @@ class PieceModel:
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        if model.normalizer_spec.precompiled_charsmap:
-            raise ValueError("models that map characters first are not supported")
-        return cls([(p.piece, p.score, p.type) for p in model.pieces], model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces)
+        return cls.of(model)
+
+    @classmethod
+    def of(cls, model) -> PieceModel:
+        """From the parsed model file."""
+        spec, mapped = model.normalizer_spec, None
+        if spec.precompiled_charsmap:
+            import sentencepiece
+
+            mapped = sentencepiece.SentencePieceNormalizer(model_proto=model.SerializeToString(), add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=False).normalize
+        return cls([(p.piece, p.score, p.type) for p in model.pieces], spec.add_dummy_prefix, spec.remove_extra_whitespaces, mapped)
 
     def _best(self, s: str) -> list[int]:
         """The ids of the best segmentation; of equal ones, that with the longest last piece, and so on backwards."""
@@ -103,6 +112,8 @@ class PieceModel:
             score[at + 1], start[at + 1], piece[at + 1] = score[at] + self.below, at, -1
 
     def encode(self, text: str) -> list[int]:
+        if self.mapped:
+            text = self.mapped(text)
         if self.trim:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
@@ -137,7 +148,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """One row per row of docs: id, n_chars, n_tokens, ids, decoded_sha256, round_trip.
 
     Null and empty texts have no tokens. decoded_sha256 is of the decoded ids; round_trip says whether they are the text
-    again, as all are but those that hold the space mark itself. Ids and repeated rows are passed on as they are. Columns
+    again, as all are but those that hold the space mark itself, or characters that the model maps to others. Ids and repeated rows are passed on as they are. Columns
     other than the two named are not read.
     """
     path = model or model_path()

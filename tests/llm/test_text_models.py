@@ -415,6 +415,24 @@ def test_small_models():
     assert m.encode("abab") == [2, 2] and m.encode("axb") == [1, 0, 3] and m.decode([1, 0, 3]) == "a ⁇ b" and m.encode("") == []
 
 
+def test_models_that_map_characters():
+    """Compatibility forms are mapped first, and the library's lattice search over the same model gives the same score."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.ClearField("pieces")
+    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -2, 1), ("▁ABC", -3, 1), ("A", -4, 1), ("B", -4.5, 1), ("C", -4, 1), ("fi", -2.5, 1), ("f", -3, 1), ("i", -3, 1), ("▁fi", -3, 1), ("x", -3, 1)]:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    proto.trainer_spec.model_type = 1
+    proto.trainer_spec.unk_id, proto.trainer_spec.bos_id, proto.trainer_spec.eos_id, proto.trainer_spec.pad_id = 0, 1, 2, -1
+    m, lib = SP.PieceModel.of(proto), sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    for t in ["ＡＢＣ　ﬁ  x", "ﬁﬁ ABC", "  x ", "", "ＡC"]:
+        assert m.encode(t) == lib.encode(t), t
+    assert m.decode(m.encode("ＡＢＣ　ﬁ  x")) == "ABC fi x"
+
+
 def test_pieces_odd_rows(odd, nothing):
     rows = SP.encode(odd).collect()
     assert len(rows) == odd.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
