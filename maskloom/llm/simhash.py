@@ -79,7 +79,8 @@ def links_at_3(groups: DataFrame) -> DataFrame:
     set_bits = near.select("fp", F.col("root").alias("root2"), F.expr("filter(sequence(0, 63), i -> (fp & shiftleft(1L, i)) <> 0)").alias("bits"))
     pairs = "flatten(transform(bits, i -> transform(filter(bits, j -> j > i), j -> fp ^ shiftleft(1L, i) ^ shiftleft(1L, j))))"
     two = set_bits.select("root2", F.expr(f"explode({pairs})").alias("v"))
-    met = two.join(one.groupBy("v").agg(F.min("root").alias("root")), "v").filter("root <> root2")
+    # Both sides are variants, many rows however few bytes: merged, not sent to all tasks.
+    met = two.join(one.groupBy("v").agg(F.min("root").alias("root")).hint("merge"), "v").filter("root <> root2")
     return met.select(F.least("root", "root2").alias("a"), F.greatest("root", "root2").alias("b")).distinct()
 
 
