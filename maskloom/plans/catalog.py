@@ -18,7 +18,7 @@ from ..operators.pseudonyms import (
 )
 from ..sinks.files import index_upsert, output_names, restored_path
 from . import fixtures as X
-from .entity_sql import AFTER, KEPT
+from .entity_sql import AFTER, KEPT, kept_of
 from .fixtures import frame, values
 from .storage import stored
 
@@ -497,6 +497,126 @@ def round_trip(spark, sf_dir):
     return restored(replaced(found, mapping), mapping, token=LONG_TOKEN).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+# ---- the same operators over whole tables
+
+_CUSTOMER_TEXTS = """(SELECT c_custkey AS doc_id, c_mktsegment AS source, CASE c_custkey % 9
+  WHEN 0 THEN 'ИНН: ' || lpad(CAST(c_custkey AS VARCHAR), 10, '7') WHEN 1 THEN 'код ' || lpad(CAST(c_custkey AS VARCHAR), 12, '5') || ' указан' WHEN 2 THEN 'СНИЛС ' || lpad(CAST(c_custkey AS VARCHAR), 11, '3')
+  WHEN 3 THEN 'паспорт 4001 ' || lpad(CAST(c_custkey AS VARCHAR), 6, '6') WHEN 4 THEN 'р/с ' || lpad(CAST(c_custkey AS VARCHAR), 20, '4') WHEN 5 THEN 'карта 5500 0000 ' || lpad(CAST(c_custkey AS VARCHAR), 8, '2')
+  WHEN 6 THEN 'звоните +7 (812) 555-10-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || ', c' || c_custkey || '@mail.example' WHEN 7 THEN '111-222-333 ' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || ' и 8 900 555-10-20' ELSE c_name END AS text FROM customer)"""
+
+
+@_query(f"WITH {kept_of(_CUSTOMER_TEXTS)} SELECT doc_id, type, value, start_at FROM kept")
+def customer_entities(spark, sf_dir):
+    """Values of eight types in texts made of all customers."""
+    k = F.col("c_custkey")
+    pad = lambda n, c: F.lpad(k.cast("string"), n, c)
+    two = F.lpad((k % 100).cast("string"), 2, "0")
+    texts = [
+        F.concat(F.lit("ИНН: "), pad(10, "7")), F.concat(F.lit("код "), pad(12, "5"), F.lit(" указан")), F.concat(F.lit("СНИЛС "), pad(11, "3")), F.concat(F.lit("паспорт 4001 "), pad(6, "6")),
+        F.concat(F.lit("р/с "), pad(20, "4")), F.concat(F.lit("карта 5500 0000 "), pad(8, "2")), F.concat(F.lit("звоните +7 (812) 555-10-"), two, F.lit(", c"), k.cast("string"), F.lit("@mail.example")), F.concat(F.lit("111-222-333 "), two, F.lit(" и 8 900 555-10-20")),
+    ]
+    text = F.coalesce(*(F.when(k % 9 == i, t) for i, t in enumerate(texts)), F.col("c_name"))
+    spans = each_span(with_spans(stored(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")), "texts")).select("doc_id", "spans"))
+    return spans.select("doc_id", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
+
+
+@_query("""WITH l AS (SELECT l_orderkey, list([{'line': l_linenumber, 's': CAST(l_linenumber * 3 + l_quantity % 5 AS INTEGER), 'e': CAST(l_linenumber * 3 + l_quantity % 5 + 1 + l_partkey % 9 AS INTEGER)}]
+  ORDER BY l_partkey % 9 DESC, l_linenumber * 3 + l_quantity % 5, l_suppkey % 13 * 100 + l_linenumber) AS l FROM lineitem GROUP BY l_orderkey),
+g AS (SELECT l_orderkey, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda o: x[1].s < o.e AND x[1].e > o.s)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS k FROM l)
+SELECT l_orderkey, k.line AS line_no, k.s AS start_at, k.e AS end_at FROM g""")
+def resolve_lines(spark, sf_dir):
+    """Overlaps resolved among the lines of each order, taken as spans."""
+    at = (F.col("l_linenumber") * 3 + F.col("l_quantity") % 5).cast("int")
+    s = F.struct(F.col("l_linenumber").cast("string").alias("value"), F.lit("").alias("type"), at.alias("start"), (at + 1 + (F.col("l_partkey") % 9).cast("int")).alias("end"), (F.col("l_suppkey") % 13 * 100 + F.col("l_linenumber")).cast("int").alias("ord"))
+    kept = each_span(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(s).cast(NONE).alias("spans")).select("l_orderkey", resolve(F.col("spans")).alias("spans")))
+    return kept.select("l_orderkey", F.col("s.value").cast("int").alias("line_no"), F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+
+
+@_query("SELECT doc_id, md5(translate(text, 'aeo', ' -')) AS text_md5 FROM documents")
+def normal_documents(spark, sf_dir):
+    """Documents with unusual spaces, hyphens and zero-width characters in place of letters, normalised."""
+    odd = F.translate("text", "aeo", "\u00a0\u2010\u200b")
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.normalise(odd).cast("binary")).alias("text_md5"))
+
+
+@_query("""WITH t AS (SELECT o_orderkey, o_custkey % 97 AS doc_id, o_custkey % 3 = 0 AS lost, o_custkey FROM orders)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sum(2 - lost::INT) AS BIGINT) AS replaced, CAST(count(DISTINCT CASE WHEN lost THEN o_custkey END) AS INTEGER) AS unresolved FROM t GROUP BY doc_id""")
+def restore_order_counts(spark, sf_dir):
+    """What restoring counts over texts for all orders, a third of whose customers the mapping lacks; each text has its token twice."""
+    token = T.pseudonym(F.lit("PERSON"), F.col("o_custkey").cast("int"))
+    orders = table(spark, sf_dir, "orders")
+    texts = orders.select((F.col("o_custkey") % 97).cast("long").alias("doc_id"), F.concat(token, F.lit(" "), token).alias("text"))
+    known = orders.filter("o_custkey % 3 <> 0").select(F.lit("PERSON").alias("type"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("original"), token.alias("pseudonym")).distinct()
+    return restore_stats(restored(texts, known, token=LONG_TOKEN), ["doc_id"])
+
+
+@_query("""SELECT event_id, '{' || chr(10) || '  "' || event_type || '": "user ' || user_id || '",' || chr(10) || '  "seen": [' || chr(10) || '    1,' || chr(10) || '    "user ' || user_id || ', user ' || user_id || '"' || chr(10) || '  ]' || chr(10) || '}' AS text, 3 AS tokens FROM events""")
+def restore_event_json(spark, sf_dir):
+    """A JSON file for each event, with tokens in its values, restored."""
+    token = T.pseudonym(F.lit("PERSON"), F.col("user_id").cast("int"))
+    events = table(spark, sf_dir, "events")
+    files = events.select("event_id", F.concat(F.lit('{"'), "event_type", F.lit('": "'), token, F.lit('", "seen": [1, "'), token, F.lit(", "), token, F.lit('"]}')).alias("text"))
+    known = events.select("user_id").distinct().select(F.lit("PERSON").alias("type"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("original"), token.alias("pseudonym"))
+    return restored_json(files, known, token=LONG_TOKEN).select("event_id", "text", "tokens")
+
+
+@_query("""SELECT c_nationkey, c_mktsegment AS value, CASE WHEN c_custkey % 2 = 0 THEN 'ORG' ELSE 'PRODUCT' END AS type_guess, CASE WHEN c_custkey % 2 = 0 THEN 'партнёр' ELSE 'продукт' END AS reason, count(*) AS count FROM customer GROUP BY ALL""")
+def review_customers(spark, sf_dir):
+    """Review candidates in a text for each customer, grouped by nation."""
+    c = table(spark, sf_dir, "customer")
+    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("для партнёра «"), "c_mktsegment", F.lit("» и"))).otherwise(F.concat(F.lit("по продукту "), "c_mktsegment", F.lit(": срок")))
+    found = review.candidates(c.select("c_nationkey", "c_custkey", text.alias("text")), ["c_nationkey", "c_custkey"])
+    return review.grouped(found, ["c_nationkey"], ["c_custkey"], F.col("c_custkey").cast("string")).select("c_nationkey", "value", "type_guess", "reason", "count")
+
+
+#: A form for each nation: a title, the header in row 3, then its suppliers, each tenth a block and some without a name.
+_FORM = {"Название поля": "CASE WHEN s_suppkey % 13 <> 0 THEN s_name END", "Тип поля": "CASE WHEN s_suppkey % 10 <> 0 THEN 'Строка' END", "Обязательность": "CASE WHEN s_suppkey % 10 <> 0 THEN CASE s_suppkey % 4 WHEN 0 THEN 'Обязательное' WHEN 1 THEN 'Нет' WHEN 2 THEN 'Обязательное, если есть счёт' END END",
+         "Значение по умолчанию": "CASE WHEN s_suppkey % 10 <> 0 AND s_acctbal > 0 THEN CAST(s_suppkey AS VARCHAR) END", "Прочие особенности поведения": "CASE WHEN s_suppkey % 7 = 0 AND s_suppkey % 10 <> 0 THEN 'Поле скрыто на ЭФ' END"}
+_FORM_SQL = "cells AS (SELECT CAST(s_nationkey AS BIGINT) AS doc_id, 0 AS sheet_index, 3 + CAST(s_suppkey AS INTEGER) AS row, col, value FROM (" + " UNION ALL ".join(f"SELECT s_nationkey, s_suppkey, {i} AS col, {v} AS value FROM supplier" for i, v in enumerate(_FORM.values(), 1)) + ") WHERE value IS NOT NULL UNION ALL SELECT DISTINCT CAST(s_nationkey AS BIGINT), 0, 3, h.col, h.value FROM supplier, (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in enumerate(_FORM, 1)) + ") AS h(col, value))"
+_FORM_WIDE = _WIDE.replace(_C, _FORM_SQL)
+
+
+def _form_cells(spark, sf_dir) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    own = [F.struct(F.lit(i).alias("col"), F.expr(v.replace("VARCHAR", "STRING")).alias("value")) for i, v in enumerate(_FORM.values(), 1)]
+    head = [F.struct(F.lit(i).alias("col"), F.lit(h).alias("value")) for i, h in enumerate(_FORM, 1)]
+    shape = lambda df: df.select(F.col("s_nationkey").cast("long").alias("doc_id"), F.lit(0).alias("sheet_index"), F.lit("Форма").alias("sheet_name"), "row", "c.col", "c.value", F.lit("string").alias("value_type"))
+    rows = s.withColumn("row", (F.col("s_suppkey") + 3).cast("int")).withColumn("c", F.explode(F.array(*own))).filter("c.value is not null")
+    heads = s.select("s_nationkey").distinct().withColumn("row", F.lit(3)).withColumn("c", F.explode(F.array(*head)))
+    return shape(rows).unionByName(shape(heads))
+
+
+@_query(f"{_FORM_WIDE} SELECT doc_id, row, row_kind, last_value(CASE WHEN row_kind = 'block' THEN field_name END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row) AS block, coalesce(hidden, false) AS hidden FROM k")
+def form_rows(spark, sf_dir):
+    """Kinds and blocks of the rows of forms made of all suppliers."""
+    return spec.rows(_form_cells(spark, sf_dir)).select("doc_id", "row", "row_kind", "block", F.col("hidden_evidence").isNotNull().alias("hidden"))
+
+
+@_query(f"""{_FORM_WIDE} SELECT doc_id, row, field_name AS name, coalesce(type, '') AS type, CASE WHEN hidden AND {_req("required")} = 'required' THEN 'conditional' ELSE {_req("required")} END AS required,
+  CASE WHEN default_value IS NULL THEN 'no_default' ELSE 'has_default' END AS default_status, 'D' || row AS source_cell, coalesce(hidden, false) AS hidden FROM k WHERE row_kind = 'parameter'""")
+def form_parameters(spark, sf_dir):
+    p = spec.parameters(_form_cells(spark, sf_dir))
+    return p.select("doc_id", "row", "name", "type", F.col("required.status").alias("required"), F.col("default_value.status").alias("default_status"), "default_value.source_cell", "ui.hidden")
+
+
+@_query(f"""{_FORM_WIDE} SELECT doc_id, CAST(1 AS BIGINT) AS total_sheets, count_if(row_kind = 'parameter') AS total_parameters, count_if(row_kind = 'parameter' AND {_req("required")} = 'required' AND NOT coalesce(hidden, false)) AS required,
+  count_if(row_kind = 'parameter' AND ({_req("required")} = 'conditional' OR {_req("required")} = 'required' AND hidden)) AS conditional_required, count_if(row_kind = 'parameter' AND default_value IS NOT NULL) AS with_default,
+  count_if(row_kind = 'parameter' AND default_value IS NULL) AS without_default, CAST(0 AS BIGINT) AS default_needs_manual_check, count_if(row_kind = 'parameter' AND hidden) AS hidden_fields, count_if(row_kind = 'ambiguous') AS ambiguous_cases
+  FROM k GROUP BY doc_id""")
+def form_summary(spark, sf_dir):
+    return spec.summary(_form_cells(spark, sf_dir)).select("doc_id", *(F.col(c).cast("long") for c in ("total_sheets", "total_parameters", "required", "conditional_required", "with_default", "without_default", "default_needs_manual_check", "hidden_fields", "ambiguous_cases")))
+
+
+@_query("""WITH p AS (SELECT o_orderkey, 'f' || (o_custkey % 300) AS stem, CASE o_custkey % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' ELSE 'docx' END AS ext, '/in/' || o_orderkey || '/f' || (o_custkey % 300) AS place FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY o_orderkey) AS nth FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY stem, ext, nth > 1 ORDER BY o_orderkey) AS again FROM n)
+SELECT place || '.' || ext AS path, CASE WHEN nth = 1 THEN stem || '_anon' WHEN again = 1 THEN stem || '_' || ext || '_anon' ELSE stem || '_' || ext || '_anon_' || again END AS base FROM r""")
+def order_names(spark, sf_dir):
+    """Names of outputs for a file of each order, reserved over all of them."""
+    ext = F.element_at(F.array(F.lit("txt"), F.lit("pdf"), F.lit("docx")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    path = F.concat(F.lit("/in/"), F.col("o_orderkey").cast("string"), F.lit("/f"), (F.col("o_custkey") % 300).cast("string"), F.lit("."), ext)
+    return output_names(table(spark, sf_dir, "orders").select(path.alias("path"), F.col("o_orderkey").alias("doc_ord"))).select("path", "base")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -56,6 +56,11 @@ _UNION = "\n  UNION ALL ".join([_spans("EMAIL", EMAIL, 0, "runs"), *(_spans(k, p
 _FROM = " || ".join(f"chr({ord(c)})" for c in NORMAL_FROM)
 _RUNS = rf"regexp_replace(text, '({_D}+)', chr(2) || '\1' || chr(3), 'g')"
 
+def kept_of(source: str) -> str:
+    """The tables of KEPT for texts (doc_id, source, text) of another table or query."""
+    return KEPT.replace("FROM documents)", f"FROM {source})", 1)
+
+
 #: cleaned (doc_id, source, text) and kept (doc_id, type, value, start_at, end_at): spans without overlaps, the longest first,
 #: then the leftmost, then by detector. The tables hold no Cyrillic, so dictionaries, names and addresses find nothing there.
 KEPT = f"""cleaned AS (SELECT doc_id, source, translate(text, {_FROM}, '{NORMAL_TO}') AS text FROM documents),
