@@ -25,8 +25,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: A table in one file of these sizes may be one row group, and so one task.
+ONE_FILE = (1 << 20, 1 << 28)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. The rows of a small one that is a single file are dealt to all cores."""
+    path = f"{sf_dir}/{name}.parquet"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    df = spark.read.parquet(path)
+    return df.repartition(spark.sparkContext.defaultParallelism) if found.isFile() and ONE_FILE[0] < found.getLen() < ONE_FILE[1] else df
 
 
 def own_name(df: DataFrame, name: str) -> str:
