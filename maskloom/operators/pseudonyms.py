@@ -18,6 +18,8 @@ from ..plans.storage import stored
 from .detect import Detector, Dictionary, with_spans
 
 MAPPING = "type string, original string, pseudonym string"
+#: The number of a text while its spans are joined apart from it.
+UNIT = "_maskloom_unit"
 
 
 def empty_mapping(spark: SparkSession) -> DataFrame:
@@ -78,20 +80,26 @@ def extended(mapping: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def replaced(found: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
-    """Texts with their spans replaced by pseudonyms. Only texts that have spans are joined, the spans apart from the texts."""
-    told = stored(found.withColumn("_unit", F.monotonically_increasing_id()), "units")
+    """Texts with their spans replaced by pseudonyms. Only texts that have spans are joined, the spans apart from the texts. found:
+    as found_in() gives it, or any other frame with a column spans, which is written first."""
+    told = found if UNIT in found.columns else found_in(found)
     hits = told.filter(F.size("spans") > 0)
-    spans = hits.select("_unit", F.explode("spans").alias("s")).select("_unit", "s.start", "s.end", F.col("s.type").alias("type"), strip(F.col("s.value")).alias("original"))
-    parts = spans.join(mapping, ["type", "original"]).groupBy("_unit").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("pseudonym").alias("to")))).alias("_parts"))
-    done = hits.join(parts, "_unit").withColumn(text_col, splice(F.col(text_col), F.col("_parts"))).drop("_parts")
-    return done.unionByName(told.filter(F.size("spans") == 0)).drop("_unit", "spans")
+    spans = hits.select(UNIT, F.explode("spans").alias("s")).select(UNIT, "s.start", "s.end", F.col("s.type").alias("type"), strip(F.col("s.value")).alias("original"))
+    parts = spans.join(mapping, ["type", "original"]).groupBy(UNIT).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("pseudonym").alias("to")))).alias("_parts"))
+    done = hits.join(parts, UNIT).withColumn(text_col, splice(F.col(text_col), F.col("_parts"))).drop("_parts")
+    return done.unionByName(told.filter(F.size("spans") == 0)).drop(UNIT, "spans")
+
+
+def found_in(spans: DataFrame) -> DataFrame:
+    """Texts with their spans, written, each row with a number of its own."""
+    return stored(spans.withColumn(UNIT, F.monotonically_increasing_id()), "spans")
 
 
 def anonymise(
     units: DataFrame, order: list[str], mapping: DataFrame | None = None, dictionary: Dictionary | None = None, text_col: str = "text", registry: dict[str, Detector] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(units with pseudonyms in their texts, the mapping with the new ones). order: columns that say which unit is visited first."""
-    found = stored(with_spans(units, dictionary, text_col, registry), "spans")
+    found = found_in(with_spans(units, dictionary, text_col, registry))
     known = mapping if mapping is not None else empty_mapping(units.sparkSession)
     after = stored(extended(known, first_seen(found, order)), "mapping")
     return replaced(found, after, text_col), after

@@ -14,9 +14,9 @@ from ..operators import preview as preview_ops
 from ..operators import render, review, spec
 from ..operators.detect import detectors, dictionary_spans, each_span, with_spans
 from ..operators.pseudonyms import (
-    anonymise, extended, filled_down, first_seen, mapping_stats, next_numbers, ranked, replaced, restore_stats, restored, restored_json, token_counts,
+    anonymise, extended, filled_down, first_seen, found_in, mapping_stats, next_numbers, ranked, replaced, restore_stats, restored, restored_json, token_counts,
 )
-from ..sinks.files import index_upsert, output_names, restored_path
+from ..sinks.files import _at, index_upsert, output_names, restored_path
 from . import fixtures as X
 from .entity_sql import AFTER, KEPT, kept_of
 from .fixtures import frame, values
@@ -41,8 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+#: A table in one file of these sizes may be one row group, and so one task.
+ONE_FILE = (1 << 20, 1 << 28)
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """doc_id and text, or other columns. The rows of a small table that is a single file are dealt to all cores."""
+    df = table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
+    fs, at = _at(spark, f"{sf_dir}/documents.parquet")
+    found = fs.getFileStatus(at)
+    return df.repartition(spark.sparkContext.defaultParallelism) if found.isFile() and ONE_FILE[0] < found.getLen() < ONE_FILE[1] else df
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +125,7 @@ def entity_spans(spark, sf_dir):
 
 @_query(f"WITH {KEPT} SELECT source, type, count(*) AS n, count(DISTINCT value) AS n_values FROM kept JOIN cleaned USING (doc_id) GROUP BY source, type")
 def entity_counts_by_source(spark, sf_dir):
-    spans = each_span(with_spans(table(spark, sf_dir, "documents").select("source", "text"), X.DICTIONARY).select("source", "spans"))
+    spans = each_span(with_spans(documents(spark, sf_dir, "source", "text"), X.DICTIONARY).select("source", "spans"))
     return spans.groupBy("source", F.col("s.type").alias("type")).agg(F.count("*").alias("n"), F.countDistinct("s.value").alias("n_values"))
 
 
@@ -492,7 +500,7 @@ def preview_totals(spark, sf_dir):
 def round_trip(spark, sf_dir):
     """Anonymised by e-mail addresses and cards without separators, then restored: the documents again."""
     own = {k: v for k, v in detectors().items() if k in ("EMAIL", "CARD")}
-    found = stored(with_spans(documents(spark, sf_dir), registry=own), "spans")
+    found = found_in(with_spans(documents(spark, sf_dir), registry=own))
     mapping = stored(extended(frame(spark, (X.SEEDED[0], [])), first_seen(found, ["doc_id"])), "mapping")
     return restored(replaced(found, mapping), mapping, token=LONG_TOKEN).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -599,11 +607,12 @@ def form_parameters(spark, sf_dir):
     return p.select("doc_id", "row", "name", "type", F.col("required.status").alias("required"), F.col("default_value.status").alias("default_status"), "default_value.source_cell", "ui.hidden")
 
 
-@_query(f"""{_FORM_WIDE} SELECT doc_id, CAST(1 AS BIGINT) AS total_sheets, count_if(row_kind = 'parameter') AS total_parameters, count_if(row_kind = 'parameter' AND {_req("required")} = 'required' AND NOT coalesce(hidden, false)) AS required,
-  count_if(row_kind = 'parameter' AND ({_req("required")} = 'conditional' OR {_req("required")} = 'required' AND hidden)) AS conditional_required, count_if(row_kind = 'parameter' AND default_value IS NOT NULL) AS with_default,
-  count_if(row_kind = 'parameter' AND default_value IS NULL) AS without_default, CAST(0 AS BIGINT) AS default_needs_manual_check, count_if(row_kind = 'parameter' AND hidden) AS hidden_fields, count_if(row_kind = 'ambiguous') AS ambiguous_cases
-  FROM k GROUP BY doc_id""")
+@_query(f"""{_FORM_WIDE} SELECT doc_id, CAST(1 AS BIGINT) AS total_sheets, coalesce(count_if(row_kind = 'parameter'), 0) AS total_parameters, coalesce(count_if(row_kind = 'parameter' AND {_req("required")} = 'required' AND NOT coalesce(hidden, false)), 0) AS required,
+  coalesce(count_if(row_kind = 'parameter' AND ({_req("required")} = 'conditional' OR {_req("required")} = 'required' AND hidden)), 0) AS conditional_required, coalesce(count_if(row_kind = 'parameter' AND default_value IS NOT NULL), 0) AS with_default,
+  coalesce(count_if(row_kind = 'parameter' AND default_value IS NULL), 0) AS without_default, CAST(0 AS BIGINT) AS default_needs_manual_check, coalesce(count_if(row_kind = 'parameter' AND hidden), 0) AS hidden_fields, coalesce(count_if(row_kind = 'ambiguous'), 0) AS ambiguous_cases
+  FROM (SELECT DISTINCT doc_id FROM cells) LEFT JOIN k USING (doc_id) GROUP BY doc_id""")
 def form_summary(spark, sf_dir):
+    """The counters of each form; zeros for one that has a header and nothing below it."""
     return spec.summary(_form_cells(spark, sf_dir)).select("doc_id", *(F.col(c).cast("long") for c in ("total_sheets", "total_parameters", "required", "conditional_required", "with_default", "without_default", "default_needs_manual_check", "hidden_fields", "ambiguous_cases")))
 
 

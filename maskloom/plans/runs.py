@@ -147,7 +147,7 @@ def ignore_values(spark: SparkSession, dictionaries: str, values: list[str]) ->
 
 def anonymise_known(units: DataFrame, mapping: DataFrame, dictionary: Dictionary | None = None, text_col: str = "text") -> DataFrame:
     """units with the values that the mapping has replaced; new values stay. Needs no numbering, so many runs can share a mapping."""
-    return replaced(stored(with_spans(units, dictionary, text_col), "spans"), mapping, text_col)
+    return replaced(with_spans(units, dictionary, text_col), mapping, text_col)
 
 
 __all__ = ["anonymise_folder", "anonymise_known", "block_units", "cell_units", "clean", "ignore_values", "parent", "preview", "restore_folder"]
