@@ -64,7 +64,7 @@ def describe(words: list[bytes]) -> list[float]:
     ]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=40_000)
 def _bucket(word: bytes) -> int:
     return zlib.crc32(word.translate(_UNCASED)) % BUCKETS
 
