@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import TOKEN
+from ..functions.fixed import LONG_TOKEN
 from ..functions.spans import NONE, resolve, span
 from ..functions.text import bound, places
 
 
 def totals(lines: DataFrame, by: list[str], text_col: str = "text") -> DataFrame:
     """(by, replaced, most): how many pseudonyms stand there, and how often the most frequent one does."""
-    tokens = lines.select(*by, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("token"))
+    tokens = lines.select(*by, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(LONG_TOKEN), F.lit(0))).alias("token"))
     counts = tokens.groupBy(*by, "token").agg(F.count("*").alias("n"))
     return counts.groupBy(*by).agg(F.sum("n").alias("replaced"), F.max("n").alias("most"))
 

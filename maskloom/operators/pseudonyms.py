@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.fixed import ENTITY_TYPES, TOKEN
+from ..functions.fixed import ENTITY_TYPES, LONG_TOKEN, TOKEN
 from ..functions.spans import find, splice
 from ..functions.text import pseudonym, strip
 from ..plans.storage import stored
@@ -106,9 +106,9 @@ def anonymise(
 
 
 def token_counts(lines: DataFrame, by: list[str], text_col: str = "text") -> DataFrame:
-    """(by, type, n): distinct tokens like TYPE_0001 of each type. Any such token counts, whoever wrote it."""
-    tokens = lines.select(*by, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("token"))
-    return tokens.distinct().groupBy(*by, F.regexp_replace("token", r"_\d{4}$", "").alias("type")).agg(F.count("*").alias("n"))
+    """(by, type, n): distinct tokens like TYPE_0001 or TYPE_10000 of each type. Any such token counts, whoever wrote it."""
+    tokens = lines.select(*by, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(LONG_TOKEN), F.lit(0))).alias("token"))
+    return tokens.distinct().groupBy(*by, F.regexp_replace("token", r"_\d+$", "").alias("type")).agg(F.count("*").alias("n"))
 
 
 def formatted_counts(counts: DataFrame, by: list[str], kind: str = "type", name: str = "counts") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CANDIDATE_START, REVIEW_PATTERNS, STOP_PREFIXES, STOP_WORDS, TOKEN
+from ..functions.fixed import CANDIDATE_START, LONG_TOKEN, REVIEW_PATTERNS, STOP_PREFIXES, STOP_WORDS
 from ..functions.text import bound, occurrences, strip
 from .detect import CYRILLIC, Dictionary, with_spans
 
@@ -50,7 +50,7 @@ def candidates(units: DataFrame, key: list[str], ignore: DataFrame | None = None
     parts = hits.select("*", F.posexplode(F.split("raw", r"[,(\n]", -1)).alias("pos", "part"))
     value = F.btrim(F.btrim(strip(F.col("part")), F.lit("«»\"'")), F.lit(" ;:."))
     parts = parts.withColumn("value", value).withColumn("low", F.lower("value"))
-    named = parts.filter((F.length("value") >= 2) & ~F.col("value").rlike(f"^{TOKEN}$") & F.col("value").rlike(CANDIDATE_START) & ~F.col("low").isin(STOP_WORDS))
+    named = parts.filter((F.length("value") >= 2) & ~F.col("value").rlike(f"^{LONG_TOKEN}$") & F.col("value").rlike(CANDIDATE_START) & ~F.col("low").isin(STOP_WORDS))
     for prefix in STOP_PREFIXES:
         named = named.filter(~F.startswith("low", F.lit(prefix)))
     if ignore is not None:

@@ -8,7 +8,8 @@ from maskloom.functions import text as T
 from maskloom.functions.fixed import LONG_TOKEN, NORMAL_FROM, NORMAL_TO, PATTERNS
 from maskloom.operators import review, spec
 from maskloom.operators.detect import detectors, dictionary_spans, with_spans
-from maskloom.operators.pseudonyms import anonymise, check_types, ranked, restored, restored_json
+from maskloom.operators.preview import totals
+from maskloom.operators.pseudonyms import anonymise, check_types, ranked, restored, restored_json, token_counts
 from maskloom.plans import fixtures as X
 from maskloom.plans.runs import anonymise_known, preview
 
@@ -174,3 +175,9 @@ def test_filled_down_equals_a_loop(spark):
         wanted[i] = held[g]
     got = filled_down(spark.createDataFrame(rows, "g int, i int, v int"), "g", ["i"], "v", "up")
     assert {x.i: x.up for x in got.collect()} == wanted and got.columns == ["g", "i", "v", "up"]
+
+
+def test_tokens_of_more_than_four_digits_are_counted_apart(spark):
+    lines = spark.createDataFrame([(0, "EMAIL_1000 EMAIL_10000 EMAIL_10001 EMAIL_10001"), (0, "CARD_0001 EMAIL_00012"), (1, None)], "doc_id long, line string")
+    assert sorted(map(tuple, token_counts(lines, ["doc_id"], "line").collect())) == [(0, "CARD", 1), (0, "EMAIL", 4)]
+    assert [tuple(r) for r in totals(lines, ["doc_id"], "line").collect()] == [(0, 6, 2)]
