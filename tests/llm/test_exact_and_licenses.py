@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -86,10 +87,13 @@ def brute_licenses(text, threshold=0.8):
         for start in range(0, max(len(own) - 1 - L.STEP, 0) + 1, L.STEP):
             block = own[start : start + L.WINDOW]
             hits = []
-            for k, (label, t) in enumerate(L.TEMPLATES):
+            for k, (label, t, key) in enumerate(L.TEMPLATES):
                 t = t.split()
-                both = set(block) & set(t)
-                if len(both) / len(set(t)) >= threshold - 1e-9:
+                span = min(math.ceil(len(t) / threshold - 1e-9), L.STEP + 1)
+                runs = [set(block[i : i + span]) & set(t) for i in range(len(block))]
+                runs = [x for x in runs if len(x) / len(set(t)) >= threshold - 1e-9 and set(key.split()) <= x]
+                if runs:
+                    both = set(max((len(x), sorted(x)) for x in runs)[1])
                     exact = any(block[i : i + len(t)] == t for i in range(len(block)))
                     hits.append(((len(both), len(both) / len(set(t)), label, k), both, exact))
             labels |= {h[0][2] for h in hits if h[2] or not any(h[1] <= g[1] and g[0] > h[0] for g in hits)}
@@ -154,3 +158,50 @@ def test_wrapped_notices_equal_brute_force(spark):
             out.append((w.upper() if r.random() < 0.2 else w) + r.choice([" ", " ", " ", ", ", "\n"]))
         texts.append("".join(out))
     check_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+# Made by hand: notices and the labels that they have.
+TRUTH = [
+    ("Licensed under the Eclipse Public License version 2.0", ""), ("Licensed under the Eclipse Public License", ""), ("The album was released under license; the band went on tour", ""),
+    ("licensed under the GNU General Public License version 3", "gpl-3"), ("GNU General Public License version 3", ""), ("licensed under the GNU Lesser General Public License version 3", "lgpl"),
+    ("Licensed under the GNU Lesser General Public License, version 2.1", "lgpl"), ("licensed under the GNU Affero General Public License version 3", "agpl-3"),
+    ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"), ("licensed under the GNU Library General Public License version 2", "lgpl"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "agpl"),
+    ("Released under the MIT license.", "mit"), ("Licensed under the Apache License, Version 2.0", "apache-2"), ("licensed under CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa"), ("licensed under CC BY-NC-ND 4.0", "cc-by-nc,cc-by-nc-nd"),  # cc by nc is a base phrase
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"), ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("licensed under the European Union Public Licence version 1.2", ""), ("licensed under the Common Public License version 1.0", ""), ("Licensed under the Microsoft Public License", ""),
+    ("licensed under the Mozilla Public License version 1.1", ""), ("Licensed under the Academic Free License version 3.0", ""), ("Licensed under the Open Software License version 3.0", ""),
+    ("Licensed under the Apple Public Source License version 2.0", ""), ("Licensed under the Artistic License version 2.0", ""), ("licensed under the SIL Open Font License, Version 1.1", ""),
+    ("licensed under the GNU Free Documentation License, version 1.3", ""), ("licensed under the GNU Free Documentation License, version 3", ""), ("Licensed under the Boost Software License, Version 1.0", ""),
+    ("Licensed under the Apache Software License, Version 1.1", ""), ("released under the zlib license", ""), ("released under the Python Software Foundation License version 2", ""),
+    ("Licensed under the Educational Community License, Version 2.0", ""), ("Licensed under the Mulan PSL v2", ""), ("licensed under the CeCILL license version 2.1", ""), ("Licensed under the PostgreSQL License", ""),
+    ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", ""),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ""),
+    ("You may not use this file except in compliance with the License. You can obtain a copy of the license at http://www.opensource.org/licenses/cddl1.php", ""),
+    ("released under the license of the label", ""), ("The film was released in 2 0 0 3; the public was licensed under the version of the license", ""), ("the work is under the law of the author, to whom all rights of this are due", ""),
+    ("Released under the WTFPL license", ""), ("the mit press released a book under the title of the license", ""), ("mit der Lizenz, released under license", ""), ("licensed under the Oracle Public License version 4", ""),
+    ("Licensed under the University of Illinois/NCSA Open Source License", ""), ("licensed under the Q Public License version 1.0", ""), ("licensed under the Sun Public License version 1.0", ""), ("licensed under the IBM Public License version 1.0", ""),
+    ("licensed under the Nokia Open Source License version 1.0", ""), ("licensed under the Reciprocal Public License version 1.5", ""), ("licensed under the Sleepycat License", ""), ("under the Vim license", ""),
+    ("Licensed under the Lucent Public License version 1.02", ""), ("licensed under the RealNetworks Public Source License version 1.0", ""), ("licensed under the W3C Software Notice and License", ""),
+]
+
+
+def test_labels_are_those_made_by_hand(spark):
+    around = [("{}", 0), ("Some text ahead, and more.\n{}\nAnd after it, the public of the version.", 1), ("w " * 70 + "{} " + "x " * 70, 2)]
+    rows = [(3 * i + k, a.format(t)) for i, (t, _) in enumerate(TRUTH) for a, k in around]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in L.license_scan(docs).collect()}
+    wrong = [(dict(rows)[i], labels, TRUTH[i // 3][1]) for i, labels in sorted(got.items()) if labels != TRUTH[i // 3][1]]
+    assert not wrong, wrong
+    check_licenses(docs)
+
+
+def test_labels_of_the_documents(spark):
+    """The notices that the given documents hold, found by plain search, and no others."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    notices = {"gnu general public license version 3": "gpl-3", "under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    plain = {r.doc_id: " ".join(WORD.findall((r.text or "").translate(LOW))) for r in docs.collect()}
+    for r in L.license_scan(docs).collect():
+        assert r.labels == ",".join(sorted(v for k, v in notices.items() if f" {k} " in f" {plain[r.doc_id]} ")), r
