@@ -13,6 +13,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,6 +91,18 @@ _AT = re.compile(r"@|[(\[](?:at|AT)[)\]]")
 _MAIL = re.compile(r"[\w.%+-]*\w ?(?:@|[(\[](?:at|AT)[)\]]) ?[\w-]+(?:(?:\.| ?[(\[](?:dot|DOT)[)\]] ?)[\w-]+)+")
 _QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?")
 _SIX = re.compile(r"(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}")
+#: An address of six: eight groups, or fewer and one empty run between them; a name with colons and two short groups is none.
+_SIX_WHOLE = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}")
+_SIX_SHORT = re.compile(r"(?=.{3})(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?")
+_SIX_HEAD = re.compile(r"^::|^(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{3,4}:")
+_SIX_TAIL = re.compile(r"(?:(?<![^\W_])[0-9A-Fa-f]{1,4}|[:.]):\Z")
+_DOT = re.compile(r" ?[(\[](?:dot|DOT)[)\]]")
+_DOTS = re.compile(r"(?: ?[(\[](?:dot|DOT)[)\]] ?[\w-]+)+")
+#: What numbers are made of, and how many separators may stand together.
+_NUMBER, _CARD_SEPS, SEPS = frozenset("0123456789 +().-/"), frozenset(" .-"), 3
+#: Groups of digits that a number may have; one without a plus sign, brackets or zeros ahead has fewer.
+GROUPS, BARE_GROUPS = 6, 5
+_PART = frozenset("_.%+-")
 _DATE = re.compile(r"(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})(?:[T ][0-9:.]+)?")
 _GROUPS = re.compile(r"[0-9]+")
 
@@ -114,6 +127,9 @@ def zones(text: str) -> Iterator[tuple[int, int]]:
                 b += 1
                 while b < high and not text[b].isspace():
                     b += 1
+        if text[b - 1 : b] in ("]", ")") or text[b : b + 2] in (" [", " ("):  # a name's dots, spelt out
+            m = _DOTS.match(text, b)
+            b = m.end() if m else b
         if start >= 0 and (a <= end or text[end:a] in (" ", "  ")):
             end = max(end, b)
         else:
@@ -124,18 +140,11 @@ def zones(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def allowed(s: str, n: int) -> list[int]:
-    """The kinds that a segment with n digits may have at all."""
-    out = []
-    if _AT.search(s) and len(s) <= 120:
-        out.append(0)
-    if n <= 32 and (s.count(".") >= 3 or s.count(":") >= 2):
-        out.append(1)
-    if 12 <= n <= 19:
-        out.append(2)
-    if 7 <= n <= 15:
-        out.append(3)
-    return out
+def six(s: str) -> bool:
+    """Whether s is an address of six."""
+    if s.count(":") < 2:
+        return False
+    return bool(_SIX_WHOLE.fullmatch(s) or _SIX_SHORT.fullmatch(s) and (sum(map(bool, s.split(":"))) >= 3 or _SIX_HEAD.search(s)) and any("0" <= c <= "9" for c in s))
 
 
 def features(s: str, before: str, after: str) -> list[str]:
@@ -164,11 +173,13 @@ def features(s: str, before: str, after: str) -> list[str]:
         f += ["mail", "mail=" + ("@" if "@" in s else "at")]
         if s.rsplit(".", 1)[-1][-2:].isalpha():
             f.append("tld")
+        if _DOT.match(after):
+            f.append("goes on")
     elif _AT.search(s):
         f.append("no mail")
     if _QUAD.fullmatch(s):
         f.append("quad=" + str(all(int(p) <= 255 for p in s.split(":")[0].split("."))))
-    elif _SIX.fullmatch(s) and not s.startswith(":::"):
+    elif six(s):
         f.append("six=" + str(any(c in "abcdefABCDEF" for c in s) or "::" in s or s.count(":") == 7))
     elif s.count(":") or s.count(".") > 2:
         f.append("other dotted")
@@ -197,24 +208,87 @@ def _bounds(text: str, start: int, end: int) -> list[int]:
 
 
 def _candidates(text: str, bounds: list[int]) -> Iterator[Candidate]:
-    """By start, so that a zone without end can be read as it goes."""
+    """By start, so that a zone without end can be read as it goes.
+
+    Each kind is followed from a start only as long as a segment can still become one, so few get features: numbers over
+    digits and separators up to so many groups, addresses by their form, mail over one at sign, from where its name begins.
+    """
     n = len(bounds) - 1
-    digit = [0]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        digit.append(digit[-1] + (b - a) * ("0" <= text[a] <= "9"))
+    ats = [m.start() for m in _AT.finditer(text, bounds[0], bounds[-1])]
+    at = 0
     for i in range(n):
         a = bounds[i]
-        if not (text[a].isalnum() or text[a] in "+(:") or (a and text[a - 1].isalnum() and text[a].isalnum()):
+        while at < len(ats) and ats[at] < a:
+            at += 1
+        first, ahead = text[a], text[a - 1] if a else " "
+        if not (first.isalnum() or first in "+(:") or ahead.isalnum() and first.isalnum():
             continue
-        for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-            b, count = bounds[j], digit[j] - digit[i]
-            if count > 32:
-                break
-            if not (text[b - 1].isalnum() or text[b - 1] in ")]:") or (b < len(text) and text[b].isalnum() and text[b - 1].isalnum()):
-                continue
-            s = text[a:b]
-            if (count >= 7 or "@" in s or "]" in s or ")" in s or ":" in s or s.count(".") >= 3) and (kinds := allowed(s, count)):
-                yield i, j, a, b, kinds, features(s, text[max(0, a - 32) : a], text[b : b + 2])
+        ends: dict[int, list[int]] = {}
+        if at < len(ats) and ats[at] - a <= 64 and first.isalnum() and not (ahead.isalnum() or ahead in _PART):
+            for j in _mail_ends(text, bounds, i, n, ats[at], ats[at + 1] if at + 1 < len(ats) else len(text)):
+                ends.setdefault(j, []).append(0)
+        if ("0" <= first <= "9" or first == ":" or "a" <= first <= "f" or "A" <= first <= "F") and not _within_address(text, a):
+            for j in _address_ends(text, bounds, a):
+                ends.setdefault(j, []).append(1)
+        if "0" <= first <= "9" or first in "+(":
+            for j, kinds in _number_ends(text, bounds, i, n):
+                ends.setdefault(j, []).extend(kinds)
+        for j in sorted(ends):
+            b = bounds[j]
+            if not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum()):
+                yield i, j, a, b, ends[j], features(text[a:b], text[max(0, a - 32) : a], text[b : b + 6])
+
+
+def _mail_ends(text: str, bounds: list[int], i: int, n: int, at: int, following: int) -> Iterator[int]:
+    """Where a mail address over the one at sign can end: after the parts of its name."""
+    if any(c not in _PART and not c.isalnum() for c in text[bounds[i] : at].removesuffix(" ")):
+        return
+    for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
+        b = bounds[j]
+        if b > following or b - bounds[i] > 120:
+            return
+        if b > at + 1 and text[b - 1].isalnum():
+            yield j
+
+
+def _within_address(text: str, a: int) -> bool:
+    """Whether what stands ahead of a may be the beginning of a longer address or version."""
+    if not a or text[a - 1] not in ".:":
+        return False
+    return text[a - 1] == "." or bool(_SIX_TAIL.search(text, max(0, a - 6), a))
+
+
+def _address_ends(text: str, bounds: list[int], a: int) -> Iterator[int]:
+    for form, fits in ((_QUAD, None), (_SIX, six)):
+        m = form.match(text, a)
+        if m and text[m.end() : m.end() + 1] != ":" and not (text[m.end() : m.end() + 1] == "." and text[m.end() + 1 : m.end() + 2].isdigit()) and (fits is None or fits(m[0])):
+            j = bisect_left(bounds, m.end())
+            if j < len(bounds) and bounds[j] == m.end():
+                yield j
+
+
+def _number_ends(text: str, bounds: list[int], i: int, n: int) -> Iterator[tuple[int, list[int]]]:
+    """Where a card's or a phone's number can end."""
+    digits = groups = seps = 0
+    card = phone = True
+    most = GROUPS if text[bounds[i]] in "+(" or text.startswith("00", bounds[i]) else BARE_GROUPS
+    for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
+        a, b = bounds[j - 1], bounds[j]
+        c = text[a]
+        if c not in _NUMBER:
+            return
+        if "0" <= c <= "9":
+            digits, groups, seps = digits + b - a, groups + 1, 0
+            if digits > 19 or groups > GROUPS:
+                return
+            if card and 12 <= digits or phone and groups <= most and 7 <= digits <= 15:
+                yield j, [2] * (card and 12 <= digits) + [3] * (phone and groups <= most and 7 <= digits <= 15)
+        else:
+            seps += 1
+            card = card and c in _CARD_SEPS
+            phone = phone and (c != "+" or j == i + 1 or text[a - 1] == "(")
+            if seps > SEPS:
+                return
 
 
 Weights = dict[tuple[str, int], float]
@@ -312,15 +386,15 @@ def training_zones(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 
     def email() -> str:
         local = r.choice([word(), f"{word()}.{word()}", word() + num(2), f"{word()}_{word()}", word() + "é"])
-        return r.choice([f"{local}@{host()}"] * 5 + [f"{local}(at){host()}", f"{local} [at] {host()}", f"{local} @ {host()}", f"{local}[at]{word()}[dot]com"])
+        return r.choice([f"{local}@{host()}"] * 5 + [f"{local}(at){host()}", f"{local} [at] {host()}", f"{local} @ {host()}", f"{local}[at]{word()}[dot]com", f"{local} [at] {word()} [dot] {r.choice(['com', 'org', 'co [dot] uk'])}", f"{local} (at) {word()} (dot) {r.choice(['net', 'com (dot) au'])}"])
 
-    def six() -> str:
+    def address() -> str:
         parts = [f"{r.randint(0, 65535):x}" for _ in range(8)]
         return ":".join(parts) if r.random() < 0.5 else ":".join(parts[: r.randint(1, 4)]) + "::" + ":".join(parts[5 : 5 + r.randint(1, 3)])
 
     yes = {
         "email": [email],
-        "ip": [lambda: ".".join(byte() for _ in range(4)), lambda: ".".join(byte() for _ in range(4)), six],
+        "ip": [lambda: ".".join(byte() for _ in range(4)), lambda: ".".join(byte() for _ in range(4)), address],
         "card": [card, card, lambda: grouped(card(), " "), lambda: grouped(card(), "-"), lambda: grouped(card(), "."), lambda: grouped(card(), "  ")],
         "phone": [
             lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"+{r.randint(20, 99)} {num(3)} {num(3)} {num(3)}", lambda: f"+{r.randint(1, 99)}{num(10)}",
@@ -332,7 +406,17 @@ def training_zones(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         d = card()
         return d[:-1] + str((int(d[-1]) + r.randint(1, 9)) % 10)
 
+    two = lambda: f"{r.randint(0, 59):02}"
+    day = lambda: r.choice(["{0}-{1}-{2}", "{0}/{1}/{2}", "{2}.{1}.{0}", "{2}/{1}/{0}", "{0}{1}{2}", "{0} {1} {2}"]).format(r.randint(1970, 2039), f"{r.randint(1, 12):02}", f"{r.randint(1, 28):02}")
+    time = lambda: f"{r.randint(0, 23):02}:{two()}:{two()}" + r.choice(["", "", f",{num(3)}", f".{num(3)}", f".{num(6)}"])
+    hex_ = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     no = [
+        # What stands in logs, tables and references.
+        lambda: f"{day()} {time()}", lambda: f"{day()} {time()} [{num(5)}] {num(3)} {num(4)}", lambda: f"{day()}T{time()}Z {num(4)}", lambda: f"{day()} {day()}", lambda: f"{day()} - {day()}", lambda: " ".join(time() for _ in range(r.randint(2, 4))),
+        lambda: ", ".join(f"{num(1)}:{num(1)}-{num(1)}" for _ in range(r.randint(2, 5))), lambda: " ".join(":".join(num(1) for _ in range(3)) for _ in range(r.randint(2, 4))), lambda: r.choice(":-").join(hex_(2) for _ in range(6)),
+        lambda: f"{word()}::{word()}::{num(1)}", lambda: f"{hex_(1)}::{hex_(1)}::{num(1)}", lambda: f"{word()}={hex_(3)}:{num(3)}:{num(3)}:{num(3)}", lambda: f"{num(2)}.{num(4)}, {num(2)}.{num(4)}", lambda: f"{num(2)}.{num(5)} {num(2)}.{num(5)}",
+        lambda: f"{num(2)} + {num(3)} - {num(4)}", lambda: f"{num(3)}.{num(3)}.{num(3)},{num(2)}", lambda: " ".join(num(r.randint(1, 3)) for _ in range(r.randint(4, 8))), lambda: "  ".join(num(4) for _ in range(r.randint(2, 3))),
+        lambda: f"{num(3)}-{num(3)}", lambda: f"{num(4)}-{num(4)} {num(4)}", lambda: f"{r.randint(1900, 2039)} {r.randint(1900, 2039)} {r.randint(1900, 2039)}", lambda: f"{num(8)}-{hex_(4)}-4{hex_(3)}-{hex_(4)}-{num(12)}", lambda: f"{num(2)}-{num(2)}-{num(4)} {num(2)}",
         lambda: " ".join(f"{num(2)}/{num(2)}" for _ in range(r.randint(2, 5))) + r.choice(["", " " + num(2)]), lambda: " ".join(num(1) for _ in range(r.randint(7, 13))), lambda: f"{num(3)}x{num(3)}x{num(4)}",
         lambda: ", ".join(num(r.randint(2, 4)) for _ in range(r.randint(3, 6))), lambda: f"{num(4)}/{num(4)}/{num(4)}/{num(4)}",
         bad_card, lambda: grouped(bad_card(), " "), lambda: num(r.randint(1, 13)), lambda: num(r.randint(18, 40)), lambda: f"{r.randint(1900, 2099)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
@@ -348,14 +432,15 @@ def training_zones(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         value = r.choice(yes[kind])() if kind else r.choice(no)()
         lead = r.choice([r.choice(ahead[kind or "other"])] + [word()] * 3) + r.choice([" "] * 6 + [": ", ":", ' = "'])
         tail = r.choice([" "] * 5 + [". ", ", ", "%%% ", '" ', "!! ", ") "]) + word()
-        text = word().capitalize() + " " + lead + value + tail
+        bare = not kind and r.random() < 0.4  # lines that begin with what is no personal data
+        text = ("" if bare else word().capitalize() + " " + lead) + value + tail
         at = len(text) - len(tail) - len(value)
         out.append((text, [(kind, at, at + len(value))] if kind else []))
     return out
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 900, epochs: int = 12, seed: int = 7) -> tuple[tuple[tuple[str, int], float], ...]:
+def trained(n: int = 1500, epochs: int = 12, seed: int = 7) -> tuple[tuple[tuple[str, int], float], ...]:
     """Weights that make the training zones' segmentations likeliest, by stochastic gradient steps sized for each weight."""
     made = []
     for text, gold in training_zones(n, seed):
