@@ -46,6 +46,13 @@ def _encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+@lru_cache(maxsize=2)
+def _slow_encoder(path: str):
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -53,8 +60,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def token_ids(text: str, path: str) -> list[int]:
-    """The text's ids, as tokenizers gives them by default, and the end."""
-    return [*_encoder(path).encode(text, allowed_special="all"), EOS]
+    """The text's ids, as tokenizers gives them by default, and the end.
+
+    Runs of some hundred thousand blanks are more than the fast encoder's pattern can go back over; such texts are left to
+    tokenizers itself.
+    """
+    try:
+        return [*_encoder(path).encode(text, allowed_special="all"), EOS]
+    except ValueError:
+        return [*_slow_encoder(path).encode(text, add_special_tokens=False).ids, EOS]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str | None = None) -> DataFrame:

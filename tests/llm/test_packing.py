@@ -142,3 +142,25 @@ def test_packed_equals_brute_force(spark, odd, nothing):
     assert n <= 1.02 * sum(r.length for r in P.pieces(docs).collect()) / 1024 + 1
     check_packed(odd)
     assert P.packed(nothing).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" * 2_000_000, "\n" * 2_000_000 + "x", "word " * 1000 + "\t" * 1_000_000 + " end", "a" + " \n\t" * 400_000 + "<|endoftext|>"])
+def test_ids_of_endless_runs(text):
+    path = P.tokenizer_path()
+    assert P.token_ids(text, path) == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, P.EOS]
+
+
+def test_endless_blanks_are_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "x"), (3, "x" * 5 + " " * 900_000 + "y")], "doc_id long, text string")
+    rows = P.packed(docs).collect()
+    ids = {i: P.token_ids(t, P.tokenizer_path()) for i, t in docs.collect()}
+    assert {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in ids} == {i: len(x) for i, x in ids.items()}
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held_ in by.values():
+        end = 0
+        for offset, length in sorted(held_):
+            assert offset == end
+            end += length
+        assert end <= 1024
