@@ -2,7 +2,7 @@
 
 A page becomes a tree. Its paragraphs pass points for length and commas to their `LEVELS` nearest ancestors, less for each
 level, and a container's points are discounted by the share of its text that is in links. The best container is kept with
-those siblings that score or read like it, in an article element with the other parts of the article. What is kept is
+those siblings that score or read like it; in an article or main element, with its other parts. What is kept is
 looked through once more: a part of it that is a list of links goes. Menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments give no points and no text. Every step is linear in the page.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +43,15 @@ MARKS = frozenset(
 #: Of these, reader comments: often long, and in article elements of their own.
 COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
 
+#: Of the marks, those that say of a paragraph or heading what it is about, not that it is none of the article.
+SOFT = frozenset("related recommended recommendations notice notices alert banner search overlay widget header footer".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a heading, or of a list's class or id, over the sources of an article: links, but part of it.
+SOURCES = frozenset("references reference sources source notes footnotes endnotes citations bibliography literature works further external weblinks einzelnachweise quellen literatur références sources notes bibliographie referencias fuentes notas bibliografía".split())
+#: Characters that a part beside the best container has at least, where it is its own neighbour and further out.
+BESIDE, OUTSIDE = 25, 140
+
 _TAG = re.compile(r"""<(?:!--(?:.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^>]*(?:>|\Z))""", re.S)
 _MARKED = re.compile(r"""(?i)(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _QUOTED = re.compile(r"""(?<==)"[^"]*"|(?<==)'[^']*'""")
@@ -50,35 +60,43 @@ _UNSEEN = re.compile(r"""(?i)aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
 #: has-sidebar, noSidebar: what a wrapper has or lacks isn't what it is.
 _ABOUT = re.compile(r"(?<![A-Za-z])(?:has|no|with|without)(?:[-_]\S+|[A-Z]\S*)")
 _WORD = re.compile("[a-z]+")
+_RIGHTS = re.compile(r"(?i)©|\(c\) ?[0-9]{4}|\bcopyright\b|all rights reserved")
+_ANY_WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "unsure", "points", "chars", "linked", "links", "in_article", "blocks")
+    __slots__ = ("tag", "parent", "parts", "dropped", "unsure", "cites", "points", "chars", "linked", "links", "in_article", "blocks", "depth")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, unsure: bool = False):
-        self.tag, self.parent, self.dropped, self.unsure = tag, parent, dropped, unsure
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, unsure: bool = False, cites: bool = False):
+        self.tag, self.parent, self.dropped, self.unsure, self.cites = tag, parent, dropped, unsure, cites
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.parts: list[Node | str] = []
         self.points, self.chars, self.linked, self.links = 0.0, 0, 0, 0
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
         self.blocks = (parent.blocks if parent is not None else 0) + (tag in BLOCK)
 
 
-def _not_article(tag: str, attrs: str, within: Node) -> tuple[bool, bool]:
-    """Whether an element is dropped, and whether that is unsure: it may yet hold the article."""
+def _depth(n: Node) -> int:
+    return n.depth
+
+
+def _not_article(tag: str, attrs: str, within: Node) -> tuple[bool, bool, bool]:
+    """Whether an element is dropped, whether that is unsure, as it may yet hold the article, and whether it is marked as a list of sources."""
     if tag in DROPPED and tag != "form":
-        return True, False
+        return True, False, False
     in_article = within.in_article
     if tag == "header" and not in_article:
-        return True, False
+        return True, False, False
     if not attrs or tag in ("article", "main", "body", "html"):
-        return tag == "form", tag == "form"
+        return tag == "form", tag == "form", False
     if _UNSEEN.search(attrs) or "hidden" in attrs.lower() and _HIDDEN.search(_QUOTED.sub("", attrs)):
-        return True, False
+        return True, False, False
     words = {w for m in _MARKED.finditer(attrs) for w in _WORD.findall(_CAMEL.sub(" ", _ABOUT.sub(" ", m[1] or m[2] or m[3] or "")).lower())}
-    marked = tag == "form" or bool(words & MARKS) or ("header" in words and not in_article)
-    return marked, marked and not words & COMMENTS
+    marks = words & MARKS - SOFT if tag in TEXT_TAGS and in_article else words & MARKS
+    marked = tag == "form" or bool(marks) or ("header" in words and not in_article)
+    return marked, marked and not words & COMMENTS, bool(words & SOURCES)
 
 
 def _settle(root: Node) -> None:
@@ -107,6 +125,27 @@ def _settle(root: Node) -> None:
                 n.dropped = False
     for n in order[1:]:
         n.dropped = n.dropped or n.parent.dropped
+    _sources(order)
+
+
+def _sources(order: list[Node]) -> None:
+    """What stands in or right after a heading over sources, or in what is marked so, cites. order: from the top down."""
+    for n in order:
+        heading = None
+        for x in n.parts:
+            if not isinstance(x, Node):
+                continue
+            if n.cites:
+                x.cites = True
+            if x.tag in HEADINGS:
+                told, todo = [], [x]
+                while todo:
+                    y = todo.pop()
+                    told += [z for z in y.parts if isinstance(z, str)]
+                    todo += [z for z in y.parts if isinstance(z, Node)]
+                heading = bool(SOURCES & set(_ANY_WORD.findall(html.unescape(" ".join(told)).lower())))
+            elif heading and x.tag in LISTS:  # the first list below it
+                x.cites, heading = True, False
 
 
 def parse(page: str) -> Node:
@@ -125,13 +164,12 @@ def parse(page: str) -> Node:
 
     def opened(names: tuple[str, ...], scope: tuple[str, ...]) -> Node | None:
         """The outermost open element of the names within the innermost of the scope."""
-        if not any(open_.get(x) for x in names):
-            return None
-        n, found = here, None
-        while n is not None and n.tag not in scope:
-            if n.tag in names:
-                found = n
-            n = n.parent
+        limit = max((open_[x][-1].depth for x in scope if open_.get(x)), default=-1)
+        found = None
+        for own in (open_.get(x) for x in names):
+            k = bisect_right(own, limit, key=_depth) if own else 0
+            if own and k < len(own) and (found is None or own[k].depth < found.depth):
+                found = own[k]
         return found
 
     while at < size:
@@ -245,6 +283,13 @@ def _weighed(found: list[tuple[Node, str, int]], root: Node) -> list[Node]:
     return [n for n in scored if n.points]
 
 
+def _reads(x: Node, least: int, scores: bool) -> bool:
+    """Whether a part beside the best container reads like it: a heading, or enough text, little of it in links."""
+    if not x.chars or 4 * x.linked >= x.chars:
+        return False
+    return scores or (x.tag in TEXT_TAGS or x.tag in ("ul", "ol", "dl", "table", "figure")) and least == BESIDE or x.chars >= least
+
+
 def main_text(page: str) -> str:
     """The text of the best container, its blocks joined by newlines; empty where there is none."""
     root = parse(page)
@@ -259,19 +304,20 @@ def main_text(page: str) -> str:
         n = n.parent
         holds.add(id(n))
     if n is not None:
-        kept = {id(n)}
+        own = n
+        while n is not None and n.tag != "main":  # an article may be one of several parts of a main element
+            n = n.parent
+        n = own if n is None else n
+        kept, up = {id(n)}, own
+        while up is not n:
+            up = up.parent
+            holds.add(id(up))
     else:
-        kept = {id(best)}
-        direct: dict[int, list[int]] = {}
-        for owner, text, linked in found:
-            own = direct.setdefault(id(owner), [0, 0])
-            own[0], own[1] = own[0] + len(text), own[1] + linked
-        for x in best.parent.parts if best.parent else []:
-            if isinstance(x, Node) and not x.dropped and x is not best:
-                size, linked = direct.get(id(x), (0, 0))
-                reads = x.tag in ("p", "h1", "h2", "blockquote", "pre") and size and linked < 0.25 * size
-                if reads or x.points and worth(x) >= max(10.0, 0.2 * worth(best)):
-                    kept.add(id(x))
+        rights = {id(y) for owner, text, _ in found if _RIGHTS.search(text) for y in (owner, owner.parent)}
+        kept, x, least = {id(best)}, best, BESIDE
+        while x.parent is not None:
+            kept |= {id(y) for y in x.parent.parts if isinstance(y, Node) and y is not x and not y.dropped and not (y.chars < 200 and id(y) in rights) and _reads(y, least, worth(y) >= max(10.0, 0.2 * worth(best)))}
+            x, least = x.parent, OUTSIDE
 
     # From the top down: within what is kept, and not within a list of links beside or in it.
     state: dict[int, bool] = {}
@@ -284,7 +330,9 @@ def main_text(page: str) -> str:
         on = n is not None and state[id(n)]
         for x in reversed(path):
             on = on or id(x) in kept
-            if on and x.tag in LISTS and id(x) not in holds and x.links >= LIST_LINKS and x.linked >= LIST_SHARE * x.chars:
+            if on and x.tag in LISTS and id(x) not in holds and not x.cites and x.links >= LIST_LINKS and x.linked >= LIST_SHARE * x.chars:
+                on = False
+            if on and x.tag == "article" and id(x) not in holds and 4 * x.linked >= x.chars:  # a teaser of another page
                 on = False
             state[id(x)] = on
         return on
