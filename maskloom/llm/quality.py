@@ -33,7 +33,7 @@ N_FEATURES = N_SHAPE + BUCKETS
 #: Added to the spread of words' shares, so that a rare word weighs little where few documents are labelled.
 WORD_SCALE = 0.3
 #: Passages of a document that are learnt from: runs of a long one are dealt to so many evenly. Scoring reads them all.
-TRAIN_PASSAGES = 200
+TRAIN_PASSAGES = 60
 _UNCASED = bytes.maketrans(_UPPER, _LOWER)
 _log = logging.getLogger(__name__)
 
@@ -118,8 +118,10 @@ class Model:
         """Adam on the log loss, both labels weighing alike."""
         y = np.array(labels, float)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        stacked = np.concatenate(bags)
-        self.mean, self.scale = stacked.mean(0), stacked.std(0) + np.where(np.arange(stacked.shape[1]) < N_SHAPE, 1e-3, WORD_SCALE)
+        n = sum(map(len, bags))
+        self.mean = sum(b.sum(0, dtype=float) for b in bags) / n
+        spread = np.sqrt(sum(((b - self.mean) ** 2).sum(0) for b in bags) / n)
+        self.scale = spread + np.where(np.arange(N_FEATURES) < N_SHAPE, 1e-3, WORD_SCALE)
         r, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for _ in range(epochs):
