@@ -89,11 +89,32 @@ def _literal(value: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def _running_few(sizes: Column) -> Column:
+    """(total, the sums ahead of each) of a short array."""
+    begun = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("ahead"))
+    return F.aggregate(sizes, begun, lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.concat(acc["ahead"], F.array(acc["total"])).alias("ahead")))
+
+
+def in_chunks(values: Column, step: Column) -> Column:
+    """An array cut into arrays of `step` elements."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / step) - 1, F.lit(0)).cast("int")), lambda k: F.slice(values, k * step + 1, step))
+
+
+def root(n: Column) -> Column:
+    """The root of a count, rounded up, 1 at least."""
+    return F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
+
+
+def running(sizes: Column) -> Column:
+    """For each of the sizes the sum of those ahead of it. In chunks of the root of their number, as arrays are copied when added to."""
+    each = F.transform(in_chunks(sizes, root(F.size(sizes))), _running_few)
+    whole = lambda chunks: F.flatten(F.zip_with(chunks, _running_few(F.transform(chunks, lambda c: c["total"]))["ahead"], lambda c, at: F.transform(c["ahead"], lambda x: x + at)))
+    return bound(each, whole)
+
+
 def _starts(pieces: Column, first: Column, step: Column) -> Column:
     """Where each piece but the first begins, given where the second does and what stands between two of them."""
-    begun = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
-    add = lambda acc, x: F.struct((acc["at"] + F.length(x) + step).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), begun, add, lambda acc: acc["out"])
+    return F.transform(running(F.transform(F.slice(pieces, 2, F.size(pieces)), lambda x: F.length(x) + step)), lambda at: at + first)
 
 
 def occurrences(text: Column, value: Column, start: Column | int = 0) -> Column:

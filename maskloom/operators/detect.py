@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ADDRESS_NAME, ADDRESS_WORDS, DETECTOR_ORDER, FULL_NAME, INITIALS, LETTERS, NAME_WINDOW, PATTERNS, PERSON_KEYS, POSTAL_INDEX
-from ..functions.spans import NONE, find, no_spans, resolve, span
-from ..functions.text import canonical_product, clean
+from ..functions.spans import NONE, find, from_each, no_spans, resolve, span
+from ..functions.text import bound, canonical_product, clean
 
 Detector = Callable[[Column], Column]
 Dictionary = dict[str, list[str]]
@@ -58,24 +58,37 @@ def from_entries(kind: str, entries: list[str], order: int) -> Detector:
 def persons(text: Column, order: int) -> Column:
     """After each key, the first full name and the first surname with initials within the window."""
 
-    def named(key: Column, pattern: str) -> Column:
-        tail = F.substring(text, key["end"] + 1, F.lit(NAME_WINDOW))
+    def named(key: Column, length: Column, pattern: str) -> Column:
+        tail = F.substring(key["head"], length + 1, F.lit(NAME_WINDOW))
         value, at = F.regexp_extract(tail, pattern, 0), F.regexp_instr(tail, F.lit(pattern))
-        start = key["end"] + at - 1
+        start = key["start"] + length + at - 1
         return F.when(at > 0, span(value, "PERSON", start, start + F.length(value), order))
 
-    found = F.transform(find(text, PERSON_KEYS, "PERSON", order, needs=CYRILLIC), lambda k: F.array(named(k, FULL_NAME), named(k, INITIALS)))
-    return F.array_compact(F.flatten(found)).cast(NONE)
+    def both(key: Column) -> Column:
+        return bound(F.length(F.regexp_extract(key["head"], f"^{PERSON_KEYS}", 0)), lambda n: F.array(named(key, n, FULL_NAME), named(key, n, INITIALS)))
+
+    found = F.transform(from_each(text, PERSON_KEYS, 2 * NAME_WINDOW), both)
+    return F.when(text.rlike(CYRILLIC) & text.rlike(PERSON_KEYS), F.array_compact(F.flatten(found))).otherwise(no_spans()).cast(NONE)
+
+
+#: Characters that an address is looked for in, and how far from their end it has to stop; else all that follows is read.
+ADDRESS_REACH, ADDRESS_REST = 400, 100
 
 
 def addresses(text: Column, order: int) -> Column:
     """Postal indexes and, from each address word, the phrase that grows from it. The span keeps what is trimmed off the value."""
 
     def grown(key: Column) -> Column:
-        phrase = F.regexp_extract(F.substring(text, key["start"] + 1, F.length(text)), _ADDRESS_PHRASE, 0)
-        return span(F.btrim(phrase, F.lit(" ,.;")), "ADDR", key["start"], key["start"] + F.length(phrase), order)
-
-    phrases = F.filter(F.transform(find(text, _ADDRESS_KEY, "ADDR", order, needs=CYRILLIC), grown), lambda s: F.length(s["value"]) >= 3)
+        near = F.regexp_extract(F.substring(key["head"], F.lit(1), F.lit(ADDRESS_REACH)), _ADDRESS_PHRASE, 0)
+        # A phrase that goes on to near the end of what was read, or all but blanks to it, is read in the whole text.
+        rest = F.substring(key["head"], F.length(near) + 1, F.lit(ADDRESS_REST))
+        whole = F.regexp_extract(F.substring(text, key["start"] + 1, F.length(text)), _ADDRESS_PHRASE, 0)
+        cut = (F.length(near) > ADDRESS_REACH - ADDRESS_REST) | (F.length(rest) == ADDRESS_REST) & rest.rlike(r"^[ \t]*(,[ \t]*)?$")
+        phrase = F.when(cut, whole).otherwise(near)
+        return bound(phrase, lambda p: span(F.btrim(p, F.lit(" ,.;")), "ADDR", key["start"], key["start"] + F.length(p), order))
+
+    phrases = F.filter(F.transform(from_each(text, _ADDRESS_KEY, ADDRESS_REACH + ADDRESS_REST), grown), lambda s: F.length(s["value"]) >= 3)
+    phrases = F.when(text.rlike(CYRILLIC) & text.rlike(_ADDRESS_KEY), phrases).otherwise(no_spans())
     return F.concat(find(text, POSTAL_INDEX, "ADDR", order, 1, CYRILLIC), phrases).cast(NONE)
 
 
@@ -117,22 +130,3 @@ def each_span(found: DataFrame) -> DataFrame:
 def first_word(entry: str) -> str:
     m = re.search(r"\w+", entry.lower())
     return m[0] if m else ""
-
-
-def dictionary_spans(units: DataFrame, entries: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """(key, value, type, start, end) for a dictionary (type, entry) of any size. key tells units apart.
-
-    Units meet entries by an entry's first word, which stands in the text wherever the entry does: keys and words alone are
-    shuffled, and a word that no entry begins with ends there. Texts are joined with the entries that are left for them, and
-    each is searched as the detectors search. Words that begin with letters of a longer run, as after a digit, are listed
-    from the letters on as well, since only letters guard an entry.
-    """
-    words = r"(?U)[^\W\d_]+|\d+"
-    text = F.col(text_col)
-    listed = units.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(words), F.lit(0)))).alias("_word"))
-    asked = entries.select("type", "entry", F.regexp_extract(F.lower("entry"), words, 0).alias("_word")).filter("_word <> ''").distinct()
-    met = listed.join(asked, "_word").select(*key, "type", "entry").join(units.select(*key, text.alias("_text")), key)
-    quoted = F.replace(F.col("entry"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    pattern = F.concat(F.lit(f"(?iU)(?<![{LETTERS}])\\Q"), quoted, F.lit(f"\\E(?![{LETTERS}])"))
-    spots = met.select(*key, "type", F.explode(find(F.col("_text"), pattern, F.col("type"), 0)).alias("s"))
-    return spots.select(*key, "s.value", "type", "s.start", "s.end").distinct()

@@ -12,7 +12,8 @@ from ..functions.fixed import LONG_TOKEN, TOKEN
 from ..functions.spans import NONE, find, resolve
 from ..operators import preview as preview_ops
 from ..operators import render, review, spec
-from ..operators.detect import detectors, dictionary_spans, each_span, with_spans
+from ..operators.detect import detectors, each_span, with_spans
+from ..operators.dictionary import dictionary_spans
 from ..operators.pseudonyms import (
     anonymise, extended, filled_down, first_seen, found_in, mapping_stats, next_numbers, ranked, replaced, restore_stats, restored, restored_json, token_counts,
 )

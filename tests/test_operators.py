@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from maskloom.functions import text as T
 from maskloom.functions.fixed import LONG_TOKEN, NORMAL_FROM, NORMAL_TO, PATTERNS
 from maskloom.operators import review, spec
-from maskloom.operators.detect import detectors, dictionary_spans, with_spans
+from maskloom.operators.detect import detectors, with_spans
+from maskloom.operators.dictionary import dictionary_spans
 from maskloom.operators.preview import totals
 from maskloom.operators.pseudonyms import anonymise, check_types, ranked, restored, restored_json, token_counts
 from maskloom.plans import fixtures as X
