@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import LETTERS
-from ..functions.spans import find
-from ..functions.text import bound, canonical_product
+from ..functions.fixed import DETECTOR_ORDER, LETTERS
+from ..functions.spans import NONE, find, no_spans, resolve
+from ..functions.text import bound, canonical_product, clean
 from ..plans.storage import stored
+from .detect import all_spans, detectors
 
 #: Characters of a block.
 BLOCK = 1 << 15
@@ -148,3 +149,13 @@ def dictionary_spans(units: DataFrame, entries: DataFrame, key: list[str], text_
     texts = units.select(*key, F.col(text_col).alias("_text"))
     spaced = texts.join(wide, key).select(*key, "type", F.explode(find(F.col("_text"), entry_regex(F.col("entry"), F.col("plus")), F.col("type"), 0)).alias("s"))
     return found.unionByName(spaced.select(*key, canonical_product(F.col("s.value")).alias("value"), "type", "s.start", "s.end")).distinct()
+
+
+def with_dictionary(units: DataFrame, entries: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
+    """units with their text cleaned and a column spans, of all detectors and of a dictionary (type, entry) of any size, overlaps resolved."""
+    cleaned = stored(units.withColumn(text_col, clean(F.col(text_col))), "cleaned")
+    order = F.array_position(F.array(*map(F.lit, DETECTOR_ORDER)), F.col("type")).cast("int") - 1
+    one = F.struct("value", "type", "start", "end", order.alias("ord"))
+    listed = dictionary_spans(cleaned, entries, key, text_col).groupBy(*key).agg(F.collect_list(one).cast(NONE).alias("_listed"))
+    both = F.concat(F.coalesce(all_spans(F.col(text_col), detectors()), no_spans()), F.coalesce("_listed", no_spans()))
+    return cleaned.join(listed, key, "left").withColumn("spans", resolve(both)).drop("_listed")

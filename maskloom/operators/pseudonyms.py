@@ -136,10 +136,10 @@ def reverse_mapping(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("pseudonym").agg(F.min_by("original", F.struct(F.when(rank == 0, 99).otherwise(rank), "type", "original")).alias("original"))
 
 
-def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text", token: str = TOKEN) -> DataFrame:
+def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text", token: str = LONG_TOKEN) -> DataFrame:
     """texts with the original values back, and columns tokens (how many) and unknown (distinct ones that the mapping lacks).
 
-    token: the pattern of pseudonyms; with more than 9,999 values of a type it has to be LONG_TOKEN.
+    token: the pattern of pseudonyms, TOKEN where numbers have four digits and no more, as in texts with digits right behind them.
     """
     told = stored(texts.withColumn("_unit", F.monotonically_increasing_id()).withColumn("_spans", find(F.coalesce(F.col(text_col), F.lit("")), token, "", 0)), "tokens")
     tokens = told.select("_unit", F.explode("_spans").alias("s")).select("_unit", "s.start", "s.end", F.col("s.value").alias("pseudonym"))
@@ -154,7 +154,7 @@ def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text", token
     ).drop("_unit", "_spans", "_parts")
 
 
-def restored_json(files: DataFrame, mapping: DataFrame, json_col: str = "text", token: str = TOKEN) -> DataFrame:
+def restored_json(files: DataFrame, mapping: DataFrame, json_col: str = "text", token: str = LONG_TOKEN) -> DataFrame:
     """JSON files with originals back in their string values; keys stay. Columns tokens and unknown as in restored().
 
     Each file is joined with the part of the mapping that its own tokens name, so no file needs the whole mapping.

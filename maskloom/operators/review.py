@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import CANDIDATE_START, LONG_TOKEN, REVIEW_PATTERNS, STOP_PREFIXES, STOP_WORDS
 from ..functions.text import bound, occurrences, strip
+from ..plans.storage import stored
 from .detect import CYRILLIC, Dictionary, with_spans
+from .intervals import meeting
 
 CONTEXT = 25
 
@@ -45,8 +47,8 @@ def candidates(units: DataFrame, key: list[str], ignore: DataFrame | None = None
 
     key has to tell units apart. ignore: (value_lower), values that people have looked at and let pass.
     """
-    found = with_spans(units.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(*key, F.col(text_col).alias("_text")), dictionary, "_text")
-    hits = found.withColumn("_c", F.explode(_contexts(F.col("_text")))).select(*key, "_text", "spans", "_c.*").filter("raw <> ''")
+    found = stored(with_spans(units.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(*key, F.col(text_col).alias("_text")), dictionary, "_text"), "found")
+    hits = found.withColumn("_c", F.explode(_contexts(F.col("_text")))).select(*key, "_text", "_c.*").filter("raw <> ''")
     parts = hits.select("*", F.posexplode(F.split("raw", r"[,(\n]", -1)).alias("pos", "part"))
     value = F.btrim(F.btrim(strip(F.col("part")), F.lit("«»\"'")), F.lit(" ;:."))
     parts = parts.withColumn("value", value).withColumn("low", F.lower("value"))
@@ -57,11 +59,14 @@ def candidates(units: DataFrame, key: list[str], ignore: DataFrame | None = None
         named = named.join(ignore.select(F.col("value_lower").alias("low")).distinct(), "low", "left_anti")
     near = occurrences(F.col("_text"), F.col("value"), F.greatest(F.col("start") - 5, F.lit(0)))
     places = named.withColumn("_near", near).withColumn("_at", F.when(F.size("_near") > 0, F.col("_near")).otherwise(occurrences(F.col("_text"), F.col("value"))))
-    over = F.exists("_at", lambda i: F.exists("spans", lambda s: (i < s["end"]) & (i + F.length("value") > s["start"])))
+    places = stored(places.drop("_near").withColumn("_row", F.monotonically_increasing_id()), "places")
+    at = places.select(*key, "_row", F.explode("_at").alias("start"), F.length("value").alias("_n")).withColumn("end", F.col("start") + F.col("_n"))
+    spans = found.select(*key, F.explode("spans").alias("s")).select(*key, "s.start", "s.end")
+    over = meeting(at, spans, key, "_row")
     first = F.row_number().over(Window.partitionBy(*key, "low", "type_guess").orderBy("ord", "start", "pos"))
     low = F.greatest(F.col("start") - CONTEXT, F.lit(0))
     context = strip(F.substring(F.col("_text"), low + 1, F.col("end") + CONTEXT - low))
-    return places.filter(~over).withColumn("_n", first).filter("_n = 1").select(*key, "value", "type_guess", context.alias("context"), "reason")
+    return places.join(over, "_row", "left_anti").withColumn("_n", first).filter("_n = 1").select(*key, "value", "type_guess", context.alias("context"), "reason")
 
 
 def grouped(found: DataFrame, by: list[str], order: list[str], loc: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,7 +13,8 @@ from ..functions.spans import NONE, find, resolve
 from ..operators import preview as preview_ops
 from ..operators import render, review, spec
 from ..operators.detect import detectors, each_span, with_spans
-from ..operators.dictionary import dictionary_spans
+from ..operators.dictionary import dictionary_spans, with_dictionary
+from ..operators.intervals import meeting
 from ..operators.pseudonyms import (
     anonymise, extended, filled_down, first_seen, found_in, mapping_stats, next_numbers, ranked, replaced, restore_stats, restored, restored_json, token_counts,
 )
@@ -28,16 +29,29 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
+#: Queries over small made-up tables and their SQL: for tests only, not registered.
+_CASES: dict[str, Query] = {}
+_CASES_SQL: dict[str, str] = {}
+
+
+def _kept(sql: str | None, queries: dict[str, Query], by_sql: dict[str, str]):
     def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            by_sql[f.__name__] = sql
         return f
 
     return keep
 
 
+def _query(sql: str | None = None):
+    return _kept(sql, _QUERIES, _SQL)
+
+
+def _fixture(sql: str | None = None):
+    return _kept(sql, _CASES, _CASES_SQL)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -156,12 +170,12 @@ def pseudonym_incremental(spark, sf_dir):
     return extended(frame(spark, X.SEEDED), seen)
 
 
-@_query(f"WITH {values(X.SEEDED, 'seeded')} SELECT type, count(*) AS n FROM seeded GROUP BY type")
+@_fixture(f"WITH {values(X.SEEDED, 'seeded')} SELECT type, count(*) AS n FROM seeded GROUP BY type")
 def mapping_counts(spark, sf_dir):
     return mapping_stats(frame(spark, X.SEEDED))
 
 
-@_query(f"WITH {values(X.SEEDED, 'seeded')} SELECT type, coalesce(max(try_cast(string_split(pseudonym, '_')[-1] AS INTEGER)), 0) + 1 AS next FROM seeded GROUP BY type")
+@_fixture(f"WITH {values(X.SEEDED, 'seeded')} SELECT type, coalesce(max(try_cast(string_split(pseudonym, '_')[-1] AS INTEGER)), 0) + 1 AS next FROM seeded GROUP BY type")
 def next_pseudonyms(spark, sf_dir):
     return next_numbers(frame(spark, X.SEEDED))
 
@@ -169,18 +183,18 @@ def next_pseudonyms(spark, sf_dir):
 # ---- detectors, overlaps, dictionaries
 
 
-@_query(f"WITH {values(X.DETECTOR_CASES, 'c')} SELECT case_id, type, value, start_at FROM c WHERE value IS NOT NULL")
+@_fixture(f"WITH {values(X.DETECTOR_CASES, 'c')} SELECT case_id, type, value, start_at FROM c WHERE value IS NOT NULL")
 def detector_cases(spark, sf_dir):
     spans = each_span(with_spans(frame(spark, X.DETECTOR_CASES).select("case_id", "text"), X.DICTIONARY).select("case_id", "spans"))
     return spans.select("case_id", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
 
 
-@_query(f"WITH {values(X.NORMAL_CASES, 'c')} SELECT case_id, normal, fixed FROM c")
+@_fixture(f"WITH {values(X.NORMAL_CASES, 'c')} SELECT case_id, normal, fixed FROM c")
 def normal_and_fixed_text(spark, sf_dir):
     return frame(spark, X.NORMAL_CASES).select("case_id", T.normalise(F.col("text")).alias("normal"), T.clean(F.col("text")).alias("fixed"))
 
 
-@_query(f"WITH {values(X.OVERLAP_CASES, 'c')} SELECT case_id, value, type, start_at, end_at FROM c WHERE kept")
+@_fixture(f"WITH {values(X.OVERLAP_CASES, 'c')} SELECT case_id, value, type, start_at, end_at FROM c WHERE kept")
 def resolve_overlaps(spark, sf_dir):
     s = F.struct("value", "type", F.col("start_at").alias("start"), F.col("end_at").alias("end"), "ord")
     grouped = frame(spark, X.OVERLAP_CASES).groupBy("case_id").agg(F.collect_list(s).cast(NONE).alias("spans"))
@@ -221,23 +235,23 @@ def restore_orders(spark, sf_dir):
 _RESTORED = "SELECT * FROM (VALUES (1, 'Анна и Борис, снова Анна', 3, 0), (2, 'Тестбанк, X_0001 и X_0001', 2, 1), (3, 'Вера0 без границ', 1, 0), (4, 'ничего', 0, 0), (5, '', 0, 0)) AS t(doc_id, text, replaced, unresolved)"
 
 
-@_query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM ({_RESTORED})")
+@_fixture(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM ({_RESTORED})")
 def restore_texts(spark, sf_dir):
-    return restored(frame(spark, X.TOKEN_TEXTS), frame(spark, X.TOKEN_MAPPING)).select("doc_id", "text")
+    return restored(frame(spark, X.TOKEN_TEXTS), frame(spark, X.TOKEN_MAPPING), token=TOKEN).select("doc_id", "text")
 
 
-@_query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(replaced AS BIGINT) AS replaced, CAST(unresolved AS INTEGER) AS unresolved FROM ({_RESTORED})")
+@_fixture(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(replaced AS BIGINT) AS replaced, CAST(unresolved AS INTEGER) AS unresolved FROM ({_RESTORED})")
 def restore_counts(spark, sf_dir):
-    return restore_stats(restored(frame(spark, X.TOKEN_TEXTS), frame(spark, X.TOKEN_MAPPING)), ["doc_id"]).select("doc_id", "replaced", "unresolved")
+    return restore_stats(restored(frame(spark, X.TOKEN_TEXTS), frame(spark, X.TOKEN_MAPPING), token=TOKEN), ["doc_id"]).select("doc_id", "replaced", "unresolved")
 
 
-@_query("""SELECT CAST(1 AS BIGINT) AS doc_id, '{' || chr(10) || '  "PERSON_0001": "Анна",' || chr(10) || '  "list": [' || chr(10) || '    "Борис и Z_0009",' || chr(10) || '    7' || chr(10) || '  ]' || chr(10) || '}' AS text, 3 AS tokens""")
+@_fixture("""SELECT CAST(1 AS BIGINT) AS doc_id, '{' || chr(10) || '  "PERSON_0001": "Анна",' || chr(10) || '  "list": [' || chr(10) || '    "Борис и Z_0009",' || chr(10) || '    7' || chr(10) || '  ]' || chr(10) || '}' AS text, 3 AS tokens""")
 def restore_json(spark, sf_dir):
     files = spark.createDataFrame([(1, '{"PERSON_0001": "PERSON_0001", "list": ["PERSON_0002 и Z_0009", 7]}')], "doc_id long, text string")
     return restored_json(files, frame(spark, X.TOKEN_MAPPING)).select("doc_id", "text", "tokens")
 
 
-@_query("""WITH p(path) AS (VALUES ('/d/anonimized/x_anon.md'), ('/d/anonimized/x_anon_review.json'), ('/d/anonimized/index.json'), ('/d/other/y.json'))
+@_fixture("""WITH p(path) AS (VALUES ('/d/anonimized/x_anon.md'), ('/d/anonimized/x_anon_review.json'), ('/d/anonimized/index.json'), ('/d/other/y.json'))
 SELECT path, CASE path WHEN '/d/anonimized/x_anon.md' THEN '/d/deanonimized/x_deanon.md' WHEN '/d/anonimized/x_anon_review.json' THEN '/d/deanonimized/x_deanon_review.json'
   WHEN '/d/anonimized/index.json' THEN '/d/deanonimized/_deanon_index.json' ELSE '/d/other/deanonimized/y_deanon.json' END AS restored FROM p""")
 def restored_paths(spark, sf_dir):
@@ -259,25 +273,25 @@ def entity_counts(spark, sf_dir):
 # ---- review
 
 
-@_query(f"WITH {values(X.REVIEW_EXPECTED, 'e')} SELECT case_id, value, type_guess, reason FROM e")
+@_fixture(f"WITH {values(X.REVIEW_EXPECTED, 'e')} SELECT case_id, value, type_guess, reason FROM e")
 def review_candidates(spark, sf_dir):
     return review.candidates(frame(spark, X.REVIEW_CASES), ["case_id"], dictionary=X.DICTIONARY).select("case_id", "value", "type_guess", "reason")
 
 
-@_query(f"WITH {values(X.REVIEW_EXPECTED, 'e')} SELECT min_by(value, case_id) AS value, type_guess, min_by(reason, case_id) AS reason, count(*) AS count, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) AS locations FROM e GROUP BY lower(value), type_guess")
+@_fixture(f"WITH {values(X.REVIEW_EXPECTED, 'e')} SELECT min_by(value, case_id) AS value, type_guess, min_by(reason, case_id) AS reason, count(*) AS count, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) AS locations FROM e GROUP BY lower(value), type_guess")
 def review_grouped(spark, sf_dir):
     found = review.candidates(frame(spark, X.REVIEW_CASES), ["case_id"], dictionary=X.DICTIONARY).withColumn("all", F.lit(1))
     g = review.grouped(found, ["all"], ["case_id"], F.col("case_id").cast("string"))
     return g.select("value", "type_guess", "reason", "count", F.array_join("locations", ",").alias("locations"))
 
 
-@_query(f"WITH {values(X.REVIEW_EXPECTED, 'e')} SELECT type_guess, count(DISTINCT lower(value)) AS n FROM e GROUP BY type_guess")
+@_fixture(f"WITH {values(X.REVIEW_EXPECTED, 'e')} SELECT type_guess, count(DISTINCT lower(value)) AS n FROM e GROUP BY type_guess")
 def review_by_type(spark, sf_dir):
     found = review.candidates(frame(spark, X.REVIEW_CASES), ["case_id"], dictionary=X.DICTIONARY).withColumn("all", F.lit(1))
     return review.by_type(review.grouped(found, ["all"], ["case_id"], F.col("case_id").cast("string")), ["all"]).select("type_guess", "n")
 
 
-@_query(f"WITH {values(X.REVIEW_EXPECTED, 'e')} SELECT case_id, value, type_guess FROM e WHERE lower(value) NOT IN ('гармония', 'юг')")
+@_fixture(f"WITH {values(X.REVIEW_EXPECTED, 'e')} SELECT case_id, value, type_guess FROM e WHERE lower(value) NOT IN ('гармония', 'юг')")
 def review_ignored(spark, sf_dir):
     ignore = review.add_ignored(spark.createDataFrame([("юг",)], "value_lower string"), ["ГАРМОНИЯ "])
     return review.candidates(frame(spark, X.REVIEW_CASES), ["case_id"], ignore, X.DICTIONARY).select("case_id", "value", "type_guess")
@@ -304,17 +318,17 @@ def _req(c: str) -> str:
     return f"CASE WHEN {r} = '' THEN 'unknown' WHEN {r} = 'обязательное' THEN 'required' WHEN contains({r}, 'обязательное') THEN CASE WHEN {conditional} THEN 'conditional' ELSE 'required' END WHEN {r} IN ({negative}) OR ({r} LIKE 'нет%' AND length({r}) <= 8) THEN 'no' ELSE 'conditional' END"
 
 
-@_query(f"WITH {_C}, {_HEADER} SELECT doc_id, sheet_index, header_row FROM header")
+@_fixture(f"WITH {_C}, {_HEADER} SELECT doc_id, sheet_index, header_row FROM header")
 def spec_header_row(spark, sf_dir):
     return spec.header_rows(frame(spark, X.CELLS))
 
 
-@_query(f"WITH {_C}, {_HEADER}, {_ROLES} SELECT doc_id, sheet_index, role, col FROM roles")
+@_fixture(f"WITH {_C}, {_HEADER}, {_ROLES} SELECT doc_id, sheet_index, role, col FROM roles")
 def spec_roles(spark, sf_dir):
     return spec.roles(frame(spark, X.CELLS)).select("doc_id", "sheet_index", "role", "col")
 
 
-@_query("SELECT * FROM (VALUES (0, true, 0), (1, false, 1), (2, false, 1)) AS t(sheet_index, usable, n_notes)")
+@_fixture("SELECT * FROM (VALUES (0, true, 0), (1, false, 1), (2, false, 1)) AS t(sheet_index, usable, n_notes)")
 def spec_sheets(spark, sf_dir):
     return spec.sheets(frame(spark, X.CELLS)).select("sheet_index", "usable", F.size("notes").alias("n_notes"))
 
@@ -327,49 +341,49 @@ def _of_kind(spark, kind: str, status) -> DataFrame:
     return frame(spark, X.STATUS_CASES).filter(F.col("kind") == kind).select("case_id", status(F.col("raw")).cast("string").alias("status"))
 
 
-@_query(_status("required"))
+@_fixture(_status("required"))
 def spec_required(spark, sf_dir):
     return _of_kind(spark, "required", spec.required_status)
 
 
-@_query(_status("default"))
+@_fixture(_status("default"))
 def spec_default(spark, sf_dir):
     return _of_kind(spark, "default", spec.default_status)
 
 
-@_query(_status("availability"))
+@_fixture(_status("availability"))
 def spec_availability(spark, sf_dir):
     return _of_kind(spark, "availability", spec.availability_status)
 
 
-@_query(_status("auto"))
+@_fixture(_status("auto"))
 def spec_auto(spark, sf_dir):
     return _of_kind(spark, "auto", spec.is_auto_input)
 
 
-@_query(_status("hidden"))
+@_fixture(_status("hidden"))
 def spec_hidden(spark, sf_dir):
     return _of_kind(spark, "hidden", spec.is_hidden)
 
 
-@_query(f"{_WIDE} SELECT doc_id, sheet_index, row, row_kind, last_value(CASE WHEN row_kind = 'block' THEN field_name END IGNORE NULLS) OVER (PARTITION BY doc_id, sheet_index ORDER BY row) AS block, coalesce(hidden, false) AS hidden FROM k")
+@_fixture(f"{_WIDE} SELECT doc_id, sheet_index, row, row_kind, last_value(CASE WHEN row_kind = 'block' THEN field_name END IGNORE NULLS) OVER (PARTITION BY doc_id, sheet_index ORDER BY row) AS block, coalesce(hidden, false) AS hidden FROM k")
 def spec_rows(spark, sf_dir):
     return spec.rows(frame(spark, X.CELLS)).select("doc_id", "sheet_index", "row", "row_kind", "block", F.col("hidden_evidence").isNotNull().alias("hidden"))
 
 
-@_query(f"""{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, field_name AS name, coalesce(type, '') AS type, CASE WHEN hidden AND {_req("required")} = 'required' THEN 'conditional' ELSE {_req("required")} END AS required,
+@_fixture(f"""{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, field_name AS name, coalesce(type, '') AS type, CASE WHEN hidden AND {_req("required")} = 'required' THEN 'conditional' ELSE {_req("required")} END AS required,
   'F' || row AS source_cell, 'A' || row || ':H' || row AS cell_range, hidden FROM k WHERE row_kind = 'parameter'""")
 def spec_parameters(spark, sf_dir):
     p = spec.parameters(frame(spark, X.CELLS))
     return p.select("id", "name", "type", F.col("required.status").alias("required"), "default_value.source_cell", "source.cell_range", "ui.hidden")
 
 
-@_query(f"{_WIDE} SELECT doc_id, sheet_index, row, CAST((type IS NOT NULL)::INT + (availability IS NOT NULL)::INT AS INTEGER) AS n_values FROM k WHERE row_kind = 'ambiguous'")
+@_fixture(f"{_WIDE} SELECT doc_id, sheet_index, row, CAST((type IS NOT NULL)::INT + (availability IS NOT NULL)::INT AS INTEGER) AS n_values FROM k WHERE row_kind = 'ambiguous'")
 def spec_ambiguous(spark, sf_dir):
     return spec.ambiguous(spec.rows(frame(spark, X.CELLS))).select("doc_id", "sheet_index", "row", F.size("values").alias("n_values"))
 
 
-@_query("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(3 AS BIGINT) AS total_sheets, CAST(4 AS BIGINT) AS total_parameters, CAST(1 AS BIGINT) AS required, CAST(2 AS BIGINT) AS conditional_required, CAST(1 AS BIGINT) AS with_default, CAST(2 AS BIGINT) AS without_default, CAST(1 AS BIGINT) AS default_needs_manual_check, CAST(1 AS BIGINT) AS hidden_fields, CAST(1 AS BIGINT) AS ambiguous_cases")
+@_fixture("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(3 AS BIGINT) AS total_sheets, CAST(4 AS BIGINT) AS total_parameters, CAST(1 AS BIGINT) AS required, CAST(2 AS BIGINT) AS conditional_required, CAST(1 AS BIGINT) AS with_default, CAST(2 AS BIGINT) AS without_default, CAST(1 AS BIGINT) AS default_needs_manual_check, CAST(1 AS BIGINT) AS hidden_fields, CAST(1 AS BIGINT) AS ambiguous_cases")
 def spec_summary(spark, sf_dir):
     return spec.summary(frame(spark, X.CELLS))
 
@@ -381,29 +395,31 @@ def forward_fill(spark, sf_dir):
     return filled_down(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", click.alias("click")), "user_id", ["ts", "event_id"], "click", "above").select("event_id", "user_id", "above")
 
 
-@_query(f"""{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, CASE WHEN {_req("required")} = 'required' AND NOT hidden THEN 'ошибка' ELSE 'ошибка при выполнении условия' END AS expectation
+@_fixture(f"""{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, CASE WHEN {_req("required")} = 'required' AND NOT hidden THEN 'ошибка' ELSE 'ошибка при выполнении условия' END AS expectation
   FROM k WHERE row_kind = 'parameter' AND {_req("required")} IN ('required', 'conditional')""")
 def required_checklist(spark, sf_dir):
     return spec.required_checklist(spec.parameters(frame(spark, X.CELLS))).select("id", "expectation")
 
 
-@_query(f"{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, default_value AS expectation FROM k WHERE row_kind = 'parameter' AND default_value = 'RUB'")
+@_fixture(f"{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, default_value AS expectation FROM k WHERE row_kind = 'parameter' AND default_value = 'RUB'")
 def default_checklist(spark, sf_dir):
     return spec.default_checklist(spec.parameters(frame(spark, X.CELLS))).select("id", "expectation")
 
 
-@_query(f"{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, CASE availability WHEN 'Доступно' THEN 'available' WHEN 'Только для чтения' THEN 'read_only' WHEN 'Недоступно' THEN 'not_available' ELSE 'conditional' END AS expectation FROM k WHERE row_kind = 'parameter' AND availability IS NOT NULL")
+@_fixture(f"{_WIDE} SELECT 'sheet' || sheet_index || '-row' || row AS id, CASE availability WHEN 'Доступно' THEN 'available' WHEN 'Только для чтения' THEN 'read_only' WHEN 'Недоступно' THEN 'not_available' ELSE 'conditional' END AS expectation FROM k WHERE row_kind = 'parameter' AND availability IS NOT NULL")
 def availability_checklist(spark, sf_dir):
     return spec.availability_checklist(spec.parameters(frame(spark, X.CELLS))).select("id", "expectation")
 
 
-@_query("""WITH a AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey < 80), b AS (SELECT s_suppkey, CASE WHEN s_suppkey < 20 THEN s_nationkey + 1 ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier WHERE s_suppkey >= 10)
-SELECT s_suppkey, CASE WHEN a.s_nationkey IS NULL THEN 'added' WHEN b.s_nationkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (s_suppkey)
-WHERE a.s_nationkey IS NULL OR b.s_nationkey IS NULL OR a.s_nationkey <> b.s_nationkey OR a.s_acctbal <> b.s_acctbal""")
+@_query("""WITH a AS (SELECT s_suppkey * 3 AS k, s_nationkey AS nation, s_acctbal AS balance FROM supplier), b AS (SELECT c_custkey * 2 AS k, c_nationkey AS nation, c_acctbal AS balance FROM customer)
+SELECT k, CASE WHEN a.nation IS NULL THEN 'added' WHEN b.nation IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (k)
+WHERE a.nation IS NULL OR b.nation IS NULL OR a.nation <> b.nation OR a.balance <> b.balance""")
 def dataset_diff(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    new = s.filter("s_suppkey >= 10").withColumn("s_nationkey", F.when(F.col("s_suppkey") < 20, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")))
-    return spec.dataset_diff(s.filter("s_suppkey < 80"), new, ["s_suppkey"], ["s_nationkey", "s_acctbal"])
+    """All suppliers and all customers as two versions of one data set, under keys that some have in common."""
+    old = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("k"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    new = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("k"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    return spec.dataset_diff(old, new, ["k"], ["nation", "balance"])
+
 
 
 # ---- index, names, rendering
@@ -416,7 +432,7 @@ def index_merge(spark, sf_dir):
     return index_upsert(labels.select("doc_id", "quality"), new, "doc_id")
 
 
-@_query(f"WITH {values(X.PATHS, 'p')} SELECT path, base FROM p")
+@_fixture(f"WITH {values(X.PATHS, 'p')} SELECT path, base FROM p")
 def name_plan(spark, sf_dir):
     return output_names(frame(spark, X.PATHS).select("path", "doc_ord")).select("path", "base")
 
@@ -466,7 +482,7 @@ def md_tables(spark, sf_dir):
     return rows.select("n_regionkey", F.explode(T.md_table(whole)).alias("line"))
 
 
-@_query("SELECT n, CASE WHEN n <= 26 THEN chr(64 + n::INT) WHEN n <= 702 THEN chr(64 + ((n - 1) // 26)::INT) || chr(65 + ((n - 1) % 26)::INT) ELSE chr(65 + ((n - 703) // 676)::INT) || chr(65 + ((n - 703) // 26 % 26)::INT) || chr(65 + ((n - 703) % 26)::INT) END AS letter FROM range(1, 2000) AS t(n)")
+@_fixture("SELECT n, CASE WHEN n <= 26 THEN chr(64 + n::INT) WHEN n <= 702 THEN chr(64 + ((n - 1) // 26)::INT) || chr(65 + ((n - 1) % 26)::INT) ELSE chr(65 + ((n - 703) // 676)::INT) || chr(65 + ((n - 703) // 26 % 26)::INT) || chr(65 + ((n - 703) % 26)::INT) END AS letter FROM range(1, 2000) AS t(n)")
 def a1_coordinates(spark, sf_dir):
     return spark.range(1, 2000).select(F.col("id").alias("n"), T.column_letter(F.col("id")).alias("letter"))
 
@@ -627,9 +643,95 @@ def order_names(spark, sf_dir):
     return output_names(table(spark, sf_dir, "orders").select(path.alias("path"), F.col("o_orderkey").alias("doc_ord"))).select("path", "base")
 
 
+# ---- dictionaries, names and addresses over whole tables
+
+#: A number in Cyrillic letters, for names that the detectors know.
+_LETTERED = "translate(CAST({} AS {}), '0123456789', 'абвгдежзик')"
+
+
+def _lettered(column: str) -> Column:
+    return F.translate(F.col(column).cast("string"), "0123456789", "абвгдежзик")
+
+
+@_query("""WITH t AS (SELECT o_orderkey, 'Заказ ' || o_orderkey || ' для ' AS head, 'ООО ' || c_name AS one, '; плательщик ' AS mid, 'ооо ' || upper(c_name) AS two FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, 'ORG' AS type, one AS value, CAST(length(head) AS BIGINT) AS start_at FROM t UNION ALL SELECT o_orderkey, 'ORG', two, CAST(length(head || one || mid) AS BIGINT) FROM t""")
+def order_organisations(spark, sf_dir):
+    """A dictionary of an organisation for each customer, in a text for each order: every entry begins with the same word, and a third place is beside a letter."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    one = F.concat(F.lit("ООО "), "c_name")
+    text = F.concat(F.lit("Заказ "), F.col("o_orderkey").cast("string"), F.lit(" для "), one, F.lit("; плательщик "), F.lower(F.lit("ООО ")), F.upper("c_name"), F.lit(", не "), one, F.lit("а"))
+    texts = stored(table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", text.alias("text")), "texts")
+    found = dictionary_spans(texts, customer.select(F.lit("ORG").alias("type"), one.alias("entry")), ["o_orderkey"])
+    return found.select("o_orderkey", "type", "value", F.col("start").cast("long").alias("start_at"))
+
+
+@_query("""WITH t AS (SELECT c_custkey, '§' || c_custkey || '§' AS one, 'тариф ' || upper(c_name) || '  +' || chr(9) || 'плюс, клиент ' AS mid, c_name FROM customer)
+SELECT c_custkey, 'BANK' AS type, one AS value, CAST(5 AS BIGINT) AS start_at FROM t UNION ALL SELECT c_custkey, 'PRODUCT', upper(c_name) || ' + плюс', CAST(length('банк ' || one || ', тариф ') AS BIGINT) FROM t
+UNION ALL SELECT c_custkey, 'ORG', '«' || c_custkey || '»', CAST(length('банк ' || one || ', ' || mid) AS BIGINT) FROM t""")
+def customer_entries(spark, sf_dir):
+    """Entries without letters, products with a plus sign and numbers in quotes, all detectors and a dictionary of any size together, overlaps resolved."""
+    c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("c_custkey").cast("string")
+    entries = {"BANK": F.concat(F.lit("§"), k, F.lit("§")), "PRODUCT": F.concat("c_name", F.lit(" + Плюс")), "ORG": F.concat(F.lit("«"), k, F.lit("»"))}
+    listed = c.select(F.explode(F.array(*(F.struct(F.lit(t).alias("type"), v.alias("entry")) for t, v in entries.items()))).alias("x")).select("x.*")
+    text = F.concat(F.lit("банк §"), k, F.lit("§, тариф "), F.upper("c_name"), F.lit("  +\tплюс, клиент «"), k, F.lit("»"))
+    spans = each_span(with_dictionary(c.select("c_custkey", text.alias("text")), listed, ["c_custkey"]).select("c_custkey", "spans"))
+    return spans.select("c_custkey", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
+
+
+@_query(f"""WITH t AS (SELECT o_orderkey, {_LETTERED.format("o_custkey", "VARCHAR")} AS x FROM orders), n AS (SELECT o_orderkey, 'Сид' || x || ' Олег Львович' AS one, 'Пет' || x || ' О.Л.' AS two FROM t)
+SELECT o_orderkey, 'PERSON' AS type, one AS value, CAST(7 AS BIGINT) AS start_at FROM n UNION ALL SELECT o_orderkey, 'PERSON', two, CAST(length('Клиент ' || one || '; заявитель: ') AS BIGINT) FROM n""")
+def order_persons(spark, sf_dir):
+    """Full names and initials behind their key words, in a text for each order."""
+    x = _lettered("o_custkey")
+    text = F.concat(F.lit("Клиент Сид"), x, F.lit(" Олег Львович; заявитель: Пет"), x, F.lit(" О.Л. и далее"))
+    spans = each_span(with_spans(stored(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "texts")).select("o_orderkey", "spans"))
+    return spans.select("o_orderkey", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
+
+
+@_query(f"""WITH t AS (SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 6, '1') AS code, 'г. Тверь, ул. Мир' || {_LETTERED.format("o_custkey", "VARCHAR")} || ', д. ' || (o_custkey % 100) AS place FROM orders)
+SELECT o_orderkey, 'ADDR' AS type, code AS value, CAST(7 AS BIGINT) AS start_at FROM t UNION ALL SELECT o_orderkey, 'ADDR', place, CAST(length('индекс ' || code || ': ') AS BIGINT) FROM t""")
+def order_addresses(spark, sf_dir):
+    """Postal indexes and addresses grown from their words, in a text for each order."""
+    text = F.concat(F.lit("индекс "), F.lpad(F.col("o_custkey").cast("string"), 6, "1"), F.lit(": г. Тверь, ул. Мир"), _lettered("o_custkey"), F.lit(", д. "), (F.col("o_custkey") % 100).cast("string"), F.lit("; срок"))
+    spans = each_span(with_spans(stored(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "texts")).select("o_orderkey", "spans"))
+    return spans.select("o_orderkey", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
+
+
+@_query("""WITH c AS (SELECT c_nationkey, c_custkey, c_mktsegment AS value, ['ORG', 'PRODUCT', 'PRODUCT', 'INS', 'PERSON'][c_custkey % 5 + 1] AS type_guess, ['партнёр', 'программа', 'продукт', 'значения для выбора', 'пользователь'][c_custkey % 5 + 1] AS reason
+FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_custkey % 10 <> 9) SELECT c_nationkey, value, type_guess, min_by(reason, c_custkey) AS reason, count(*) AS count FROM c GROUP BY c_nationkey, value, type_guess""")
+def review_contexts(spark, sf_dir):
+    """All five contexts over a text for each customer, with a list of values to ignore; a value within an entity's place is no candidate."""
+    c = table(spark, sf_dir, "customer")
+    v = F.col("c_mktsegment")
+    texts = [
+        F.concat(F.lit("для партнёра «"), v, F.lit("» и")), F.concat(F.lit("по программе "), v, F.lit(" для")), F.concat(F.lit("по продукту "), v, F.lit(": срок")), F.concat(F.lit("Для выбора: "), v, F.lit(";")),
+        F.when(F.col("c_custkey") % 10 == 9, F.concat(F.lit("пользователь «C"), F.col("c_custkey").cast("string"), F.lit("@mail.example» не"))).otherwise(F.concat(F.lit("пользователь «"), v, F.lit("» не"))),
+    ]
+    text = F.coalesce(*(F.when(F.col("c_custkey") % 5 == i, t) for i, t in enumerate(texts)))
+    ignore = review.add_ignored(c.select(F.lower(v).alias("value_lower")).filter("value_lower = 'nothing'"), ["Machinery "])
+    found = review.candidates(c.select("c_nationkey", "c_custkey", text.alias("text")), ["c_nationkey", "c_custkey"], ignore)
+    return review.grouped(found, ["c_nationkey"], ["c_custkey"], F.col("c_custkey").cast("string")).select("c_nationkey", "value", "type_guess", "reason", "count")
+
+
+@_query("""WITH l AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS line, l_returnflag AS flag, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) * 4 AS s, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) * 4 + 1 + CAST(l_quantity AS INTEGER) % 30 AS e FROM lineitem)
+SELECT DISTINCT l_suppkey, line, CAST(s AS INTEGER) AS start_at, CAST(e AS INTEGER) AS end_at FROM l WHERE flag = 'N' AND NOT EXISTS (SELECT 1 FROM l r WHERE r.flag = 'R' AND r.l_suppkey = l.l_suppkey AND l.s < r.e AND l.e > r.s)""")
+def lines_apart(spark, sf_dir):
+    """Lines on their way while none that came back was, of the same supplier: candidates whose place no span overlaps."""
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1990-01-01").cast("date")) * 4
+    l = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_returnflag", day("l_shipdate").alias("start"), (day("l_shipdate") + 1 + F.col("l_quantity").cast("int") % 30).alias("end"))  # noqa: E741
+    rows, spans = l.filter("l_returnflag = 'N'").drop("l_returnflag").distinct(), l.filter("l_returnflag = 'R'")
+    rows = rows.withColumn("row", F.struct("l_suppkey", "line", "start", "end"))
+    return rows.join(meeting(rows, spans, ["l_suppkey"], "row"), "row", "left_anti").select("l_suppkey", "line", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def cases() -> dict[str, tuple[Query, str | None]]:
+    """Queries over small made-up tables, with their SQL: shapes that the given tables do not hold."""
+    return {name: (f, _CASES_SQL.get(name)) for name, f in _CASES.items()}

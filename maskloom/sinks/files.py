@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import ENTITY_TYPES, OUTPUT_FOLDER, RESTORED_FOLDER
 from ..functions.text import parent, restored_name, stem, suffix
+from ..operators.pseudonyms import ranked
 
 
 def write_files(df: DataFrame, path_col: str = "path", data_col: str = "data") -> int:
@@ -120,17 +121,17 @@ def output_names(paths: DataFrame, path_col: str = "path", order_col: str = "doc
     """paths with base, the output's name without its suffix: <stem>_anon, next <stem>_<suffix>_anon, then with a number from 2 on.
 
     Names are reserved over the whole run. The first of a stem in order takes the first form; the others take the second
-    by suffix, and a name that was taken meanwhile by another stem moves the number on.
+    by suffix, and a name that was taken meanwhile by another stem moves the number on. Ranks are taken over ranges: a tree in which
+    all files have one name is no single task.
     """
-    w = Window.partitionBy("_stem").orderBy(order_col)
     own = paths.withColumn("_stem", stem(F.col(path_col))).withColumn("_tag", F.coalesce(F.nullif(F.substring(suffix(F.col(path_col)), 2, 100), F.lit("")), F.lit("src")))
-    own = own.withColumn("_nth", F.row_number().over(w))
+    own = ranked(own, "_stem", [order_col], "_nth")
     # <stem>_<tag>_anon may also be the first form of a file whose stem is <stem>_<tag>; it counts as taken if that file comes earlier.
     firsts = own.filter("_nth = 1").select(F.concat("_stem", F.lit("_anon")).alias("_name"), F.col(order_col).alias("_taken"))
     rest = own.filter("_nth > 1").withColumn("_name", F.concat("_stem", F.lit("_"), "_tag", F.lit("_anon"))).join(firsts, "_name", "left")
     shift = F.when(F.col("_taken") < F.col(order_col), 1).otherwise(0)
-    nth = F.row_number().over(Window.partitionBy("_name").orderBy(order_col)) + shift
-    rest = rest.withColumn("base", F.when(nth == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("_"), nth.cast("string"))))
+    nth = F.col("_again") + shift
+    rest = ranked(rest, "_name", [order_col], "_again").withColumn("base", F.when(nth == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("_"), nth.cast("string"))))
     first = own.filter("_nth = 1").withColumn("base", F.concat("_stem", F.lit("_anon")))
     return first.drop("_stem", "_tag", "_nth").unionByName(rest.select(*paths.columns, "base"))
 

@@ -13,6 +13,12 @@ def test_query_equals_its_sql(spark, name):
     assert_same(catalog.queries()[name](spark, SF), SF, catalog.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", sorted(catalog.cases()))
+def test_case_equals_its_sql(spark, name):
+    query, sql = catalog.cases()[name]
+    assert_same(query(spark, SF), SF, sql)
+
+
 def test_queries_without_sql_run(spark):
     for name in sorted(set(catalog.queries()) - set(catalog.oracle_sql())):
         assert catalog.queries()[name](spark, SF).count() > 0, name

@@ -182,3 +182,24 @@ def test_tokens_of_more_than_four_digits_are_counted_apart(spark):
     lines = spark.createDataFrame([(0, "EMAIL_1000 EMAIL_10000 EMAIL_10001 EMAIL_10001"), (0, "CARD_0001 EMAIL_00012"), (1, None)], "doc_id long, line string")
     assert sorted(map(tuple, token_counts(lines, ["doc_id"], "line").collect())) == [(0, "CARD", 1), (0, "EMAIL", 4)]
     assert [tuple(r) for r in totals(lines, ["doc_id"], "line").collect()] == [(0, 6, 2)]
+
+
+def test_texts_with_many_spans(spark):
+    """More spans than are resolved one by one, in one text: found, resolved and replaced as the plain model does."""
+    r = random.Random(5)
+    parts = ["a{}@b.example ", "8 900 555-10-{:02} ", "4001 {:06} ", "паспорт 4001 {:06} ", "7712{:08} ", "слово ", "5500 0000 0000 {:04} "]
+    text = "".join(r.choice(parts).format(r.randint(0, 99)) for _ in range(600))
+    units = spark.createDataFrame([(1, text), (2, "нет ничего"), (3, text[:300]), (4, None)], "i long, text string")
+    got = {x.i: [(s.value, s.type, s.start, s.end) for s in x.spans] for x in with_spans(units).collect()}
+    assert got[1] == [s[:4] for s in model.spans(text)] and len(got[1]) > 64 and got[2] == [] and got[4] == []
+    assert got[3] == [s[:4] for s in model.spans(text[:300])]
+    after, _ = anonymise(units.filter("i = 1"), ["i"])
+    assert after.first().text == model.anonymise([text])[0][0]
+
+
+def test_addresses_and_names_among_many(spark):
+    one = "Клиент Сидоров Олег Львович, г. Тверь, ул. Мира, д. 7; " * 150 + "г. " + " " * 600 + "Тверь, ул. Дом Культуры. Заявитель: Петров О.Л."
+    got = [(s.value, s.type) for s in with_spans(spark.createDataFrame([(one,)], "text string")).first().spans]
+    assert got[:300] == [("Сидоров Олег Львович", "PERSON"), ("г. Тверь, ул. Мира, д. 7", "ADDR")] * 150
+    # The phrase over six hundred blanks is read whole, and is longer than "Дом Культуры", which grows from a word within it.
+    assert got[-1] == ("Петров О.Л.", "PERSON") and got[-2] == ("г. " + " " * 600 + "Тверь, ул. Дом", "ADDR") and len(got) == 302
