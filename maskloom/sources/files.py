@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import shutil
-import subprocess
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import ENTITY_TYPES, OUTPUT_FOLDER
 from ..functions.text import is_supported, normalise, suffix
 from ..operators.pseudonyms import MAPPING
+from . import doc, pdf
 
 READ = "path string, source_format string, block_index int, kind string, text string, rows array<array<string>>, asset struct<asset_id:string,data:binary,ext:string,src_page:int,original_filename:string,prog_id:string,note:string>, error string"
 CELLS = "path string, sheet_index int, sheet_name string, row int, col int, value string, value_type string, error string"
@@ -84,32 +83,16 @@ def _docx(data: bytes) -> Iterator[dict]:
 
 
 def _pdf(data: bytes) -> Iterator[dict]:
-    try:
-        import fitz
-    except ImportError:
-        raise RuntimeError("PDF files need PyMuPDF on the executors") from None
     n = 0
-    with fitz.open(stream=data, filetype="pdf") as doc:
-        for number, page in enumerate(doc, 1):
-            yield from ({"kind": "text", "text": line.strip()} for line in (page.get_text("text") or "").splitlines() if line.strip())
-            for image in page.get_images(full=True):
-                try:
-                    got = doc.extract_image(image[0])
-                except Exception:  # noqa: BLE001  an image that can't be read is no reason to lose the page
-                    continue
-                n += 1
-                yield {"kind": "image", "asset": {"asset_id": f"img-{n:03d}", "data": got["image"], "ext": got.get("ext", "png"), "src_page": number, "note": ""}}
+    for number, (lines, images) in enumerate(pdf.pages(data), 1):
+        yield from ({"kind": "text", "text": line} for line in lines)
+        for image, ext in images:
+            n += 1
+            yield {"kind": "image", "asset": {"asset_id": f"img-{n:03d}", "data": image, "ext": ext, "src_page": number, "note": ""}}
 
 
 def _doc(data: bytes) -> Iterator[dict]:
-    if shutil.which("antiword") is None:
-        raise RuntimeError("legacy .doc files need antiword on the executors; or save them as .docx")
-    for options in (["-m", "UTF-8.txt"], []):
-        done = subprocess.run(["antiword", *options, "-"], input=data, capture_output=True)
-        if done.returncode == 0:
-            yield from ({"kind": "text", "text": line} for line in done.stdout.decode("utf-8", "replace").splitlines() if line.strip())
-            return
-    raise RuntimeError("antiword could not read the file; save it as .docx")
+    yield from ({"kind": "text", "text": p} for p in doc.paragraphs(data))
 
 
 def read_blocks(files: DataFrame) -> DataFrame:
