@@ -216,8 +216,12 @@ def read_ignore(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """(type, original, pseudonym) from a mapping: Parquet, or JSON {type: {original: pseudonym}}; buckets that are no objects are skipped."""
+    """(type, original, pseudonym) from a mapping: a log of commits, Parquet, or JSON {type: {original: pseudonym}}; buckets that are no objects are skipped."""
     if not path.endswith(".json"):
+        from ..sinks.log import is_log, read_log
+
+        if is_log(spark, path):
+            return read_log(spark, path)
         return spark.read.parquet(path).select(*(c.split()[0] for c in MAPPING.split(", ")))
     text = spark.read.text(path, wholetext=True)
     buckets = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("type", "bucket")).filter(F.startswith(F.ltrim("bucket"), F.lit("{")))

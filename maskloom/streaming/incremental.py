@@ -3,44 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.detect import Dictionary
-from ..operators.pseudonyms import anonymise, empty_mapping
-from ..plans.storage import stored_here
-from ..sinks.files import _at, recovered, swap
+from ..operators.detect import Dictionary, with_spans
+from ..operators.pseudonyms import first_seen, found_in, replaced
+from ..plans.storage import stored, stored_here
+from ..sinks.files import recovered, swap
+from ..sinks.log import add, begin, is_log
 from ..sources.files import read_mapping
 
 
-def _by_batch(spark: SparkSession, path: str) -> None:
-    """A mapping written before becomes what was known ahead of the first batch."""
-    fs, at = _at(spark, path)
-    if recovered(spark, path) and not any(x.getPath().getName().startswith("batch=") for x in fs.listStatus(at)):
+def _as_log(spark: SparkSession, path: str) -> None:
+    """A mapping written before, as one folder, becomes a log that begins with it."""
+    if recovered(spark, path) and not is_log(spark, path):
         beside = f"{path.rstrip('/')}.new"
-        read_mapping(spark, path).write.mode("overwrite").parquet(f"{beside}/batch=-1")
+        begin(spark, beside, read_mapping(spark, path))
         swap(spark, beside, path)
 
 
 def anonymise_stream(stream: DataFrame, order: list[str], out: str, mapping_path: str, checkpoint: str, dictionary: Dictionary | None = None, available_now: bool = False) -> StreamingQuery:
-    """Writes the anonymised texts to out and what each batch adds to the mapping to mapping_path, a folder for each batch.
+    """Writes the anonymised texts to out, a folder for each batch, and commits the new values of each batch to the mapping's log.
 
-    The stream is the only writer of its mapping, a folder of Parquet that read_mapping() reads as one. A batch that is run
-    again leaves out what it had added itself, numbers the same values alike, and writes its folders anew.
+    Several streams and runs may add to one mapping. A batch reads the buckets of its own values, however many came before. One
+    that is run again finds its values known, numbers them alike, and writes its folder anew.
     """
     if mapping_path.endswith(".json"):
         raise ValueError("a stream adds to its mapping; give it a folder")
-    _by_batch(stream.sparkSession, mapping_path)
+    _as_log(stream.sparkSession, mapping_path)
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         with stored_here():
-            known = empty_mapping(spark)
-            if recovered(spark, mapping_path):
-                known = spark.read.parquet(mapping_path).filter(F.col("batch") < number).select(*known.columns)
-            after, mapping = anonymise(df, order, known, dictionary)
-            after.write.mode("overwrite").parquet(f"{out}/batch={number}")
-            mapping.join(known.select("type", "original"), ["type", "original"], "left_anti").write.mode("overwrite").parquet(f"{mapping_path}/batch={number}")
+            found = found_in(with_spans(df, dictionary))
+            mapping = stored(add(spark, mapping_path, first_seen(found, order), ["seen"]), "mapping")
+            replaced(found, mapping).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
