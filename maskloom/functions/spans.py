@@ -103,16 +103,16 @@ def _resolve_many(spans: pa.Array) -> pa.Array:
 
 def splice(text: Column, parts: Column) -> Column:
     """The text with parts (start, end, to), sorted and apart, replaced. In chunks, so that a long text isn't built up anew for each part."""
-    step = root(F.size(parts))
 
-    def chunk(own, k):
+    def chunk(own, k, step):
         low = F.when(k == 0, 0).otherwise(F.element_at(parts, F.greatest(k * step, F.lit(1)))["end"])
         part = F.substring(text, low + 1, F.element_at(own, -1)["end"] - low)
         begun = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
         one = lambda t: F.aggregate(own, begun, lambda acc, p: F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, p["start"] - low - acc["at"]), p["to"]).alias("out"), (p["end"] - low).alias("at")))["out"]
         return bound(part, one)
 
-    spliced = F.concat(F.array_join(F.transform(in_chunks(parts, step), chunk), ""), F.substring(text, F.element_at(parts, -1)["end"] + 1, F.length(text)))
+    chunks = bound(root(F.size(parts)), lambda step: F.transform(in_chunks(parts, step), lambda own, k: chunk(own, k, step)))
+    spliced = F.concat(F.array_join(chunks, ""), F.substring(text, F.element_at(parts, -1)["end"] + 1, F.length(text)))
     return F.when(F.size(parts) == 0, text).otherwise(spliced)
 
 

@@ -89,6 +89,10 @@ def _literal(value: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+#: Sizes that are summed up without chunks.
+FEW_SIZES = 100
+
+
 def _running_few(sizes: Column) -> Column:
     """(total, the sums ahead of each) of a short array."""
     begun = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("ahead"))
@@ -107,9 +111,10 @@ def root(n: Column) -> Column:
 
 def running(sizes: Column) -> Column:
     """For each of the sizes the sum of those ahead of it. In chunks of the root of their number, as arrays are copied when added to."""
-    each = F.transform(in_chunks(sizes, root(F.size(sizes))), _running_few)
+    each = lambda own: F.transform(bound(root(F.size(own)), lambda step: in_chunks(own, step)), _running_few)
     whole = lambda chunks: F.flatten(F.zip_with(chunks, _running_few(F.transform(chunks, lambda c: c["total"]))["ahead"], lambda c, at: F.transform(c["ahead"], lambda x: x + at)))
-    return bound(each, whole)
+    few = lambda own: F.when(F.size(own) <= FEW_SIZES, _running_few(own)["ahead"]).otherwise(bound(each(own), whole))
+    return bound(sizes, few)
 
 
 def _starts(pieces: Column, first: Column, step: Column) -> Column:

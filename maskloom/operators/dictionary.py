@@ -26,6 +26,8 @@ WORD = f"[{LETTERS}]+|[0-9]+"
 #: How many characters an entry without words is anchored by.
 GRAM = 3
 WHOLE, LEFT_PART, CHARACTERS = 0, 1, 2
+#: So many different words of a dictionary (some 10 MB) are sent to all tasks; more are met by key.
+SENT_WORDS = 100_000
 
 
 def quoted(entry: Column) -> Column:
@@ -83,39 +85,38 @@ def _places(blocks: DataFrame, key: list[str], asked: DataFrame) -> DataFrame:
     lengths = sorted(n for k, n in shapes if k == LEFT_PART)
     sizes = sorted(n for k, n in shapes if k == CHARACTERS)
     s = lambda w, kind, pos: F.struct(w.alias("word"), F.lit(kind).alias("kind"), pos.alias("pos"))
-    whole = F.transform("_w", lambda w: s(F.lower(w["value"]), WHOLE, w["start"]))
-    found = [whole]
-    if lengths:
-        longs = F.filter("_w", lambda w: w["value"].rlike("^[0-9]"))
-        cut = lambda w: F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(w["value"])), lambda n: s(F.substring(w["value"], F.lit(1), n), LEFT_PART, w["start"]))
-        found.append(F.flatten(F.transform(longs, cut)))
+    whole = lambda words: F.transform(words, lambda w: s(F.lower(w["value"]), WHOLE, w["start"]))
+    cut = lambda w: F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(w["value"])), lambda n: s(F.substring(w["value"], F.lit(1), n), LEFT_PART, w["start"]))
+    numbers = lambda words: F.flatten(F.transform(F.filter(words, lambda w: (w["value"] >= "0") & (w["value"] < ":")), cut))
+    found = [bound(_words(F.col("_part")), lambda words: F.concat(whole(words), numbers(words)) if lengths else whole(words))]
     if sizes:
         found.append(_grams(F.col("_part"), sizes))
-    listed = blocks.withColumn("_w", _words(F.col("_part"))).select(*key, "_block", "_low", F.explode(F.concat(*found)).alias("x")).select(*key, "_block", "_low", "x.*")
-    return stored(listed.join(asked.select("word", "kind").distinct(), ["word", "kind"], "left_semi"), "places")
+    listed = blocks.select(*key, "_block", "_low", F.explode(F.concat(*found)).alias("x")).select(*key, "_block", "_low", "x.*")
+    words = stored(asked.select("word", "kind").distinct(), "words")
+    return stored(listed.join(F.broadcast(words) if words.count() <= SENT_WORDS else words, ["word", "kind"], "left_semi"), "places")
 
 
 def _anchored(asked: DataFrame, places: DataFrame) -> DataFrame:
-    """type, entry, plus, word, kind, off: each entry with the rarest of its words. One of whose words there is none is left out."""
+    """type, entry, plus, self, word, kind, off: each entry with the rarest of its words. One of whose words there is none is left out.
+    self: whether its own matches can overlap each other."""
     often = places.groupBy("word", "kind").agg(F.count("*").alias("n"))
     met = asked.join(often, ["word", "kind"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = met.groupBy("type", "entry", "plus").agg(F.min(F.struct("n", "off", "word", "kind")).alias("b")).filter("b.n > 0")
-    return stored(best.select("type", "entry", "plus", "b.word", "b.kind", "b.off"), "anchors")
+    itself = F.exists(F.sequence(F.lit(1), F.greatest(F.length("entry") - 1, F.lit(1))), lambda k: (k < F.length("entry")) & (F.lower(F.right("entry", k)) == F.lower(F.left("entry", k))))
+    return stored(best.select("type", "entry", "plus", (itself & ~F.col("plus")).alias("self"), "b.word", "b.kind", "b.off"), "anchors")
 
 
 def _apart(found: DataFrame, key: list[str]) -> DataFrame:
     """Of an entry's places that overlap each other, from the left, those that begin where the one before has ended."""
-    itself = lambda e: F.exists(F.sequence(F.lit(1), F.greatest(F.length(e) - 1, F.lit(1))), lambda k: (k < F.length(e)) & (F.lower(F.right(e, k)) == F.lower(F.left(e, k))))
-    own = found.withColumn("_self", itself(F.col("entry")) & ~F.col("plus"))
     begun = F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("out"))
     step = lambda acc, s: F.when(s < acc["end"], acc).otherwise(F.struct((s + F.length("entry")).alias("end"), F.concat(acc["out"], F.array(s)).alias("out")))
-    runs = own.filter("_self").groupBy(*key, "type", "entry").agg(F.array_sort(F.collect_set("start")).alias("_all"))
+    runs = found.filter("self").groupBy(*key, "type", "entry").agg(F.array_sort(F.collect_set("start")).alias("_all"))
     kept = runs.select(*key, "type", "entry", F.explode(F.aggregate("_all", begun, step)["out"]).alias("start"))
-    return own.filter("not _self").drop("_self").unionByName(own.filter("_self").drop("_self").join(kept, [*key, "type", "entry", "start"], "left_semi"))
+    return found.filter("not self").unionByName(found.filter("self").join(kept, [*key, "type", "entry", "start"], "left_semi"))
 
 
 def candidates(units: DataFrame, entries: DataFrame, key: list[str], text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(blocks, places that entries may begin at: key, _block, type, entry, plus, start in the block's text)."""
+    """(blocks, places that entries may begin at: key, _block, type, entry, plus, self, start in the block's text)."""
     listed = entries.filter("entry is not null and entry <> ''").select("type", "entry", ((F.col("type") == "PRODUCT") & F.contains("entry", F.lit("+"))).alias("plus")).distinct()
     asked = stored(_anchors(listed), "asked")
     longest = asked.agg(F.max(F.length("entry"))).first()[0] or 0
@@ -123,7 +124,7 @@ def candidates(units: DataFrame, entries: DataFrame, key: list[str], text_col: s
     places = _places(blocks, key, asked)
     met = places.join(_anchored(asked, places), ["word", "kind"]).withColumn("start", F.col("pos") - F.col("off"))
     own = (F.col("start") >= 0) & (F.col("start") + F.col("_low") >= F.col("_block") * BLOCK) & (F.col("start") + F.col("_low") < (F.col("_block") + 1) * BLOCK)
-    return blocks, met.filter(own | F.col("plus")).select(*key, "_block", "type", "entry", "plus", "start")
+    return blocks, met.filter(own | F.col("plus")).select(*key, "_block", "type", "entry", "plus", "self", "start")
 
 
 def dictionary_spans(units: DataFrame, entries: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
@@ -136,13 +137,15 @@ def dictionary_spans(units: DataFrame, entries: DataFrame, key: list[str], text_
     """
     blocks, met = candidates(units, entries, key, text_col)
     met = stored(met, "met")
-    plain = met.filter("not plus").groupBy(*key, "_block").agg(F.collect_set(F.struct("start", "type", "entry")).alias("_c"))
+    plain = met.filter("not plus").groupBy(*key, "_block").agg(F.collect_set(F.struct("start", "type", "entry", "self")).alias("_c"))
     part = F.col("_part")
     letter = lambda at: F.substring(part, at, F.lit(1)).rlike(f"[{LETTERS}]")
     stands = lambda c: (F.lower(F.substring(part, c["start"] + 1, F.length(c["entry"]))) == F.lower(c["entry"])) & ~((c["start"] > 0) & letter(c["start"])) & ~letter(c["start"] + F.length(c["entry"]) + 1)
-    said = F.transform(F.filter("_c", stands), lambda c: F.struct(F.substring(part, c["start"] + 1, F.length(c["entry"])).alias("value"), c["type"].alias("type"), c["entry"].alias("entry"), (c["start"] + F.col("_low")).alias("start")))
-    found = blocks.join(plain, [*key, "_block"]).select(*key, F.explode(said).alias("x")).select(*key, "x.*").withColumn("plus", F.lit(False))
-    found = _apart(found, key).select(*key, "value", "type", "start", (F.col("start") + F.length("value")).alias("end"))
+    said = F.transform(F.filter("_c", stands), lambda c: F.struct(F.substring(part, c["start"] + 1, F.length(c["entry"])).alias("value"), c["type"].alias("type"), c["entry"].alias("entry"), c["self"].alias("self"), (c["start"] + F.col("_low")).alias("start")))
+    found = blocks.join(plain, [*key, "_block"]).select(*key, F.explode(said).alias("x")).select(*key, "x.*")
+    if not met.filter("self").isEmpty():
+        found = _apart(stored(found, "found"), key)
+    found = found.select(*key, "value", "type", "start", (F.col("start") + F.length("value")).alias("end"))
     wide = met.filter("plus").select(*key, "type", "entry", "plus").distinct()
     if wide.isEmpty():
         return found.distinct()
