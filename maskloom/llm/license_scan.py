@@ -25,8 +25,10 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 # Templates by label, as words, and those of their words that no match may lack, since they tell the licence from
 # others and from plain text. Notices first, then characteristic sentences of the licences themselves.
 TEMPLATES = [
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "licensed under the mit license", "mit license"),
+    ("mit", "released under the mit license", "the mit license"),
+    ("mit", "licensed under the mit license", "the mit license"),
+    ("mit", "released under mit license", "mit license"),
+    ("mit", "licensed under mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "granted associated files"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license 2"),
     ("apache-2", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache 2"),

@@ -168,7 +168,7 @@ TRUTH = [
     ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"), ("licensed under the GNU Library General Public License version 2", "lgpl"),
     ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "agpl"),
-    ("Released under the MIT license.", "mit"), ("Licensed under the Apache License, Version 2.0", "apache-2"), ("licensed under CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa"), ("licensed under CC BY-NC-ND 4.0", "cc-by-nc,cc-by-nc-nd"),  # cc by nc is a base phrase
+    ("Released under the MIT license.", "mit"), ("Licensed under MIT license", "mit"), ("Licensed under the Apache License, Version 2.0", "apache-2"), ("licensed under CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa"), ("licensed under CC BY-NC-ND 4.0", "cc-by-nc,cc-by-nc-nd"),  # cc by nc is a base phrase
     ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"), ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
     ("licensed under the European Union Public Licence version 1.2", ""), ("licensed under the Common Public License version 1.0", ""), ("Licensed under the Microsoft Public License", ""),
