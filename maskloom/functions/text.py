@@ -109,14 +109,30 @@ def root(n: Column) -> Column:
     return F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
 
 
+def _shifted(chunks: Column, ahead: Column) -> Column:
+    """The sums within each of the chunks, put behind what is ahead of the chunk."""
+    return F.flatten(F.zip_with(chunks, ahead, lambda c, at: F.transform(c["ahead"], lambda x: x + at)))
+
+
+def _totals(chunks: Column) -> Column:
+    return F.transform(chunks, lambda c: c["total"])
+
+
 def running(sizes: Column) -> Column:
     """For each of the sizes the sum of those ahead of it. In chunks of the root of their number, as arrays are copied when added to."""
     each = lambda own: F.transform(bound(root(F.size(own)), lambda step: in_chunks(own, step)), _running_few)
-    whole = lambda chunks: F.flatten(F.zip_with(chunks, _running_few(F.transform(chunks, lambda c: c["total"]))["ahead"], lambda c, at: F.transform(c["ahead"], lambda x: x + at)))
+    whole = lambda chunks: _shifted(chunks, _running_few(_totals(chunks))["ahead"])
     few = lambda own: F.when(F.size(own) <= FEW_SIZES, _running_few(own)["ahead"]).otherwise(bound(each(own), whole))
     return bound(sizes, few)
 
 
+def running_long(sizes: Column) -> Column:
+    """As running(), for arrays of millions: chunks of FEW_SIZES, and chunks of these."""
+    each = lambda own: F.transform(in_chunks(own, F.lit(FEW_SIZES)), _running_few)
+    few = lambda own: F.when(F.size(own) <= FEW_SIZES, _running_few(own)["ahead"]).otherwise(bound(each(own), lambda chunks: _shifted(chunks, running(_totals(chunks)))))
+    return bound(sizes, few)
+
+
 def _starts(pieces: Column, first: Column, step: Column) -> Column:
     """Where each piece but the first begins, given where the second does and what stands between two of them."""
     return F.transform(running(F.transform(F.slice(pieces, 2, F.size(pieces)), lambda x: F.length(x) + step)), lambda at: at + first)

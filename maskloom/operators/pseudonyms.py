@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.fixed import ENTITY_TYPES, LONG_TOKEN, TOKEN
+from ..functions.jsontext import GUARD, json_escaped, json_layout
 from ..functions.spans import find, splice
 from ..functions.text import pseudonym, strip
 from ..plans.storage import stored
@@ -136,14 +131,11 @@ def reverse_mapping(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("pseudonym").agg(F.min_by("original", F.struct(F.when(rank == 0, 99).otherwise(rank), "type", "original")).alias("original"))
 
 
-def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text", token: str = LONG_TOKEN) -> DataFrame:
-    """texts with the original values back, and columns tokens (how many) and unknown (distinct ones that the mapping lacks).
-
-    token: the pattern of pseudonyms, TOKEN where numbers have four digits and no more, as in texts with digits right behind them.
-    """
+def _spliced(texts: DataFrame, known: DataFrame, text_col: str, token: str) -> DataFrame:
+    """As restored(), with known (pseudonym, original) put in as it is."""
     told = stored(texts.withColumn("_unit", F.monotonically_increasing_id()).withColumn("_spans", find(F.coalesce(F.col(text_col), F.lit("")), token, "", 0)), "tokens")
     tokens = told.select("_unit", F.explode("_spans").alias("s")).select("_unit", "s.start", "s.end", F.col("s.value").alias("pseudonym"))
-    joined = tokens.join(reverse_mapping(mapping), "pseudonym", "left")
+    joined = tokens.join(known, "pseudonym", "left")
     parts = joined.groupBy("_unit").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("original", "pseudonym").alias("to")))).alias("_parts"),
         F.array_sort(F.collect_set(F.when(F.col("original").isNull(), F.col("pseudonym")))).alias("unknown"),
@@ -154,49 +146,23 @@ def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text", token
     ).drop("_unit", "_spans", "_parts")
 
 
+def restored(texts: DataFrame, mapping: DataFrame, text_col: str = "text", token: str = LONG_TOKEN) -> DataFrame:
+    """texts with the original values back, and columns tokens (how many) and unknown (distinct ones that the mapping lacks).
+
+    token: the pattern of pseudonyms, TOKEN where numbers have four digits and no more, as in texts with digits right behind them.
+    """
+    return _spliced(texts, reverse_mapping(mapping), text_col, token)
+
+
 def restored_json(files: DataFrame, mapping: DataFrame, json_col: str = "text", token: str = LONG_TOKEN) -> DataFrame:
-    """JSON files with originals back in their string values; keys stay. Columns tokens and unknown as in restored().
+    """JSON files with originals back in their string values; keys and numbers stay as written, members in their order, all laid out
+    with an indent of two. Columns tokens and unknown as in restored(). A text that is no JSON becomes null, without tokens.
 
-    Each file is joined with the part of the mapping that its own tokens name, so no file needs the whole mapping.
+    The values are spliced where they stand in the text, so tokens meet the mapping in one join by key and no tree is built.
     """
-    told = files.withColumn("_unit", F.monotonically_increasing_id())
-    told = stored(told, "json")
-    tokens = told.select("_unit", F.explode(F.array_distinct(F.regexp_extract_all(json_col, F.lit(token), F.lit(0)))).alias("pseudonym"))
-    known = tokens.join(reverse_mapping(mapping), "pseudonym").groupBy("_unit").agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_known"))
-
-    pattern = re.compile(token)
-
-    def walk(text: str, known: dict) -> tuple[str, int, list[str]]:
-        unknown, count = set(), 0
-
-        def value(x):
-            nonlocal count
-            if isinstance(x, dict):
-                return {k: value(v) for k, v in x.items()}
-            if isinstance(x, list):
-                return [value(v) for v in x]
-            if isinstance(x, str):
-                found = pattern.findall(x)
-                count += len(found)
-                unknown.update(t for t in found if t not in known)
-                return pattern.sub(lambda m: known.get(m[0], m[0]), x)
-            return x
-
-        out = json.dumps(value(json.loads(text)), ensure_ascii=False, indent=2)
-        return out, count, sorted(unknown)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):  # a file at a time, so that few trees are held
-                one = batch.slice(i, 1)
-                text, count, unknown = walk(one.column(at)[0].as_py(), dict(one.column(len(schema) - 1)[0].as_py() or {}))
-                columns = one.columns[:-1]
-                columns[at] = pa.array([text], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([count], pa.int32()), pa.array([unknown], pa.list_(pa.string()))], [*names, "tokens", "unknown"])
-
-    out = told.join(known, "_unit", "left").select(*files.columns, "_known")
-    schema, names, at = out.schema, files.columns, files.columns.index(json_col)
-    return out.mapInArrow(run, StructType([*files.schema.fields, StructField("tokens", IntegerType()), StructField("unknown", ArrayType(StringType()))]))
+    guarded = files.withColumn(json_col, json_layout(F.col(json_col), GUARD))
+    known = reverse_mapping(mapping).withColumn("original", json_escaped(F.col("original")))
+    return _spliced(guarded, known, json_col, token).withColumn(json_col, F.replace(F.col(json_col), F.lit(GUARD), F.lit("")))
 
 
 def restore_stats(done: DataFrame, by: list[str]) -> DataFrame:

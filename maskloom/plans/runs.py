@@ -121,17 +121,19 @@ def parent_of(target: str) -> str:
 
 
 def restore_folder(spark: SparkSession, target: str, mapping_path: str, out: str | None = None) -> dict:
-    """Restores the artifacts below target and returns how many tokens were replaced and unknown; of these the first `SHOWN`."""
+    """Restores the artifacts below target and returns how many tokens were replaced and unknown; of these the first `SHOWN`. Files named .json that hold none are skipped."""
     if not recovered(spark, mapping_path):
         raise FileNotFoundError(f"no mapping at {mapping_path}")
     mapping = read_mapping(spark, mapping_path)
     found = scan_artifacts(spark, target)
     done = restored(found.filter(suffix(F.col("path")) == ".md"), mapping, token=LONG_TOKEN).unionByName(restored_json(found.filter(suffix(F.col("path")) == ".json"), mapping, token=LONG_TOKEN))
     done = stored(done, "restored")
+    skipped = done.filter("text is null")  # no JSON
+    done = done.filter("text is not null")
     n = write_files(done.select(restored_path(F.col("path"), out).alias("path"), F.col("text").alias("data")))
     stats = restore_stats(done.withColumn("all", F.lit(1)), ["all"]).first()
     lost = unknown_tokens(done, []).orderBy("token").limit(SHOWN)
-    return {"files": n, "replaced": stats["replaced"] if stats else 0, "unresolved": stats["unresolved"] if stats else 0, "unknown": [r["token"] for r in lost.collect()]}
+    return {"files": n, "replaced": stats["replaced"] if stats else 0, "unresolved": stats["unresolved"] if stats else 0, "unknown": [r["token"] for r in lost.collect()], "skipped": [r["path"] for r in skipped.select("path").orderBy("path").limit(SHOWN).collect()]}
 
 
 def preview(texts: DataFrame, order: list[str], mapping: DataFrame | None = None, dictionary: Dictionary | None = None, text_col: str = "text") -> DataFrame:
