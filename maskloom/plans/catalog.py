@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.fixed import LONG_TOKEN, TOKEN
 from ..functions.spans import NONE, find, resolve
 from ..operators import preview as preview_ops
-from ..operators import render, review, spec
+from ..operators import coverage, render, review, spec
 from ..operators.detect import detectors, each_span, with_spans
 from ..operators.dictionary import dictionary_spans, with_dictionary
 from ..operators.intervals import meeting
@@ -633,6 +633,37 @@ def form_summary(spark, sf_dir):
     return spec.summary(_form_cells(spark, sf_dir)).select("doc_id", *(F.col(c).cast("long") for c in ("total_sheets", "total_parameters", "required", "conditional_required", "with_default", "without_default", "default_needs_manual_check", "hidden_fields", "ambiguous_cases")))
 
 
+#: The parameters of the forms with their block and how many values each is tried with.
+_FORM_VALUES = f"""{_FORM_WIDE}, blocked AS (SELECT *, last_value(CASE WHEN row_kind = 'block' THEN field_name END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row) AS block FROM k),
+v AS (SELECT doc_id, block, row, field_name, required, hidden, CASE WHEN default_value IS NULL THEN 2 ELSE 3 END AS n, row_number() OVER (PARTITION BY doc_id, block ORDER BY row) - 1 AS i FROM blocked WHERE row_kind = 'parameter')"""
+
+
+@_query(f"""{_FORM_VALUES}, g AS (SELECT doc_id, block, max(n) AS p, count(*) - 1 AS last FROM v GROUP BY ALL),
+c AS (SELECT doc_id, block, p, a, b, d FROM g, range(3) AS x(a), range(3) AS y(b), range(40) AS z(d) WHERE a < p AND b < p AND (b = 0 AND d = 0 OR b > 0 AND p ** d <= last))
+SELECT v.doc_id, v.block, CASE WHEN b = 0 THEN a ELSE p + (d * (p - 1) + b - 1) * p + a END AS "case", row, ['filled', 'empty', 'default'][CAST((a + b * (i // CAST(p ** d AS BIGINT) % p)) % p % n AS BIGINT) + 1] AS value
+FROM v JOIN c ON v.doc_id = c.doc_id AND v.block IS NOT DISTINCT FROM c.block""")
+def form_cases(spark, sf_dir):
+    """Test cases for each block of forms made of all suppliers, in which all pairs of values meet."""
+    return coverage.full_checklist(spec.parameters(_form_cells(spark, sf_dir))).select("doc_id", "block", F.col("case").cast("long"), "row", "value")
+
+
+@_query(f"{_FORM_VALUES} SELECT doc_id, block, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS pairs FROM v GROUP BY doc_id, block HAVING count(*) > 1")
+def form_pairs(spark, sf_dir):
+    """How many pairs of values the cases of each block cover: by the SQL, all that there are."""
+    cases = coverage.full_checklist(spec.parameters(_form_cells(spark, sf_dir))).withColumn("part", F.struct("doc_id", F.coalesce("block", F.lit("")).alias("block")))
+    return coverage.covered_pairs(cases, "part", "row").select("part.doc_id", F.nullif("part.block", F.lit("")).alias("block"), "pairs")
+
+
+@_query(f"""{_FORM_VALUES} SELECT doc_id, 'sheet0-row' || row AS id, 'positive' AS list, 'принято' AS expectation FROM v WHERE NOT coalesce(hidden, false)
+UNION ALL SELECT doc_id, 'sheet0-row' || row, 'negative', CASE WHEN {_req("required")} = 'required' AND NOT coalesce(hidden, false) THEN 'ошибка' ELSE 'ошибка при выполнении условия' END FROM v WHERE {_req("required")} IN ('required', 'conditional')""")
+def form_checks(spark, sf_dir):
+    """Positive and negative lists over forms made of all suppliers."""
+    params = stored(spec.parameters(_form_cells(spark, sf_dir)), "parameters")
+    lists = [("positive", coverage.positive_checklist(params)), ("negative", coverage.negative_checklist(params))]
+    one, two = (df.select("doc_id", "id", F.lit(name).alias("list"), "expectation") for name, df in lists)
+    return one.unionByName(two)
+
+
 @_query("""WITH p AS (SELECT o_orderkey, 'f' || (o_custkey % 300) AS stem, CASE o_custkey % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' ELSE 'docx' END AS ext, '/in/' || o_orderkey || '/f' || (o_custkey % 300) AS place FROM orders),
 n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY o_orderkey) AS nth FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY stem, ext, nth > 1 ORDER BY o_orderkey) AS again FROM n)
 SELECT place || '.' || ext AS path, CASE WHEN nth = 1 THEN stem || '_anon' WHEN again = 1 THEN stem || '_' || ext || '_anon' ELSE stem || '_' || ext || '_anon_' || again END AS base FROM r""")
