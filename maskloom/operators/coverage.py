@@ -28,7 +28,7 @@ def pairwise(factors: DataFrame, group: str, order: list[str], values: str = "va
     """
     n_values = F.greatest(F.size(F.coalesce(values, F.array().cast(factors.schema[values].dataType))), F.lit(1))
     placed = ranked(factors, group, order, "_i").withColumn("_i", F.col("_i") - 1)
-    sizes = factors.groupBy(group).agg((F.count("*") - 1).alias("_last"), prime_from(F.greatest(F.max(n_values), F.lit(2))).alias("_p"))
+    sizes = placed.groupBy(group).agg((F.count("*") - 1).alias("_last"), prime_from(F.greatest(F.max(n_values), F.lit(2))).alias("_p"))
     digits = F.when(F.col("_last") == 0, 0).otherwise(F.length(F.conv(F.col("_last").cast("string"), 10, 2)))  # by halves, then by p
     sizes = sizes.withColumn("_digits", F.size(F.filter(F.sequence(F.lit(0), digits), lambda d: F.pow(F.col("_p"), d) <= F.col("_last"))))
     p, x = F.col("_p"), F.col("case") - F.col("_p")
@@ -54,7 +54,8 @@ def with_values(params: DataFrame) -> DataFrame:
 
 def full_checklist(params: DataFrame) -> DataFrame:
     """(doc_id, block, case, id, row, value, step): cases for each block of a form; in its cases all pairs of values of two of its fields are met."""
-    done = pairwise(with_values(params), "part", ["row"])
+    tried = with_values(params).select("doc_id", "block", "id", "row", "name", "values", "part")
+    done = pairwise(tried, "part", ["row"])
     name = lambda verb: F.concat(F.lit(f"{verb} поле «"), F.col("name"), F.lit("»"))
     step = F.when(F.col("value") == FILLED, name("Заполнить")).when(F.col("value") == EMPTY, name("Оставить пустым")).otherwise(name("Не изменять"))
     return done.select("doc_id", "block", "case", "id", "row", "value", step.alias("step"))
