@@ -73,7 +73,7 @@ def test_keys_numbers_and_order_stay(spark):
 
 
 def test_what_is_no_json_becomes_null(spark):
-    texts = ["", "{'a': 1}", '{"a": 1', "nan", "[1,]", None, '"PERSON_0001', '["a" "b"]']
+    texts = ["", "{'a': 1}", '{"a": 1', "nan", "[1,]", None, '"PERSON_0001', '["a" "b"]', '{"a": 1, "a": 2}']
     got = restored_json(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), _mapping(spark)).collect()
     assert sorted((r.i, r.text, r.tokens, r.unknown) for r in got) == [(i, None, 0, []) for i in range(len(texts))]
     assert restored_json(spark.createDataFrame([], "i int, text string"), _mapping(spark)).count() == 0
