@@ -30,17 +30,26 @@ def marker(text: Column) -> Column:
     return strip(F.lower(F.translate(normalise(F.coalesce(text.cast("string"), F.lit(""))), "ёЁ", "еЕ")))
 
 
+#: A run of letters and hyphens that holds a Cyrillic letter and a Latin look-alike, as every word of both does. Each run is looked at once.
+_MIXED = rf"(?<![A-Za-zА-Яа-яЁё-])(?=[A-Za-zА-Яа-яЁё-]*[А-Яа-яЁё])[A-Za-zА-Яа-яЁё-]*[{LATIN}]"
+
+
+#: What normalisation replaces and Cyrillic letters, with some more, as few ranges: a list of single characters takes five times as long.
+_UNUSUAL = "[\u00a0\u00ad\u2007-\u2011\u202f\u0401-\u0451]"
+
+
 def fix_homoglyphs(text: Column) -> Column:
     """In words with a Cyrillic letter, Latin look-alikes become Cyrillic. A word is letters with single hyphens inside."""
     word = "[A-Za-zА-Яа-яЁё]+(?:-[A-Za-zА-Яа-яЁё]+)*"
     fixed = F.transform(F.regexp_extract_all(text, F.lit(f"({word})")), lambda w: F.when(w.rlike("[А-Яа-яЁё]"), F.translate(w, LATIN, CYRILLIC)).otherwise(w))
     whole = F.array_join(F.flatten(F.zip_with(F.split(text, word, -1), fixed, lambda gap, w: F.array(gap, F.coalesce(w, F.lit(""))))), "")
-    return F.when(text.rlike("[А-Яа-яЁё]") & text.rlike(f"[{LATIN}]"), whole).otherwise(text)
+    return F.when(text.rlike("[А-Яа-яЁё]") & text.rlike(_MIXED), whole).otherwise(text)
 
 
 def clean(text: Column) -> Column:
-    """What detectors read: normalised, look-alikes repaired."""
-    return fix_homoglyphs(normalise(text))
+    """What detectors read: normalised, look-alikes repaired. Texts with nothing to change are looked through, once if they hold no Cyrillic."""
+    looked = text.rlike(_UNUSUAL) & (text.rlike(f"[{NORMAL_FROM}]") | text.rlike(_MIXED))
+    return F.when(looked, bound(normalise(text), fix_homoglyphs)).otherwise(text)
 
 
 def pseudonym(kind: Column, n: Column) -> Column:

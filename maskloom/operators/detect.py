@@ -15,20 +15,25 @@ from ..functions.text import bound, canonical_product, clean
 Detector = Callable[[Column], Column]
 Dictionary = dict[str, list[str]]
 
-_ADDRESS_WORD = rf"(?:^|(?<=[^{LETTERS}]))(?:{'|'.join(ADDRESS_WORDS)})(?=[^{LETTERS}]|$)"
-_ADDRESS_KEY = rf"(?iU){_ADDRESS_WORD}"
+_ADDRESS_WORD = rf"(?:^|(?<=[^{LETTERS}]))(?=[ГДКЛМНОПРСУШгдклмнопрсуш\u1c80-\u1c88])(?:{'|'.join(ADDRESS_WORDS)})(?=[^{LETTERS}]|$)"
+_ADDRESS_KEY = rf"(?=[\u0400-\u052f\u1c80-\u1c88])(?iU){_ADDRESS_WORD}"
 _ADDRESS_PART = rf"(?iU:{_ADDRESS_WORD})(?:{ADDRESS_NAME})?"
 #: From an address word on: further words, names and numbers, over blanks and single commas.
 _ADDRESS_PHRASE = rf"(?U)^{_ADDRESS_PART}(?:[ \t]*(?:,[ \t]*)?(?:{_ADDRESS_PART}|\d+))*"
 
 
 CYRILLIC = "[А-Яа-яЁё]"
-DIGIT = r"(?U)\d"
+#: Nine digits with nothing but blanks, hyphens and brackets between them: the fewest of a number without a key word.
+DIGITS = r"(?U)\d(?:[\s\-()]*+\d){8}"
+#: The letters that a Cyrillic one may match in any case.
+ANY_CYRILLIC = r"[\u0400-\u052F\u1C80-\u1C8F\u2DE0-\u2DFF\uA640-\uA69F]"
+#: The first letters of the keys of persons, of which most places of a text have none.
+_PERSON_KEY = f"(?=[ВвГгЗзКкПпСсФф\u1c80\u1c83]){PERSON_KEYS}"
 
 
 def needs(pattern: str) -> str:
-    """What a match of one of the fixed patterns has to hold: a Cyrillic key word, an at sign, or a digit."""
-    return CYRILLIC if re.search(f"{CYRILLIC}{{2}}|р/с", pattern) else "@" if "@" in pattern else DIGIT
+    """What a match of one of the fixed patterns has to hold: a Cyrillic key word, an at sign, or digits."""
+    return CYRILLIC if re.search(f"{CYRILLIC}{{2}}|р/с", pattern) else "@" if "@" in pattern else DIGITS
 
 
 def entry_pattern(entry: str, plus: bool = False) -> str:
@@ -67,8 +72,8 @@ def persons(text: Column, order: int) -> Column:
     def both(key: Column) -> Column:
         return bound(F.length(F.regexp_extract(key["head"], f"^{PERSON_KEYS}", 0)), lambda n: F.array(named(key, n, FULL_NAME), named(key, n, INITIALS)))
 
-    found = F.transform(from_each(text, PERSON_KEYS, 2 * NAME_WINDOW), both)
-    return F.when(text.rlike(CYRILLIC) & text.rlike(PERSON_KEYS), F.array_compact(F.flatten(found))).otherwise(no_spans()).cast(NONE)
+    found = F.transform(from_each(text, _PERSON_KEY, 2 * NAME_WINDOW), both)
+    return F.when(text.rlike(_PERSON_KEY), F.array_compact(F.flatten(found))).otherwise(no_spans()).cast(NONE)
 
 
 #: Characters that an address is looked for in, and how far from their end it has to stop; else all that follows is read.
@@ -88,30 +93,48 @@ def addresses(text: Column, order: int) -> Column:
         return bound(phrase, lambda p: span(F.btrim(p, F.lit(" ,.;")), "ADDR", key["start"], key["start"] + F.length(p), order))
 
     phrases = F.filter(F.transform(from_each(text, _ADDRESS_KEY, ADDRESS_REACH + ADDRESS_REST), grown), lambda s: F.length(s["value"]) >= 3)
-    phrases = F.when(text.rlike(CYRILLIC) & text.rlike(_ADDRESS_KEY), phrases).otherwise(no_spans())
-    return F.concat(find(text, POSTAL_INDEX, "ADDR", order, 1, CYRILLIC), phrases).cast(NONE)
+    phrases = F.when(text.rlike(_ADDRESS_KEY), phrases).otherwise(no_spans())
+    return F.concat(find(text, POSTAL_INDEX, "ADDR", order, 1), phrases).cast(NONE)
 
 
 def detectors(dictionary: Dictionary | None = None) -> dict[str, Detector]:
     """By type, in the order of registration. Add to the result, or replace in it, to plug in a type of one's own."""
     own = {k: list(v) for k, v in (dictionary or {}).items()}
 
-    def of(kind: str, order: int) -> Detector:
-        patterns = [(p, g) for t, p, g in PATTERNS if t == kind]
-        if patterns:
-            return lambda text: F.concat(*(find(text, p, kind, order, g, needs(p)) for p, g in patterns)).cast(NONE)
+    def of(kind: str, order: int) -> list[tuple[str | None, Detector]]:
+        """Parts of a detector, each with a pattern that stands in every text where it finds something."""
+        parts = [(needs(p), lambda text, p=p, g=g: find(text, p, kind, order, g)) for t, p, g in PATTERNS if t == kind]
+        for cyrillic in (True, False):
+            entries = [e for e in own.get(kind, []) if bool(re.match(CYRILLIC, first_word(e))) == cyrillic]
+            if entries:
+                parts.append((ANY_CYRILLIC if cyrillic else None, from_entries(kind, entries, order)))
         if kind == "PERSON":
-            return lambda text: F.concat(from_entries(kind, own.get(kind, []), order)(text), persons(text, order)).cast(NONE)
+            parts.append((CYRILLIC, lambda text: persons(text, order)))
         if kind == "ADDR":
-            return lambda text: addresses(text, order)
-        return from_entries(kind, own.get(kind, []), order)
+            parts.append((CYRILLIC, lambda text: addresses(text, order)))
+        return parts
 
-    return {kind: of(kind, i) for i, kind in enumerate(DETECTOR_ORDER)}
+    return {kind: _of_parts(of(kind, i)) for i, kind in enumerate(DETECTOR_ORDER)}
+
+
+def _of_parts(parts: list[tuple[str | None, Detector]]) -> Detector:
+    """A detector of parts: each pattern that texts need is looked for once, however many parts need it."""
+    by_need: dict[str | None, list[Detector]] = {}
+    for need, part in parts:
+        by_need.setdefault(need, []).append(part)
+
+    def detect(text: Column) -> Column:
+        found = [(need, F.concat(*(p(text) for p in own)).cast(NONE)) for need, own in by_need.items()]
+        spans = [F.when(text.rlike(need), x).otherwise(no_spans()) if need else x for need, x in found]
+        return F.concat(*spans).cast(NONE) if spans else no_spans()
+
+    detect.parts = parts
+    return detect
 
 
 def all_spans(text: Column, registry: dict[str, Detector]) -> Column:
-    """What all detectors find, overlaps included."""
-    return F.concat(*(d(text) for d in registry.values())).cast(NONE)
+    """What all detectors find, overlaps included. Parts of detectors that need the same are taken together."""
+    return _of_parts([part for d in registry.values() for part in getattr(d, "parts", [(None, d)])])(text)
 
 
 def with_spans(units: DataFrame, dictionary: Dictionary | None = None, text_col: str = "text", registry: dict[str, Detector] | None = None) -> DataFrame:

@@ -56,16 +56,16 @@ def _words(text: Column) -> Column:
 
 def _anchors(entries: DataFrame) -> DataFrame:
     """type, entry, plus, word, kind, off: all words that an entry could be anchored by, off being where the word stands in it."""
-    each = entries.select("*", F.explode(_words(F.col("entry"))).alias("w"))
-    digits = F.col("w.value").rlike("^[0-9]")
-    at_end = F.col("w.end") == F.length("entry")
-    fits = ~digits | (F.col("w.start") > 0)
-    words = each.filter(fits).select("type", "entry", "plus", F.lower("w.value").alias("word"), F.when(digits & at_end, LEFT_PART).otherwise(WHOLE).alias("kind"), F.col("w.start").alias("off"))
-    bare = entries.join(words.select("type", "entry").distinct(), ["type", "entry"], "left_anti")
+    digits = lambda w: w["value"].rlike("^[0-9]")
+    fits = F.filter(_words(F.col("entry")), lambda w: ~digits(w) | (w["start"] > 0))
+    anchor = lambda word, kind, off: F.struct(F.lower(word).alias("word"), kind.alias("kind"), off.alias("off"))
+    own = lambda w: anchor(w["value"], F.when(digits(w) & (w["end"] == F.length("entry")), LEFT_PART).otherwise(WHOLE), w["start"])
     # What stands around a plus sign is left open, so such an entry is anchored by what is ahead of the first, or by that sign.
     head = F.trim(F.substring_index("entry", "+", 1))
     begins = F.when(F.col("plus"), F.when(head == "", "+").otherwise(head)).otherwise(F.col("entry"))
-    return words.unionByName(bare.select("type", "entry", "plus", F.lower(F.substring(begins, 1, GRAM)).alias("word"), F.lit(CHARACTERS).alias("kind"), F.lit(0).alias("off")))
+    bare = F.array(anchor(F.substring(begins, 1, GRAM), F.lit(CHARACTERS), F.lit(0)))
+    anchors = bound(fits, lambda words: F.when(F.size(words) > 0, F.transform(words, own)).otherwise(bare))
+    return entries.select("type", "entry", "plus", F.explode(anchors).alias("w")).select("type", "entry", "plus", "w.*")
 
 
 def _grams(part: Column, sizes: list[int]) -> Column:
@@ -161,4 +161,6 @@ def with_dictionary(units: DataFrame, entries: DataFrame, key: list[str], text_c
     one = F.struct("value", "type", "start", "end", order.alias("ord"))
     listed = dictionary_spans(cleaned, entries, key, text_col).groupBy(*key).agg(F.collect_list(one).cast(NONE).alias("_listed"))
     both = F.concat(F.coalesce(all_spans(F.col(text_col), detectors()), no_spans()), F.coalesce("_listed", no_spans()))
-    return cleaned.join(listed, key, "left").withColumn("spans", resolve(both)).drop("_listed")
+    # As a column of its own: resolve() refers to its spans several times, and each time all detectors would run.
+    found = cleaned.join(listed, key, "left").withColumn("spans", both).drop("_listed")
+    return found.withColumn("spans", resolve(F.col("spans")))

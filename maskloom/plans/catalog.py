@@ -56,16 +56,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A table in one file of these sizes may be one row group, and so one task.
-ONE_FILE = (1 << 20, 1 << 28)
+#: Bytes of a table that are worth dealing, and those that one task reads at most.
+DEALT, SPLIT = 1 << 16, 1 << 27
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows cost much more time than their bytes tell. Where its files would make fewer tasks than there are cores,
+    as one file of any number of short rows does, its rows are dealt to all."""
+    df = table(spark, sf_dir, name).select(*(columns or "*"))
+    fs, at = _at(spark, f"{sf_dir}/{name}.parquet")
+    found, cores = fs.getContentSummary(at), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if found.getLength() > DEALT and max(found.getFileCount(), found.getLength() // SPLIT) < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """doc_id and text, or other columns. The rows of a small table that is a single file are dealt to all cores."""
-    df = table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
-    fs, at = _at(spark, f"{sf_dir}/documents.parquet")
-    found = fs.getFileStatus(at)
-    return df.repartition(spark.sparkContext.defaultParallelism) if found.isFile() and ONE_FILE[0] < found.getLen() < ONE_FILE[1] else df
+    """doc_id and text, or other columns."""
+    return dealt(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,7 +547,7 @@ def customer_entities(spark, sf_dir):
         F.concat(F.lit("р/с "), pad(20, "4")), F.concat(F.lit("карта 5500 0000 "), pad(8, "2")), F.concat(F.lit("звоните +7 (812) 555-10-"), two, F.lit(", c"), k.cast("string"), F.lit("@mail.example")), F.concat(F.lit("111-222-333 "), two, F.lit(" и 8 900 555-10-20")),
     ]
     text = F.coalesce(*(F.when(k % 9 == i, t) for i, t in enumerate(texts)), F.col("c_name"))
-    spans = each_span(with_spans(stored(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")), "texts")).select("doc_id", "spans"))
+    spans = each_span(with_spans(stored(dealt(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")), "texts")).select("doc_id", "spans"))
     return spans.select("doc_id", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
 
 
@@ -701,7 +707,7 @@ SELECT c_custkey, 'BANK' AS type, one AS value, CAST(5 AS BIGINT) AS start_at FR
 UNION ALL SELECT c_custkey, 'ORG', '«' || c_custkey || '»', CAST(length('банк ' || one || ', ' || mid) AS BIGINT) FROM t""")
 def customer_entries(spark, sf_dir):
     """Entries without letters, products with a plus sign and numbers in quotes, all detectors and a dictionary of any size together, overlaps resolved."""
-    c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("c_custkey").cast("string")
+    c, k = dealt(spark, sf_dir, "customer", "c_custkey", "c_name"), F.col("c_custkey").cast("string")
     entries = {"BANK": F.concat(F.lit("§"), k, F.lit("§")), "PRODUCT": F.concat("c_name", F.lit(" + Плюс")), "ORG": F.concat(F.lit("«"), k, F.lit("»"))}
     listed = c.select(F.explode(F.array(*(F.struct(F.lit(t).alias("type"), v.alias("entry")) for t, v in entries.items()))).alias("x")).select("x.*")
     text = F.concat(F.lit("банк §"), k, F.lit("§, тариф "), F.upper("c_name"), F.lit("  +\tплюс, клиент «"), k, F.lit("»"))
@@ -715,7 +721,7 @@ def order_persons(spark, sf_dir):
     """Full names and initials behind their key words, in a text for each order."""
     x = _lettered("o_custkey")
     text = F.concat(F.lit("Клиент Сид"), x, F.lit(" Олег Львович; заявитель: Пет"), x, F.lit(" О.Л. и далее"))
-    spans = each_span(with_spans(stored(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "texts")).select("o_orderkey", "spans"))
+    spans = each_span(with_spans(stored(dealt(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select("o_orderkey", text.alias("text")), "texts")).select("o_orderkey", "spans"))
     return spans.select("o_orderkey", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
 
 
@@ -724,7 +730,7 @@ SELECT o_orderkey, 'ADDR' AS type, code AS value, CAST(7 AS BIGINT) AS start_at
 def order_addresses(spark, sf_dir):
     """Postal indexes and addresses grown from their words, in a text for each order."""
     text = F.concat(F.lit("индекс "), F.lpad(F.col("o_custkey").cast("string"), 6, "1"), F.lit(": г. Тверь, ул. Мир"), _lettered("o_custkey"), F.lit(", д. "), (F.col("o_custkey") % 100).cast("string"), F.lit("; срок"))
-    spans = each_span(with_spans(stored(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "texts")).select("o_orderkey", "spans"))
+    spans = each_span(with_spans(stored(dealt(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select("o_orderkey", text.alias("text")), "texts")).select("o_orderkey", "spans"))
     return spans.select("o_orderkey", "s.type", "s.value", F.col("s.start").cast("long").alias("start_at"))
 
 
