@@ -738,7 +738,7 @@ def order_addresses(spark, sf_dir):
 FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_custkey % 10 <> 9) SELECT c_nationkey, value, type_guess, min_by(reason, c_custkey) AS reason, count(*) AS count FROM c GROUP BY c_nationkey, value, type_guess""")
 def review_contexts(spark, sf_dir):
     """All five contexts over a text for each customer, with a list of values to ignore; a value within an entity's place is no candidate."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(spark, sf_dir, "customer", "c_nationkey", "c_custkey", "c_mktsegment")
     v = F.col("c_mktsegment")
     texts = [
         F.concat(F.lit("для партнёра «"), v, F.lit("» и")), F.concat(F.lit("по программе "), v, F.lit(" для")), F.concat(F.lit("по продукту "), v, F.lit(": срок")), F.concat(F.lit("Для выбора: "), v, F.lit(";")),

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions.fixed import CYRILLIC, LATIN, NORMAL_FROM, NORMAL_TO
@@ -9,6 +10,7 @@ from maskloom.functions.spans import find
 from maskloom.functions.text import clean
 from maskloom.operators.detect import all_spans, detectors, with_spans
 from maskloom.operators.dictionary import with_dictionary
+from maskloom.plans import catalog
 from maskloom.plans.catalog import dealt
 
 
@@ -53,3 +55,13 @@ def test_a_small_file_is_dealt_to_all_cores(spark, tmp_path):
     df = dealt(spark, str(tmp_path), "customer")
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism and df.count() == 100_000
+
+
+@pytest.mark.parametrize("name", ["review_contexts"])
+def test_reviewed_customers_are_dealt_to_all_cores(spark, monkeypatch, name):
+    """Their table is one small file, which alone would be one task for all detectors and contexts."""
+    seen = []
+    monkeypatch.setattr(catalog.review, "candidates", lambda units, *a: seen.append(units))
+    monkeypatch.setattr(catalog.review, "grouped", lambda *a: spark.range(0).selectExpr(*(f"id AS {c}" for c in ("c_nationkey", "value", "type_guess", "reason", "count"))))
+    catalog.queries()[name](spark, "/root/testdata/sf0.1")
+    assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
