@@ -57,7 +57,7 @@ def test_a_small_file_is_dealt_to_all_cores(spark, tmp_path):
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism and df.count() == 100_000
 
 
-@pytest.mark.parametrize("name", ["review_contexts"])
+@pytest.mark.parametrize("name", ["review_contexts", "review_customers"])
 def test_reviewed_customers_are_dealt_to_all_cores(spark, monkeypatch, name):
     """Their table is one small file, which alone would be one task for all detectors and contexts."""
     seen = []
