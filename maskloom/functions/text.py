@@ -36,6 +36,19 @@ _MIXED = rf"(?<![A-Za-zА-Яа-яЁё-])(?=[A-Za-zА-Яа-яЁё-]*[А-Яа-яЁ
 
 #: What normalisation replaces and Cyrillic letters, with some more, as few ranges: a list of single characters takes five times as long.
 _UNUSUAL = "[\u00a0\u00ad\u2007-\u2011\u202f\u0401-\u0451]"
+#: One range that has all of these but the first two, and all that matches a Cyrillic letter in any case.
+_WIDE = "[\u0400-\ua69f]"
+
+
+def is_ascii(text: Column) -> Column:
+    """Whether each character is one byte, which is told without decoding the text."""
+    return F.octet_length(text) == F.length(text)
+
+
+def is_wide(text: Column) -> Column:
+    """Whether a text has any character from Cyrillic on; without one, no Cyrillic pattern matches. Most texts are told from one look at
+    each character, those of plain letters from their sizes."""
+    return ~is_ascii(text) & text.rlike(_WIDE)
 
 
 def fix_homoglyphs(text: Column) -> Column:
@@ -48,7 +61,8 @@ def fix_homoglyphs(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """What detectors read: normalised, look-alikes repaired. Texts with nothing to change are looked through, once if they hold no Cyrillic."""
-    looked = text.rlike(_UNUSUAL) & (text.rlike(f"[{NORMAL_FROM}]") | text.rlike(_MIXED))
+    unusual = F.contains(text, F.lit("\u00a0")) | F.contains(text, F.lit("\u00ad")) | text.rlike(_WIDE)
+    looked = ~is_ascii(text) & unusual & text.rlike(_UNUSUAL) & (text.rlike(f"[{NORMAL_FROM}]") | text.rlike(_MIXED))
     return F.when(looked, bound(normalise(text), fix_homoglyphs)).otherwise(text)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import ADDRESS_NAME, ADDRESS_WORDS, DETECTOR_ORDER, FULL_NAME, INITIALS, LETTERS, NAME_WINDOW, PATTERNS, PERSON_KEYS, POSTAL_INDEX
 from ..functions.spans import NONE, find, from_each, no_spans, resolve, span
-from ..functions.text import bound, canonical_product, clean
+from ..functions.text import bound, canonical_product, clean, is_wide
 
 Detector = Callable[[Column], Column]
 Dictionary = dict[str, list[str]]
@@ -117,16 +117,26 @@ def detectors(dictionary: Dictionary | None = None) -> dict[str, Detector]:
     return {kind: _of_parts(of(kind, i)) for i, kind in enumerate(DETECTOR_ORDER)}
 
 
+def _holds(text: Column, need: str) -> Column:
+    return F.contains(text, F.lit("@")) if need == "@" else text.rlike(need)
+
+
 def _of_parts(parts: list[tuple[str | None, Detector]]) -> Detector:
-    """A detector of parts: each pattern that texts need is looked for once, however many parts need it."""
+    """A detector of parts: each pattern that texts need is looked for once, however many parts need it, and those of Cyrillic only in
+    texts that have characters beyond Latin ones."""
     by_need: dict[str | None, list[Detector]] = {}
     for need, part in parts:
         by_need.setdefault(need, []).append(part)
 
     def detect(text: Column) -> Column:
-        found = [(need, F.concat(*(p(text) for p in own)).cast(NONE)) for need, own in by_need.items()]
-        spans = [F.when(text.rlike(need), x).otherwise(no_spans()) if need else x for need, x in found]
-        return F.concat(*spans).cast(NONE) if spans else no_spans()
+        def joined(needed: Iterable[str | None]) -> Column:
+            found = [(need, F.concat(*(p(text) for p in by_need[need])).cast(NONE)) for need in needed]
+            spans = [F.when(_holds(text, need), x).otherwise(no_spans()) if need else x for need, x in found]
+            return F.concat(*spans).cast(NONE) if spans else no_spans()
+
+        wide = [need for need in by_need if need in (CYRILLIC, ANY_CYRILLIC)]
+        others = joined(need for need in by_need if need not in wide)
+        return F.concat(others, F.when(is_wide(text), joined(wide)).otherwise(no_spans())).cast(NONE) if wide else others
 
     detect.parts = parts
     return detect

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.fixed import CYRILLIC, LATIN, NORMAL_FROM, NORMAL_TO
 from maskloom.functions.spans import find
-from maskloom.functions.text import clean
-from maskloom.operators.detect import all_spans, detectors, with_spans
+from maskloom.functions.text import clean, is_ascii, is_wide
+from maskloom.operators.detect import ANY_CYRILLIC, all_spans, detectors, with_spans
 from maskloom.operators.dictionary import with_dictionary
 from maskloom.plans import catalog
 from maskloom.plans.catalog import dealt
@@ -49,6 +49,32 @@ def test_look_alikes_only_in_words_of_both(spark):
     assert got == [plain(w) for w in words]
 
 
+def test_plain_texts_are_told_cheaply(spark):
+    """No pattern of Cyrillic runs on texts without a wide character, and none where all are of one byte; nothing is lost by that."""
+    found = spark.range(1).select(F.lit("").alias("text")).select(all_spans(F.col("text"), detectors({"ORG": ["Рога"]})).alias("s"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE(text" in plan and 0 < plan.index("octet_length(text") < min(plan.index(x) for x in ("[А-Яа-яЁё]", ANY_CYRILLIC, "ИНН"))
+    texts = [(i, chr(i)) for i in [*range(0xD800), *range(0xE000, 0x10000)]]
+    df = spark.createDataFrame([(i, f"a{c}b") for i, c in texts] + [(-1, None), (-2, ""), (-3, "abc"), (-4, "\U0001d7ce")], "i int, t string")
+    t = F.col("t")
+    rows = df.select("i", "t", is_wide(t).alias("wide"), is_ascii(t).alias("ascii"), (t.rlike(ANY_CYRILLIC) | t.rlike("(?iU)[а-яё]")).alias("some"), clean(t).alias("clean")).collect()
+    assert [r.i for r in rows if r.some and not r.wide] == [] and sum(bool(r.some) for r in rows) > 300
+    assert all(r.ascii == r.t.isascii() for r in rows if r.t is not None)
+    to = {c: NORMAL_TO[i : i + 1] for i, c in enumerate(NORMAL_FROM)}
+    expected = {i: f"а{c}в" if re.match("[А-Яа-яЁё]", c) else f"a{to.get(c, c)}b" for i, c in texts}
+    assert [r.i for r in rows if r.i >= 0 and r.clean != expected[r.i]] == []
+
+
+@pytest.mark.parametrize("text", ["A_0001 B_00022 c_1 _ D_123", "plain", "", None, "é_ AB_1234"])
+def test_entities_are_counted_in_any_text(spark, monkeypatch, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    monkeypatch.setattr(catalog, "documents", lambda *a: df)
+    monkeypatch.setattr(catalog, "anonymise", lambda units, *a, **b: (units, None))
+    out = catalog.flagship(spark, "")
+    assert out.collect()[0].n_entities == (None if text is None else len(re.findall(r"[A-Z]+_\d{4}", text)))
+    assert "contains" in out._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_a_small_file_is_dealt_to_all_cores(spark, tmp_path):
     rows = spark.range(0, 100_000, 1, 1).select(F.col("id").alias("c_custkey"), F.sha1(F.col("id").cast("string")).alias("c_name"))
     rows.write.parquet(f"{tmp_path}/customer.parquet")
